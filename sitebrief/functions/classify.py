@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,13 +61,16 @@ def with_url_score(df: DataFrame, url: str = "url") -> DataFrame:
 
 def with_content_score(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds content_type and content_confidence (null without a match) and content_matched."""
+    df = df.withColumn("_low", F.lower(text))
     scored, matched = [], []
     for order, t in enumerate(_TYPED):
         total, names = F.lit(0.0), []
         for p, w in P.CONTENT_WEIGHTS[t]:
-            n = F.regexp_count(F.col(text), F.lit(unicode_pattern(p)))
+            # The longest plain word of the pattern must occur before the pattern is counted.
+            word = max(re.findall(r"[a-z]{3,}(?!\?)", p.replace(r"\b", " ").replace(r"\s", " ")), key=len)
+            n = F.when(F.col("_low").contains(word), F.regexp_count(F.col(text), F.lit(unicode_pattern(p)))).otherwise(0)
             total = total + F.least(n * F.lit(w) * F.lit(0.3), F.lit(w))
-            names.append(F.when(F.col(text).rlike(unicode_pattern(p)), F.lit(p)))
+            names.append(F.when(F.col("_low").contains(word) & F.col(text).rlike(unicode_pattern(p)), F.lit(p)))
         score = F.least(total / 2.0, F.lit(1.0))
         scored.append(F.struct(score.alias("score"), F.lit(-order).alias("o"), F.lit(t).alias("t")))
         matched.append(F.when(F.col("content_type") == t, F.array_compact(F.array(*names))))
@@ -75,7 +80,7 @@ def with_content_score(df: DataFrame, text: str = "text") -> DataFrame:
         df.withColumn("content_type", F.when(hit, F.col("_best.t")))
         .withColumn("content_confidence", F.when(hit, F.col("_best.score")))
         .withColumn("content_matched", F.coalesce(*matched))
-        .drop("_best")
+        .drop("_best", "_low")
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sitebrief.functions import classify as C
 from sitebrief.functions import text as X
 from sitebrief.functions import urls as U
+from sitebrief.functions.extract import explode_rows
 
 
 def with_text(pages: DataFrame, company_id: str | None = None) -> DataFrame:
@@ -20,10 +21,10 @@ def with_text(pages: DataFrame, company_id: str | None = None) -> DataFrame:
 
 def links(pages: DataFrame) -> DataFrame:
     """One row per ``<a href>`` that resolves to an http(s) URL; html is dropped at once."""
-    found = pages.select("page_id", F.col("url").alias("base"), F.posexplode(X.anchor_hrefs(F.col("html"))))
-    link = U.link_resolve(F.col("base"), F.col("col"))
+    found = explode_rows(pages, X.anchor_hrefs(F.col("html")), ["page_id", "url"])
+    link = U.link_resolve(F.col("url"), F.col("_col"))
     return (
-        found.select("page_id", F.col("pos").cast("bigint").alias("pos"), link.alias("link"))
+        found.select("page_id", F.col("_pos").cast("bigint").alias("pos"), link.alias("link"))
         .filter(F.col("link").isNotNull())
     )
 
@@ -32,8 +33,8 @@ def hrefs(pages: DataFrame) -> DataFrame:
     """Every href on any tag, each URL once per page, at its first position."""
     forms = F.transform(X.all_hrefs(F.col("html")), lambda h: U.external_form(F.col("url"), h))
     df = pages.select("page_id", forms.alias("all"))
-    df = df.select("page_id", "all", F.explode(F.array_distinct(F.array_compact("all"))).alias("link"))
-    return df.select("page_id", "link", (F.array_position("all", F.col("link")) - 1).cast("bigint").alias("pos"))
+    df = explode_rows(df, F.array_distinct(F.array_compact("all")), ["page_id", "all"])
+    return df.withColumnRenamed("_col", "link").select("page_id", "link", (F.array_position("all", F.col("link")) - 1).cast("bigint").alias("pos"))
 
 
 def site_profile(pages: DataFrame) -> DataFrame:

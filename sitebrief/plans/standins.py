@@ -115,3 +115,108 @@ SELECT page_id, company_id, text, 'https://' || company_id || '.example.com' ||
     WHEN 8 THEN '/press-releases' WHEN 9 THEN '/services/' WHEN 10 THEN '/company/history' WHEN 11 THEN '/support'
     WHEN 12 THEN '/x/our-team/board' ELSE '/p/' || page_id END AS url
 FROM v_texts"""
+
+# Companies with status, phase, run times and totals.
+STANDINS["v_companies"] = """
+SELECT 'c' || c_custkey AS company_id, c_custkey AS seq, c_name AS company_name,
+  'https://www.' || lower(replace(c_name, '#', '-')) || '.example.com' ||
+    CASE WHEN c_custkey % 3 = 0 THEN '/' ELSE '' END AS website_url,
+  CASE WHEN c_acctbal < 0 THEN NULL ELSE c_mktsegment END AS industry,
+  CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE 'b' || c_nationkey END AS batch_id,
+  CASE WHEN c_custkey * 7 % 10 < 4 THEN 'pending' WHEN c_custkey * 7 % 10 < 6 THEN 'in_progress'
+    WHEN c_custkey * 7 % 10 < 8 THEN 'completed' WHEN c_custkey * 7 % 10 = 8 THEN 'failed' ELSE 'paused' END AS status,
+  CASE c_custkey % 6 WHEN 0 THEN 'queued' WHEN 1 THEN 'crawling' WHEN 2 THEN 'extracting' WHEN 3 THEN 'analyzing'
+    WHEN 4 THEN 'generating' ELSE 'completed' END AS phase,
+  CAST(floor(abs(c_acctbal) * 10) AS BIGINT) AS tokens, abs(c_acctbal) / 1000 AS cost,
+  TS_SEC((1704067200 + c_custkey * 37 % 1000 * 3600)) AS created_at,
+  CASE WHEN c_custkey * 7 % 10 < 4 THEN NULL ELSE TS_SEC((1704067200 + c_custkey * 37 % 1000 * 3600 + 600)) END
+    AS started_at,
+  CAST(c_custkey % 11 * 1700 AS BIGINT) AS paused_ms
+FROM customer"""
+
+# Batches of companies.
+STANDINS["v_batches"] = """
+SELECT 'b' || n_nationkey AS batch_id, n_name AS batch_name,
+  CASE n_nationkey % 6 WHEN 0 THEN 'processing' WHEN 1 THEN 'processing' WHEN 2 THEN 'completed'
+    WHEN 3 THEN 'cancelled' WHEN 4 THEN 'paused' ELSE 'pending' END AS status,
+  CAST(n_regionkey * 10 AS BIGINT) AS priority, CAST(250 + n_nationkey % 4 AS BIGINT) AS max_concurrent,
+  TS_SEC((1704067200 + n_nationkey % 5 * 86400)) AS created_at,
+  CASE WHEN n_nationkey % 6 IN (2, 3) THEN TS_SEC((1704067200 + n_nationkey * 86400)) ELSE NULL END AS completed_at
+FROM nation"""
+
+# Model calls. A third of them belong to one company.
+STANDINS["v_usages"] = """
+SELECT conv_id * 1000 + turn AS usage_id, CASE WHEN conv_id % 3 = 0 THEN 'c0' ELSE 'c' || conv_id END AS company_id,
+  CASE turn % 4 WHEN 0 THEN 'extraction' WHEN 1 THEN 'Summarization' WHEN 2 THEN 'analysis' ELSE 'mystery' END
+    AS call_type,
+  CASE turn % 3 WHEN 0 THEN NULL WHEN 1 THEN 'company_overview' ELSE '' END AS section,
+  CAST(length(text) AS BIGINT) AS input_tokens, CAST(length(replace(text, ' ', '')) AS BIGINT) AS output_tokens,
+  TS_SEC((1704067200 + conv_id * 3600 + turn * 60)) AS ts
+FROM conversations"""
+
+# Crawl sessions with the checkpoint text each left behind.
+STANDINS["v_sessions"] = """
+SELECT o_orderkey AS session_id, 'c' || o_custkey AS company_id, CAST(o_orderdate AS TIMESTAMP) AS created_at,
+  CAST(floor(o_totalprice / 1000) AS BIGINT) AS pages_crawled, CAST(o_orderkey % 90 AS BIGINT) AS pages_queued,
+  CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'active' ELSE 'paused' END AS status,
+  CASE o_orderkey % 9
+    WHEN 0 THEN '{"version":1,"pagesVisited":["https://h/a","https://h/' || o_orderkey ||
+      '"],"pagesQueued":["https://h/q"],"externalLinksFound":[],"currentDepth":2,"crawlStartTime":' ||
+      '"2024-01-01T00:00:00Z","lastCheckpointTime":"2024-01-01T01:00:00Z","entitiesExtractedCount":' || o_orderkey ||
+      ',"analysisSectionsCompleted":["company_overview"]}'
+    WHEN 1 THEN '{"currentDepth":"3"}'
+    WHEN 2 THEN '{"pagesVisited":["a"'
+    WHEN 3 THEN '{"visited":["x"],"pagesQueued":["q' || o_custkey || '","q2"]}'
+    WHEN 4 THEN '{"pagesVisited":"oops","entitiesExtractedCount":"7","externalLinksFound":["e"]}'
+    WHEN 5 THEN '{}'
+    WHEN 6 THEN '[1,2]'
+    WHEN 7 THEN '{"entitiesExtractedCount":"x","currentDepth":2.7,"pagesVisited":["v' || o_orderkey || '"]}'
+    ELSE NULL END AS checkpoint
+FROM orders"""
+
+# Report versions with their sections.
+STANDINS["v_analyses"] = """
+SELECT o_orderkey AS analysis_id, 'c' || o_custkey AS company_id, o_orderkey AS version,
+  CAST(o_orderdate AS TIMESTAMP) AS created_at,
+  CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'Summary of ' || o_orderkey END AS executive_summary,
+  CAST(floor(o_totalprice / 10) AS BIGINT) AS total_input, CAST(floor(o_totalprice / 40) AS BIGINT) AS total_output,
+  CASE o_orderkey % 4
+    WHEN 0 THEN '{"companyOverview":{"content":"Overview ' || o_orderkey ||
+      '","sources":["https://s/1","https://s/2"],"confidence":0.8},"businessModel":"plain ' || o_custkey ||
+      '","redFlags":""}'
+    WHEN 1 THEN '{"keyInsights":{"content":"Insight ' || o_orderkey || '"},"technology":{"confidence":0.5}}'
+    WHEN 2 THEN '{"teamLeadership":{"content":"Team","sources":"none","confidence":"0.25"},"marketPosition":7}'
+    ELSE NULL END AS full_analysis
+FROM orders"""
+
+# Spans a model found, with the text around them.
+STANDINS["v_spans"] = """
+SELECT c_custkey AS span_id, 'c' || c_nationkey AS company_id,
+  CASE c_custkey % 12 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'ORG' WHEN 2 THEN 'GPE' WHEN 3 THEN 'LAW' WHEN 4 THEN 'CARDINAL'
+    WHEN 5 THEN 'MONEY' WHEN 6 THEN 'NORP' WHEN 7 THEN 'PERSON' WHEN 8 THEN 'EVENT' WHEN 9 THEN 'LANGUAGE'
+    WHEN 10 THEN 'PRODUCT' ELSE 'ORG' END AS label,
+  CASE c_custkey % 8 WHEN 0 THEN 'Jane Q. Public' WHEN 1 THEN 'ACME CORP' WHEN 2 THEN 'x' WHEN 3 THEN 'paris'
+    WHEN 4 THEN 'One Two Three Four Five Six' WHEN 5 THEN 'IBM' WHEN 6 THEN '  ' ELSE c_name END AS value,
+  CASE c_custkey % 15 WHEN 0 THEN 'our CEO and Founder' WHEN 1 THEN 'she will lead the team' WHEN 2 THEN
+    'Vice President of Sales' WHEN 3 THEN 'a Director of Ops, partnered' WHEN 4 THEN 'we serve them' WHEN 5 THEN
+    'backed by funding' WHEN 6 THEN 'versus a competitor' WHEN 7 THEN 'a merger was planned' WHEN 8 THEN
+    'software engineer' WHEN 9 THEN 'Head of' WHEN 10 THEN 'chairman and designer' WHEN 11 THEN 'the SVP'
+    WHEN 12 THEN 'Chief Legal Officer' WHEN 13 THEN 'nothing here' ELSE 'client ' || c_name END AS context
+FROM customer"""
+
+# Model answers with and without source lists.
+STANDINS["v_answers"] = """
+SELECT conv_id * 1000 + turn AS answer_id, 'c' || conv_id AS company_id, role, turn,
+  text || CASE turn % 4 WHEN 0 THEN ' SOURCES: https://a.example.com/' || conv_id || ' (https://b.example.com/x>) [https://c.example.com]'
+    WHEN 1 THEN ' Sources: https://no.example.com' WHEN 2 THEN ' SOURCES: none. SOURCES: http://late.example.com' ||
+      ' https://1 https://2 https://3 https://4 https://5 https://6 https://7 https://8 https://9 https://10 https://11'
+    ELSE '' END AS answer
+FROM conversations"""
+
+# Sitemap dates in several spellings.
+STANDINS["v_lastmods"] = """
+SELECT o_orderkey AS entry_id, CASE o_orderkey % 11
+    WHEN 0 THEN d WHEN 1 THEN d || 'T10:11:12Z' WHEN 2 THEN d || 'T10:11:12+00:00' WHEN 3 THEN d || 'T10:11:12+0200'
+    WHEN 4 THEN d || 'T10:11:12-05:30' WHEN 5 THEN d || ' 10:11:12' WHEN 6 THEN 'last ' || d
+    WHEN 7 THEN d || 'T10:11:12.500Z' WHEN 8 THEN '2024-13-45' WHEN 9 THEN '' ELSE d || 'T10:11:12' END AS lastmod
+FROM (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS STRING) AS d FROM orders) x"""
