@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sitebrief.functions.urls import WS, strip
+from sitebrief.functions.urls import WS, let, strip
 
 # HTML's named characters that occur in titles and link targets.
 ENTITIES = [
@@ -75,17 +75,18 @@ def is_meaningful(text: Column, min_words: int = 20) -> Column:
 def snippet(text: Column, start: Column, end: Column, width: int = 100) -> Column:
     """Text around ``[start, end)`` (counted from 0), widened to white space, with dots where cut."""
     half = width // 2
-    left = F.greatest(start - half, F.lit(0))
-    right = F.least(end + half, F.length(text))
+    left, right = F.greatest(start - half, F.lit(0)), F.least(end + half, F.length(text))
     before, after = F.substring(text, F.lit(1), left), F.substring(text, right + 1, F.length(text))
-    left = left - F.length(F.regexp_extract(F.reverse(before), r"^[^ \n\t]*", 0))
-    right = right + F.length(F.regexp_extract(after, r"^[^ \n\t]*", 0))
-    body = F.substring(text, left + 1, right - left)
-    return strip(
-        F.concat(
-            F.when(left > 0, F.lit("...")).otherwise(""), body, F.when(right < F.length(text), F.lit("...")).otherwise("")
-        )
-    )
+    edges = F.struct(
+        (left - F.length(F.regexp_extract(F.reverse(before), r"^[^ \n\t]*", 0))).alias("l"),
+        (right + F.length(F.regexp_extract(after, r"^[^ \n\t]*", 0))).alias("r"))
+
+    def cut(x):
+        body = F.substring(text, x["l"] + 1, x["r"] - x["l"])
+        return strip(F.concat(F.when(x["l"] > 0, F.lit("...")).otherwise(""), body,
+                              F.when(x["r"] < F.length(text), F.lit("...")).otherwise("")))
+
+    return let(edges, cut)
 
 
 def html_escape(c: Column) -> Column:

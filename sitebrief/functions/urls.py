@@ -32,6 +32,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
 
 
+def let(value: Column, use) -> Column:
+    """Evaluate ``value`` once and hand it to an expression that reads it many times."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def scheme(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, _SPLIT, 1))
 
@@ -71,11 +76,12 @@ def with_scheme(url: Column) -> Column:
 
 def normalize_input(url: Column) -> Column:
     """What a user typed, with a scheme and at least the root path; fragment dropped."""
-    u = with_scheme(strip(url))
-    q = query(u)
-    return F.concat(
-        scheme(u), F.lit("://"), netloc(u), _or(path(u), "/"), F.when(q != "", F.concat(F.lit("?"), q)).otherwise("")
-    )
+    def rebuild(u):
+        q = query(u)
+        tail = F.when(q != "", F.concat(F.lit("?"), q)).otherwise("")
+        return F.concat(scheme(u), F.lit("://"), netloc(u), _or(path(u), "/"), tail)
+
+    return let(with_scheme(strip(url)), rebuild)
 
 
 def _decode(c: Column) -> Column:
@@ -167,22 +173,27 @@ def _merge_path(base_path: Column, rel_path: Column) -> Column:
 
 def join(base: Column, href: Column) -> Column:
     """Resolve a reference against its page; the query is not needed by the caller."""
-    hs, hn, hp = scheme(href), netloc(href), path(href)
-    relative = (hs == "") | ((hs == scheme(base)) & (hn == ""))
-    origin = F.concat(scheme(base), F.lit("://"), netloc(base))
-    return (
-        F.when(~relative, href)
-        .when(hn != "", F.concat(scheme(base), F.lit("://"), hn, hp))
-        .when(hp == "", F.concat(origin, path(base)))
-        .when(hp.startswith("/") & ~hp.contains("/."), F.concat(origin, hp))
-        .when(hp.startswith("/"), F.concat(origin, _resolve_dots(F.split(hp, "/"))))
-        .otherwise(F.concat(origin, _resolve_dots(_merge_path(path(base), hp))))
-    )
+    parts = F.struct(
+        scheme(href).alias("hs"), netloc(href).alias("hn"), path(href).alias("hp"), scheme(base).alias("bs"),
+        F.concat(scheme(base), F.lit("://"), netloc(base)).alias("origin"))
+
+    def resolve(p):
+        relative = (p["hs"] == "") | ((p["hs"] == p["bs"]) & (p["hn"] == ""))
+        return (
+            F.when(~relative, href)
+            .when(p["hn"] != "", F.concat(p["bs"], F.lit("://"), p["hn"], p["hp"]))
+            .when(p["hp"] == "", F.concat(p["origin"], path(base)))
+            .when(p["hp"].startswith("/") & ~p["hp"].contains("/."), F.concat(p["origin"], p["hp"]))
+            .when(p["hp"].startswith("/"), F.concat(p["origin"], let(F.split(p["hp"], "/"), _resolve_dots)))
+            .otherwise(F.concat(p["origin"], let(_merge_path(path(base), p["hp"]), _resolve_dots)))
+        )
+
+    return let(parts, resolve)
 
 
 def link_resolve(base: Column, href: Column) -> Column:
     skip = (href == "") | _starts_any(href, "javascript:", "mailto:", "tel:", "#", "data:")
-    return F.when(~skip, crawl_form(join(base, href)))
+    return F.when(~skip, let(join(base, href), crawl_form))
 
 
 def external_form(base: Column, href: Column) -> Column:
@@ -213,15 +224,17 @@ def robots_path(url: Column) -> Column:
 
 def format_error(url: Column) -> Column:
     """Null for a valid site URL, else the message."""
-    n = normalize_input(url)
-    host = F.regexp_extract(netloc(n), "^([^:]*)", 1)
-    return (
-        F.when(url.isNull() | (url == ""), F.lit("URL is required"))
-        .when(~n.rlike(SITE_URL), F.concat(F.lit("Invalid URL format: "), url))
-        .when(netloc(n) == "", F.lit("URL must include a domain"))
-        .when((host == "") | host.startswith(".") | host.endswith("."), F.lit("Invalid domain in URL"))
-        .when((host != "localhost") & ~host.contains("."), F.lit("Domain must include a TLD (e.g., .com, .org)"))
-    )
+    def check(n):
+        host = F.regexp_extract(netloc(n), "^([^:]*)", 1)
+        return (
+            F.when(url.isNull() | (url == ""), F.lit("URL is required"))
+            .when(~n.rlike(SITE_URL), F.concat(F.lit("Invalid URL format: "), url))
+            .when(netloc(n) == "", F.lit("URL must include a domain"))
+            .when((host == "") | host.startswith(".") | host.endswith("."), F.lit("Invalid domain in URL"))
+            .when((host != "localhost") & ~host.contains("."), F.lit("Domain must include a TLD (e.g., .com, .org)"))
+        )
+
+    return let(normalize_input(url), check)
 
 
 def upload_error(url: Column) -> Column:

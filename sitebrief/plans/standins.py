@@ -139,7 +139,7 @@ STANDINS["v_batches"] = """
 SELECT 'b' || n_nationkey AS batch_id, n_name AS batch_name,
   CASE n_nationkey % 6 WHEN 0 THEN 'processing' WHEN 1 THEN 'processing' WHEN 2 THEN 'completed'
     WHEN 3 THEN 'cancelled' WHEN 4 THEN 'paused' ELSE 'pending' END AS status,
-  CAST(n_regionkey * 10 AS BIGINT) AS priority, CAST(250 + n_nationkey % 4 AS BIGINT) AS max_concurrent,
+  CAST(n_regionkey * 10 AS BIGINT) AS priority, CAST(12 + n_nationkey % 4 AS BIGINT) AS max_concurrent,
   TS_SEC((1704067200 + n_nationkey % 5 * 86400)) AS created_at,
   CASE WHEN n_nationkey % 6 IN (2, 3) THEN TS_SEC((1704067200 + n_nationkey * 86400)) ELSE NULL END AS completed_at
 FROM nation"""
@@ -220,3 +220,112 @@ SELECT o_orderkey AS entry_id, CASE o_orderkey % 11
     WHEN 4 THEN d || 'T10:11:12-05:30' WHEN 5 THEN d || ' 10:11:12' WHEN 6 THEN 'last ' || d
     WHEN 7 THEN d || 'T10:11:12.500Z' WHEN 8 THEN '2024-13-45' WHEN 9 THEN '' ELSE d || 'T10:11:12' END AS lastmod
 FROM (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS STRING) AS d FROM orders) x"""
+
+# Stored entities. One company holds a third of them.
+STANDINS["v_entities"] = """
+SELECT l_orderkey * 10 + l_linenumber AS entity_id,
+  CASE WHEN l_orderkey % 3 = 0 THEN 'c0' ELSE 'c' || l_suppkey END AS company_id,
+  CASE l_partkey % 12 WHEN 0 THEN 'person' WHEN 1 THEN 'org' WHEN 2 THEN 'location' WHEN 3 THEN 'product'
+    WHEN 4 THEN 'date' WHEN 5 THEN 'money' WHEN 6 THEN 'email' WHEN 7 THEN 'phone' WHEN 8 THEN 'address'
+    WHEN 9 THEN 'social_handle' WHEN 10 THEN 'tech_stack' ELSE 'person' END AS entity_type,
+  'Entity ' || l_partkey AS entity_value, 0.5 + l_discount * 4 AS confidence,
+  'https://p.example.com/' || l_orderkey % 500 AS source_url,
+  CASE WHEN l_partkey % 12 IN (0, 11) AND l_linenumber % 2 = 0 THEN 'Role ' || l_quantity ELSE NULL END AS role,
+  CASE WHEN l_partkey % 12 = 1 AND l_linenumber % 2 = 1 THEN 'partner' ELSE NULL END AS relationship
+FROM lineitem"""
+
+# Stored pages per company.
+STANDINS["v_pages"] = """
+SELECT o_orderkey AS page_id, CASE WHEN o_orderkey % 3 = 0 THEN 'c0' ELSE 'c' || o_custkey END AS company_id,
+  'https://www.example.com/p/' || o_orderkey % 5000 AS url,
+  CASE o_orderkey * 7 % 10 WHEN 0 THEN 'about' WHEN 1 THEN 'team' WHEN 2 THEN 'product' WHEN 3 THEN 'service'
+    WHEN 4 THEN 'contact' WHEN 5 THEN 'careers' WHEN 6 THEN 'pricing' WHEN 7 THEN 'blog' WHEN 8 THEN 'news'
+    ELSE 'other' END AS page_type,
+  CAST(o_orderdate AS TIMESTAMP) AS crawled_at, o_orderstatus = 'P' AS is_external
+FROM orders"""
+
+# Section results of report runs.
+STANDINS["v_section_results"] = """
+SELECT l_orderkey AS analysis_id, CAST(l_linenumber % 8 AS BIGINT) AS ord,
+  CASE l_linenumber % 8 WHEN 0 THEN 'executive_summary' WHEN 1 THEN 'company_overview' WHEN 2 THEN 'business_model'
+    WHEN 3 THEN 'team_leadership' WHEN 4 THEN 'market_position' WHEN 5 THEN 'technology' WHEN 6 THEN 'key_insights'
+    ELSE 'red_flags' END AS section,
+  max(CASE WHEN l_returnflag = 'R' THEN '' ELSE 'Text ' || l_partkey END) AS content,
+  max(CASE WHEN l_discount > 0.08 THEN 'timeout after ' || l_suppkey ELSE NULL END) AS error,
+  max(CAST(floor(l_extendedprice / 10) AS BIGINT)) AS input_tokens, max(CAST(l_quantity AS BIGINT)) AS output_tokens
+FROM lineitem GROUP BY l_orderkey, l_linenumber % 8, l_linenumber"""
+STANDINS["v_section_results"] = STANDINS["v_section_results"].replace(
+    "GROUP BY l_orderkey, l_linenumber % 8, l_linenumber", "GROUP BY 1, 2, 3")
+
+# Crawl frontier: URLs seen per site, and whether each was visited.
+STANDINS["v_frontier"] = """
+SELECT site, url, page_type, min(depth) AS depth, min(ord) AS ord, max(visited) = 1 AS visited,
+  min(CASE page_type WHEN 'about' THEN 1 WHEN 'product' THEN 3 WHEN 'contact' THEN 5 ELSE 10 END) AS priority
+FROM (SELECT CASE WHEN l_orderkey % 3 = 0 THEN 's0' ELSE 's' || l_suppkey END AS site,
+    'https://s.example.com/' || l_partkey AS url,
+    CASE l_partkey % 4 WHEN 0 THEN 'about' WHEN 1 THEN 'product' WHEN 2 THEN 'contact' ELSE 'other' END AS page_type,
+    CAST(l_linenumber % 5 AS BIGINT) AS depth, l_orderkey * 10 + l_linenumber AS ord,
+    CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS visited FROM lineitem) x
+GROUP BY site, url, page_type"""
+
+# Run log: one event per fetched page or job step.
+STANDINS["v_events"] = """
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS job_id, CAST(ts AS TIMESTAMP) AS ts, event_type,
+  CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'crawling' WHEN 'signup' THEN 'extracting'
+    WHEN 'error' THEN 'analyzing' ELSE 'generating' END AS phase,
+  CASE event_type WHEN 'click' THEN 'pause' WHEN 'view' THEN 'resume' ELSE NULL END AS control,
+  CASE event_type WHEN 'error' THEN 500 WHEN 'signup' THEN 301 ELSE 200 END AS status_code,
+  CASE WHEN event_id % 17 = 0 THEN 'Duplicate content' WHEN event_id % 29 = 0 THEN 'Blocked by robots.txt'
+    ELSE NULL END AS error,
+  CAST(floor(value) AS BIGINT) AS external_links, 'https://h.example.com/' || event_id % 700 AS url,
+  props AS hash
+FROM events"""
+
+# Upload rows, some of them wrong, some of them already registered or repeated.
+STANDINS["v_uploads"] = """
+SELECT c_custkey AS row_no,
+  CASE c_custkey % 13 WHEN 0 THEN '' WHEN 1 THEN '  ' || c_name || '  ' WHEN 2 THEN replace(c_name, '0', 'Long name ' ||
+    c_name) || c_name || c_name || c_name ELSE c_name END AS company_name,
+  CASE c_custkey % 11 WHEN 0 THEN '' WHEN 1 THEN 'no-dot' WHEN 2 THEN ' new' || c_custkey % 40 || '.example.com '
+    WHEN 3 THEN 'https://www.customer-' || substr(c_name, 10) || '.example.com'
+    WHEN 4 THEN 'http://shared.example.com/' WHEN 5 THEN 'http://shared.example.com'
+    WHEN 6 THEN 'new' || c_custkey % 40 || '.example.com/' ELSE 'https://u' || c_custkey % 300 || '.example.org/x/' END
+    AS website_url,
+  CASE c_custkey % 9 WHEN 0 THEN '' WHEN 1 THEN replace(c_name, '0', 'industry' || c_name) || c_name ELSE c_mktsegment
+    END AS industry
+FROM customer"""
+
+# robots.txt texts, one per host of the crawl.
+STANDINS["v_robots"] = """
+SELECT domain, CASE length(domain) % 7
+  WHEN 0 THEN 'User-agent: *' || chr(10) || 'Disallow: /fr/' || chr(10) || 'Allow: /fr/1' || chr(10) ||
+    'Crawl-delay: 2' || chr(10) || 'Sitemap: https://' || domain || '/sitemap.xml' || chr(10) || 'Disallow: /e*/9'
+  WHEN 1 THEN 'User-agent: *' || chr(10) || 'Allow: /' || chr(10) || 'Sitemap: HTTP://no'
+  WHEN 2 THEN 'User-agent: SiteBrief-Bot' || chr(13) || chr(10) || 'Disallow: /*?page=' || chr(10) || chr(10) ||
+    'User-agent: *' || chr(10) || 'Disallow: /' || chr(10) || 'Crawl-delay: 9'
+  WHEN 3 THEN '# note' || chr(10) || 'User-agent: * # all' || chr(10) || 'Disallow:' || chr(10) || 'Disallow: /*.html$' ||
+    chr(10) || 'no directive' || chr(10) || 'Crawl-delay: abc' || chr(10) || 'Sitemap: http://' || domain || '/a.xml'
+  WHEN 4 THEN 'USER-AGENT: *' || chr(10) || 'Disallow : /en/' || chr(10) || 'Allow: /en/' || chr(10) || 'Crawl-delay: 0.5'
+  WHEN 5 THEN 'User-agent: other' || chr(10) || 'Disallow: /' || chr(10) || 'User-agent: sitebrief-bot' || chr(10) ||
+    'Crawl-delay: 0' || chr(10) || 'User-agent: *' || chr(10) || 'Disallow: /en/6' || chr(10) || 'Allow: /*/61'
+  ELSE '' END AS content
+FROM (SELECT DISTINCT regexp_extract(url, '//([^/?#]+)', 1) AS domain FROM pages) x"""
+
+# Sitemap documents: a forest of index files (children of k are 2k+10 and 2k+11) with url lists as leaves.
+STANDINS["v_sitemaps"] = """
+SELECT k AS doc_id, k < 10 AS is_root, 'https://sm.example.com/' || k || '.xml' AS sitemap_url, CASE
+  WHEN k % 13 = 12 THEN '<urlset><url><loc>https://broken.example.com/</loc>'
+  WHEN k % 17 = 16 THEN '<feed><url><loc>https://feed.example.com/</loc></url></feed>'
+  WHEN k % 4 = 3 OR k >= 60 THEN '<?xml version="1.0"?><urlset' || CASE WHEN k % 3 = 0 THEN '' ELSE
+      ' xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"' END || '>' ||
+    '<url><loc> https://sm.example.com/a/' || k || ' </loc><lastmod>2024-01-0' || (k % 9 + 1) ||
+      '</lastmod><priority>0.' || k % 10 || '</priority></url>' ||
+    '<url><loc>https://sm.example.com/b/' || k || '</loc><changefreq>daily</changefreq><priority>high</priority></url>' ||
+    '<url><lastmod>2024-01-01</lastmod></url>' ||
+    '<url><loc>https://sm.example.com/b/' || k || '</loc></url></urlset>'
+  ELSE '<sitemapindex' || CASE WHEN k % 2 = 0 THEN ' xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"' ELSE '' END ||
+    '><sitemap><loc>https://sm.example.com/' || (k * 2 + 10) || '.xml</loc></sitemap>' ||
+    '<sitemap><loc>https://sm.example.com/' || k || '.xml</loc></sitemap>' ||
+    '<sitemap><loc>https://sm.example.com/' || (k * 2 + 11) || '.xml</loc></sitemap>' ||
+    '<sitemap><loc>https://sm.example.com/' || k % 10 || '.xml</loc></sitemap></sitemapindex>' END AS xml
+FROM (SELECT c_custkey AS k FROM customer) x"""
