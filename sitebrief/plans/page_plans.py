@@ -42,14 +42,17 @@ _hrefs = (
 )
 
 
-@query("page_links", f"""WITH h AS (SELECT page_id, url AS base, {_hrefs} AS hs FROM pages),
+ORACLE_LINKS = f"""h AS (SELECT page_id, url AS base, {_hrefs} AS hs FROM pages),
 u AS (SELECT page_id, base, CAST(i - 1 AS BIGINT) AS pos,
   {unescape_sql("regexp_replace(hs[i], '^[\"'']|[\"'']$', '', 'g')")} AS href
   FROM (SELECT page_id, base, hs, unnest(range(1, len(hs) + 1)) AS i FROM h)),
 r AS (SELECT *, CASE WHEN starts_with(href, '//') THEN {O.scheme('base')} || ':' || href
   WHEN starts_with(href, '/') THEN {O.scheme('base')} || '://' || {O.netloc('base')} || href ELSE href END AS f FROM u
-  WHERE NOT regexp_matches(href, '^(javascript:|mailto:|tel:|#|data:)'))
-SELECT page_id, pos, {crawl_form_sql('f')} AS link FROM r WHERE {crawl_form_sql('f')} IS NOT NULL""")
+  WHERE NOT regexp_matches(href, '^(javascript:|mailto:|tel:|#|data:)')),
+lnk AS (SELECT page_id, pos, {crawl_form_sql('f')} AS link FROM r WHERE {crawl_form_sql('f')} IS NOT NULL)"""
+
+
+@query("page_links", f"WITH {ORACLE_LINKS} SELECT page_id, pos, link FROM lnk")
 def page_links(t):
     return pages_op.links(t.pages)
 
