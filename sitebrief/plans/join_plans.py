@@ -156,7 +156,7 @@ walk AS (SELECT sitemap_url AS root, sitemap_url, 0 AS lvl, '' AS path FROM v_si
 files AS (SELECT root, sitemap_url, min(lpad(lvl::VARCHAR, 3, '0') || path) AS met FROM walk GROUP BY 1, 2),
 kept AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY met) AS rn FROM files),
 outp AS (SELECT k.root, k.sitemap_url, s.url, row_number() OVER (PARTITION BY k.root ORDER BY k.rn, s.i) AS n
-  FROM kept k JOIN surls s USING (sitemap_url) WHERE rn <= 50)
+  FROM kept k JOIN surls s USING (sitemap_url) WHERE k.rn <= 50)
 SELECT root, n, sitemap_url, url FROM outp WHERE n <= 10000""")
 def sitemap_expand(t):
     docs = t.v_sitemaps

@@ -223,7 +223,7 @@ FROM (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS STRING) AS d FROM ord
 
 # Stored entities. One company holds a third of them.
 STANDINS["v_entities"] = """
-SELECT l_orderkey * 10 + l_linenumber AS entity_id,
+SELECT (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS entity_id,
   CASE WHEN l_orderkey % 3 = 0 THEN 'c0' ELSE 'c' || l_suppkey END AS company_id,
   CASE l_partkey % 12 WHEN 0 THEN 'person' WHEN 1 THEN 'org' WHEN 2 THEN 'location' WHEN 3 THEN 'product'
     WHEN 4 THEN 'date' WHEN 5 THEN 'money' WHEN 6 THEN 'email' WHEN 7 THEN 'phone' WHEN 8 THEN 'address'
