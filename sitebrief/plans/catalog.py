@@ -2,6 +2,7 @@
 
 from sitebrief.plans import (  # noqa: F401
     aggregate_plans,
+    dedup_plans,
     extract_plans,
     join_plans,
     list_plans,

@@ -223,7 +223,7 @@ FROM (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS STRING) AS d FROM ord
 
 # Stored entities. One company holds a third of them.
 STANDINS["v_entities"] = """
-SELECT (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS entity_id,
+SELECT ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey AS entity_id,
   CASE WHEN l_orderkey % 3 = 0 THEN 'c0' ELSE 'c' || l_suppkey END AS company_id,
   CASE l_partkey % 12 WHEN 0 THEN 'person' WHEN 1 THEN 'org' WHEN 2 THEN 'location' WHEN 3 THEN 'product'
     WHEN 4 THEN 'date' WHEN 5 THEN 'money' WHEN 6 THEN 'email' WHEN 7 THEN 'phone' WHEN 8 THEN 'address'
@@ -329,3 +329,29 @@ SELECT k AS doc_id, k < 10 AS is_root, 'https://sm.example.com/' || k || '.xml'
     '<sitemap><loc>https://sm.example.com/' || (k * 2 + 11) || '.xml</loc></sitemap>' ||
     '<sitemap><loc>https://sm.example.com/' || k % 10 || '.xml</loc></sitemap></sitemapindex>' END AS xml
 FROM (SELECT c_custkey AS k FROM customer) x"""
+
+# Raw mentions before merging. One company holds a third of them; some have no confidence or source.
+STANDINS["v_mentions"] = """
+SELECT c_custkey * 2 AS pos, CASE WHEN c_custkey % 3 = 0 THEN 'c0' ELSE 'c' || c_nationkey END AS company_id,
+  CASE c_custkey % 4 WHEN 0 THEN 'person' WHEN 1 THEN 'org' WHEN 2 THEN 'email' ELSE 'phone' END AS type,
+  CASE c_custkey % 4
+    WHEN 0 THEN CASE c_custkey % 36 WHEN 0 THEN 'John' WHEN 4 THEN 'J.' WHEN 8 THEN 'JOHN A.' WHEN 12 THEN 'j'
+      WHEN 16 THEN 'Jane' WHEN 20 THEN 'Mary Ann' WHEN 24 THEN 'M.' WHEN 28 THEN '' ELSE 'Robert' END || ' ' ||
+      CASE c_custkey % 28 WHEN 0 THEN 'Smith' WHEN 4 THEN 'Jones ' WHEN 8 THEN 'Miller' ELSE 'Lee' || c_custkey % 50 END
+    WHEN 1 THEN CASE c_custkey % 20 WHEN 1 THEN 'Acme Robotics' WHEN 5 THEN 'Globex' WHEN 9 THEN 'Initech Systems'
+      WHEN 13 THEN 'Umbrella' ELSE c_name END || CASE c_custkey % 28 WHEN 1 THEN ' Inc.' WHEN 5 THEN ' LLC' WHEN 9 THEN
+      ' Corporation' WHEN 13 THEN ', Ltd' ELSE '' END
+    WHEN 2 THEN CASE c_custkey % 8 WHEN 2 THEN 'Sales' ELSE 'sales' END || c_custkey % 60 || '@acme.io '
+    ELSE CASE c_custkey % 8 WHEN 3 THEN '+1 (415) 555-' ELSE '415.555.' END || (1000 + c_custkey % 70) END AS value,
+  CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE 0.5 + c_custkey % 9 * 0.05 END AS confidence,
+  CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE 'https://p/' || c_custkey % 37 END AS source_url,
+  CASE WHEN c_custkey % 13 = 0 THEN '' ELSE 'near ' || c_custkey % 41 END AS context,
+  CASE WHEN c_custkey % 8 = 0 THEN 'Role ' || c_custkey % 3 ELSE NULL END AS role,
+  CASE WHEN c_custkey % 8 = 1 THEN 'partner' WHEN c_custkey % 8 = 5 THEN 'client' ELSE NULL END AS relationship
+FROM customer
+UNION ALL
+SELECT p_partkey * 2 + 1, CASE WHEN p_partkey % 3 = 0 THEN 'c0' ELSE 'c' || p_partkey % 25 END,
+  CASE p_partkey % 2 WHEN 0 THEN 'product' ELSE 'location' END,
+  CASE WHEN p_partkey % 50 = 0 THEN '' ELSE p_name || ' ' || p_brand || ' ' || p_type END, p_retailprice / 2000,
+  'https://q/' || p_partkey % 31, 'by ' || p_partkey % 29, NULL, NULL
+FROM part"""
