@@ -28,7 +28,8 @@ def merge(clustered: DataFrame, extra_keys: list[str] = EXTRA_KEYS) -> DataFrame
 
     The value is that of the first most confident row; a missing confidence ranks as 0 and
     counts as 0.5; each mention adds 0.02, at most 0.2. Of extras the first wins. Source and
-    context lists have no bound, so they are rows of ``cluster_sources``; here are their counts.
+    context lists have no bound, so they are rows of ``cluster_sources``; here are their counts
+    (Spark counts distinct values by cluster and value first, so a large cluster is spread).
     """
     at = F.struct("o1", "o2")
     best = F.max_by(
@@ -39,15 +40,10 @@ def merge(clustered: DataFrame, extra_keys: list[str] = EXTRA_KEYS) -> DataFrame
         "context", F.nullif("context", F.lit("")))
     out = df.groupBy("company_id", "type", "cluster").agg(
         best.alias("_b"), F.count("*").alias("mentions"), F.min("source_url").alias("source_url"),
-        F.min("context").alias("context"), *extras, *sets)
-    # Distinct counts in two steps each: a cluster of very many mentions is spread by its values.
-    for col, name in [("source_url", "n_sources"), ("context", "n_contexts")]:
-        per = df.filter(F.col(col).isNotNull()).select("company_id", "type", "cluster", col).distinct()
-        n = per.groupBy("company_id", "type", "cluster").agg(F.count("*").alias(name))
-        out = out.join(n, ["company_id", "type", "cluster"], "left")
+        F.min("context").alias("context"), F.count_distinct("source_url").alias("n_sources"),
+        F.count_distinct("context").alias("n_contexts"), *extras, *sets)
     conf = F.least(F.lit(1.0), F.coalesce("_b.confidence", F.lit(0.5)) + F.least(F.lit(0.2), F.col("mentions") * 0.02))
-    return out.withColumn("value", F.col("_b.value")).withColumn("confidence", conf).fillna(
-        0, ["n_sources", "n_contexts"]).drop("_b")
+    return out.withColumn("value", F.col("_b.value")).withColumn("confidence", conf).drop("_b")
 
 
 def cluster_sources(clustered: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from sitebrief.plans import (  # noqa: F401
     rank_plans,
     scalar_plans,
     set_plans,
+    sink_plans,
+    stream_plans,
     url_plans,
 )
 from sitebrief.plans.registry import ORACLES, QUERIES  # noqa: F401
