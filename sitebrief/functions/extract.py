@@ -151,31 +151,25 @@ def with_phones(df: DataFrame, text: str = "text", out: str = "phones") -> DataF
     return df.withColumn(out, rows.cast(ENTITY)).drop("_m")
 
 
-def address_matches(text: Column) -> Column:
-    """All address matches, pattern by pattern.
+# The address patterns for Java, each linear in the text. They find what ADDRESSES find: words
+# and spaces are taken whole up to a comma, the fixed part is looked for from the end of a
+# stretch of words backwards (a greedy match prefers the last one), and a match starts only
+# where such a stretch starts or the last match ended, because a start further in can do no more.
+_WS_RUN = f"[{_WORD}{_SPACE}]"
+_FRESH = f"(?:\\G|(?<!{_WS_RUN}))"
+_POSTCODE = r"[A-Z]{1,2}\d{1,2}" + WS + r"*\d[A-Z]{2}"
+_ADDRESSES_J = [
+    r"(?i)(?:\G|(?<!\d))\d++" + ADDRESSES[0][len(r"(?i)\d+"):],
+    _FRESH + _WS_RUN + "++," + WS + r"*+[A-Z]{2}" + WS + r"++\d{5}(?:-\d{4})?",
+    f"(?i){_FRESH}(?:{_WS_RUN}++,{_WS_RUN}++,{WS}*+{_POSTCODE}|{_WS_RUN}++,{_WS_RUN}+{_POSTCODE}"
+    f"|{_WS_RUN}{{2,}}+,{WS}*+{_POSTCODE}|{_WS_RUN}{{2,}}{_POSTCODE})",
+]
+_ADDRESS_NEEDS = [r"\d" + WS, r"[A-Z]{2}" + WS + r"+\d{5}", f"(?i){_POSTCODE}"]
 
-    The patterns scan far over words; each is run only on the stretches of text it could
-    match in (no other characters between), and only where its fixed part occurs.
-    """
-    street = r"(?i)St|Ave|Blvd|Boulevard|Dr|Road|Rd|Lane|Ln|Way|Court|Ct|Pl|Cir"
-    fixed = [street, r"[A-Z]{2}" + WS + r"+\d{5}", r"(?i)[A-Z]{1,2}\d{1,2}" + WS + r"*\d[A-Z]{2}"]
-    borders = [f"[^{_WORD}{_SPACE},.#\\-]+", f"[^{_WORD}{_SPACE},\\-]+", f"[^{_WORD}{_SPACE},]+"]
-    kind = "array<struct<value:string,s:int,e:int>>"
 
-    def step(acc, m):
-        s = F.position(m, text, acc["end"] + 1) - 1
-        e = s + F.length(m)
-        row = F.struct(m.alias("value"), s.alias("s"), e.alias("e"))
-        return F.struct(e.alias("end"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    def one(pattern, need, border):
-        pieces = F.filter(F.split(text, border), lambda x: x.rlike(r"\d") & x.rlike(need))
-        found = F.flatten(F.transform(pieces, lambda x: F.regexp_extract_all(x, F.lit(pattern), F.lit(0))))
-        start = F.struct(F.lit(0).alias("end"), F.array().cast(kind).alias("out"))
-        return F.coalesce(F.when(text.rlike(need), F.aggregate(found, start, step)["out"]), F.array().cast(kind))
-
-    out = [one(*x) for x in zip(ADDRESSES, fixed, borders)]
-    return F.concat(*out)
+def address_matches(text: Column) -> Column:
+    """All address matches, pattern by pattern, where the fixed part of a pattern occurs."""
+    return F.concat(*[_only_if(text.rlike(need), matches(text, p)) for p, need in zip(_ADDRESSES_J, _ADDRESS_NEEDS)])
 
 
 def with_addresses(df: DataFrame, text: str = "text", out: str = "addresses") -> DataFrame:

@@ -95,6 +95,11 @@ def entity_dedup_fuzzy(t):
     return _out(D.merge(D.cluster_fuzzy(t.v_mentions.filter("type IN ('product', 'location')"))))
 
 
+@query("entity_dedup_all")
+def entity_dedup_all(t):
+    return _out(D.merge(D.cluster_all(t.v_mentions)))
+
+
 def _people(t):
     names = t.v_mentions.filter("type = 'person'").select("company_id", F.col("value").alias("name"))
     roster = t.v_mentions.filter("type = 'person' AND pos % 5 < 2").select("company_id", F.col("value").alias("known"))
