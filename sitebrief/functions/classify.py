@@ -116,11 +116,13 @@ def with_page_type(df: DataFrame, url: str = "url", text: str = "text") -> DataF
 
 def social_platform(url: Column) -> Column:
     """Platform by exact host, or null. The host list is short: an expression, no join."""
-    host = F.lower(urls.netloc(url))
-    out = None
-    for name, hosts in P.PLATFORM_HOSTS.items():
-        out = F.when(host.isin(*hosts), name) if out is None else out.when(host.isin(*hosts), name)
-    return out
+    def pick(host):
+        out = None
+        for name, hosts in P.PLATFORM_HOSTS.items():
+            out = F.when(host.isin(*hosts), name) if out is None else out.when(host.isin(*hosts), name)
+        return out
+
+    return urls.let(F.lower(urls.netloc(url)), pick)
 
 
 def _first_group(url: Column, patterns: list[str]) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sitebrief.functions import patterns as P
+from sitebrief.functions.urls import let
 
 # Price in dollars of a million tokens read and written.
 INPUT_PRICE = 3.0
@@ -77,19 +78,20 @@ _TIMES = [("started", "crawlStartTime"), ("saved", "lastCheckpointTime")]
 
 def checkpoint(json: Column) -> Column:
     """A complete checkpoint struct from stored JSON: wrong or missing fields get defaults."""
-    v = F.try_parse_json(json)
-    lists = [F.coalesce(F.try_variant_get(v, f"$.{k}", "array<string>"), F.array().cast("array<string>")).alias(n)
-             for n, k in _LISTS]
-    counts = [F.coalesce(F.try_variant_get(v, f"$.{k}", "bigint"), F.lit(0).cast("bigint")).alias(n)
-              for n, k in _COUNTS]
-    times = [F.try_variant_get(v, f"$.{k}", "string").alias(n) for n, k in _TIMES]
-    version = F.coalesce(F.try_variant_get(v, "$.version", "bigint"), F.lit(1).cast("bigint")).alias("version")
-    return F.struct(version, *lists, *counts, *times)
-
-
-def section(json: Column, key: str) -> Column:
-    """struct<content, sources, confidence> of one report section; plain text becomes content."""
-    v = F.try_parse_json(json)
+    def build(v):
+        none = F.array().cast("array<string>")
+        lists = [F.coalesce(F.try_variant_get(v, f"$.{k}", "array<string>"), none).alias(n) for n, k in _LISTS]
+        counts = [F.coalesce(F.try_variant_get(v, f"$.{k}", "bigint"), F.lit(0).cast("bigint")).alias(n)
+                  for n, k in _COUNTS]
+        times = [F.try_variant_get(v, f"$.{k}", "string").alias(n) for n, k in _TIMES]
+        version = F.coalesce(F.try_variant_get(v, "$.version", "bigint"), F.lit(1).cast("bigint")).alias("version")
+        return F.struct(version, *lists, *counts, *times)
+
+    return let(F.try_parse_json(json), build)
+
+
+def section(v: Column, key: str) -> Column:
+    """struct<content, sources, confidence> of one section of parsed JSON; plain text becomes content."""
     whole = F.try_variant_get(v, f"$.{key}", "variant")
     is_object = F.coalesce(F.schema_of_variant(whole).startswith("OBJECT<"), F.lit(False))
     text = F.try_variant_get(v, f"$.{key}", "string")
@@ -106,7 +108,8 @@ def section(json: Column, key: str) -> Column:
 
 def sections(json: Column) -> Column:
     """All export sections as array<struct<section, content, sources, confidence>>, in order."""
-    return F.array(*[F.struct(F.lit(k).alias("section"), section(json, k).alias("s")) for k in P.EXPORT_SECTIONS])
+    return let(F.try_parse_json(json), lambda v: F.array(*[
+        F.struct(F.lit(k).alias("section"), section(v, k).alias("s")) for k in P.EXPORT_SECTIONS]))
 
 
 def merge_config(base: Column, override: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sitebrief.functions.urls import WS, let, strip
+from sitebrief.functions.urls import JAVA_WS, let, strip
 
 # HTML's named characters that occur in titles and link targets.
 ENTITIES = [
@@ -52,7 +52,7 @@ def all_hrefs(html: Column) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    return F.regexp_replace(c, f"{WS}+", " ")
+    return F.regexp_replace(c, f"{JAVA_WS}+", " ")
 
 
 def content_hash(text: Column) -> Column:

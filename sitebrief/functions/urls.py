@@ -28,8 +28,14 @@ BLOCKED_NETWORK = (
 _SPLIT = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(//([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
 
 
+# The same class for Java alone, which matches it several times faster.
+JAVA_WS = r"(?U:[\s\x1c-\x1f])"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    """Python's strip. Most texts have no space at their ends; two characters decide that."""
+    ends = F.concat(F.left(c, F.lit(1)), F.right(c, F.lit(1)))
+    return F.when(ends.rlike(JAVA_WS), F.regexp_replace(c, f"^{JAVA_WS}+|{JAVA_WS}+$", "")).otherwise(c)
 
 
 def let(value: Column, use) -> Column:

@@ -56,12 +56,13 @@ def expand(docs: DataFrame, roots: DataFrame, max_files: int = 50, max_urls: int
     gives at most ``max_urls`` URLs; these limits are part of the operator. What is kept between
     rounds is the list of handled files, never the documents.
     """
-    parsed = with_parsed(docs).select("sitemap_url", "kind", "children")
+    # Index files are parsed once, to (file, child) rows.
+    links = cut_lineage(explode_rows(with_parsed(docs), "children", ["sitemap_url"]))
     level = roots.select("root", F.col("root").alias("sitemap_url"), F.lit(1).cast("bigint").alias("ord"))
     done = cut_lineage(level)
     front = done
     while True:
-        kids = explode_rows(front.join(parsed, "sitemap_url"), "children", ["root", "ord"])
+        kids = front.join(links, "sitemap_url")
         kids = kids.groupBy("root", F.col("_col").alias("sitemap_url")).agg(
             F.min(F.struct("ord", "_pos")).alias("_at"))
         kids = kids.join(done.select("root", "sitemap_url"), ["root", "sitemap_url"], "left_anti")
