@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sitebrief.plans.standins import STANDINS
-from sitebrief.session import TABLE_SCHEMAS, read_table
+from sitebrief.session import TABLE_SCHEMAS, read_table, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,6 +78,7 @@ def query(name: str, oracle: str | None = None):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             # Times are compared in UTC; the zone is fixed when the plan is analysed.
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            ship_package(spark)
             return fn(Tables(spark, sf_dir))
 
         if name in QUERIES:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +57,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, wherever the driver was started."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        stem = os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "sitebrief")
+        spark.sparkContext.addPyFile(shutil.make_archive(stem, "zip", root, "sitebrief"))
+        _shipped.add(app)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors and ends the lineage."""
     shared_folder(df.sparkSession)
