@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import StructType
 
 from sitebrief.session import read_table, shared_folder, ship_package
 
@@ -23,7 +23,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def schema_of(ddl: str) -> StructType:
-    return _parse_datatype_string(ddl)
+    return StructType.fromDDL(ddl)
 
 
 def map_texts(df: DataFrame, make: Callable[[], Callable[[str], tuple]], ddl: str, key: str = "doc_id",

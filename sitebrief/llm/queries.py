@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitebrief.llm import chat
+from sitebrief.llm import chat, media
+from sitebrief.llm.common import documents
 from sitebrief.session import read_table, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +52,9 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)],
                                  "conv_id long, turn long, role string, text string")
     return chat.format_digests(read_table(spark, sf_dir, "conversations").unionByName(more))
+
+
+@query("op9_media_columns")
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as 8-bit images in archives, read back by the data source."""
+    return media.media_digests(documents(spark, sf_dir))
