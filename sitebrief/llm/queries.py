@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitebrief.llm import chat, media, quality
+from sitebrief.llm import chat, media, quality, secret_scan
 from sitebrief.llm.common import documents
 from sitebrief.session import read_table, ship_package
 
@@ -95,3 +95,9 @@ SELECT *, NOT base_failed AND NOT left_chars < 0.5 * word_chars AS kept FROM b
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line-first rules over all documents."""
     return quality.quality_table(documents(spark, sf_dir))
+
+
+@query("op2_secret_scan")
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
+    return secret_scan.scan_secrets(documents(spark, sf_dir))
