@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitebrief.llm import chat, media, quality, secret_scan
+from sitebrief.llm import chat, media, mixing, quality, secret_scan
 from sitebrief.llm.common import documents
 from sitebrief.session import read_table, ship_package
 
@@ -101,3 +101,33 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents."""
     return secret_scan.scan_secrets(documents(spark, sf_dir))
+
+
+OP4 = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    -ln((('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE)
+      / greatest(0.1::DOUBLE, 1.0::DOUBLE - (length(text) - length(translate(text, '#*$%&|<>', ''))) * 2.0::DOUBLE
+        / greatest(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')), 1)) AS key
+  FROM (SELECT doc_id, source, coalesce(text, '') AS text FROM documents)),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank
+  FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][((rank - 1) % 3 + 1)::INT] AS weight FROM s),
+f AS (SELECT *, source_size * 2.0::DOUBLE / weight AS full_at FROM w),
+l AS (SELECT *, ((SELECT sum(source_size) FROM s)::BIGINT * 1.5::DOUBLE
+    - coalesce(sum(source_size) OVER (ORDER BY full_at, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT * 2.0::DOUBLE)
+    / (sum(weight) OVER (ORDER BY full_at, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS level FROM f),
+t AS (SELECT source, source_size,
+    least(source_size * 2.0::DOUBLE, weight * (SELECT level FROM l WHERE full_at >= level ORDER BY full_at, rank LIMIT 1)) AS target FROM l),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t),
+c AS (SELECT d.doc_id, d.size, source_size, target, epochs,
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY key, doc_id) - d.size / 2.0::DOUBLE
+      <= target - epochs * source_size, false) AS front
+  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target, size * (epochs + front::INT)::BIGINT AS taken, (epochs + front::INT)::BIGINT AS copies FROM c
+"""
+
+
+@query("op4_source_mix", OP4)
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to 150 % of their words."""
+    return mixing.mix_table(documents(spark, sf_dir))
