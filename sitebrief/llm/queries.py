@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitebrief.llm import chat, media, mixing, quality, secret_scan
+from sitebrief.llm import chat, licenses, media, mixing, quality, secret_scan
 from sitebrief.llm.common import documents
 from sitebrief.session import read_table, ship_package
 
@@ -131,3 +131,40 @@ SELECT doc_id, size, source_size, target, size * (epochs + front::INT)::BIGINT A
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to 150 % of their words."""
     return mixing.mix_table(documents(spark, sf_dir))
+
+
+_GRAMS = ", ".join(f"({t}, '{label}', {n}, {p}, '{' '.join(gram)}')" for t, label, n, p, gram in licenses.template_grams(licenses.TEMPLATES, 3))
+OP10 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+t(template, label, n, tpos, gram) AS (VALUES """ + _GRAMS + r"""),
+x AS (SELECT r, unnest(w) AS w1, generate_subscripts(w, 1) - 1 AS p FROM d),
+g AS (SELECT r, p, w1, lead(w1) OVER o AS w2, lead(w1, 2) OVER o AS w3, lead(w1, 3) OVER o AS w4 FROM x WINDOW o AS (PARTITION BY r ORDER BY p)),
+b AS (SELECT r, p, CASE WHEN w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 = 'under the mit license' THEN 'mit'
+    WHEN w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 = 'apache license version 2' THEN 'apache-2'
+    WHEN w1 || ' ' || w2 || ' ' || w3 = 'cc by nc' THEN 'cc-by-nc' END AS label FROM g),
+base AS (SELECT r, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, list(DISTINCT label) AS labels
+  FROM b WHERE label IS NOT NULL GROUP BY r),
+v AS (SELECT r, template, label, n, tpos, p, p - tpos AS diagonal FROM g JOIN t ON t.gram = w1 || ' ' || w2 || ' ' || w3),
+z AS (SELECT r, template, any_value(label) AS label, any_value(n) AS n, diagonal, min(p) AS s, max(p) + 3 AS e, list(DISTINCT tpos) AS tp
+  FROM v GROUP BY r, template, diagonal),
+z2 AS (SELECT *, coalesce((diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) > 2)::INT, 1) AS fresh FROM z),
+z3 AS (SELECT *, sum(fresh) OVER (PARTITION BY r, template ORDER BY diagonal) AS span FROM z2),
+z4 AS (SELECT r, template, any_value(label) AS label, any_value(n) AS n, min(s) AS s, max(e) AS e, flatten(list(tp)) AS tp
+  FROM z3 GROUP BY r, template, span),
+z5 AS (SELECT *, len(list_distinct(flatten(list_transform(tp, lambda q: [q, q + 1, q + 2])))) / n AS coverage FROM z4),
+m AS (SELECT r, max(coverage) AS coverage, list(DISTINCT label) AS labels, count(*) AS n_spans
+  FROM z5 WHERE coverage >= 0.75 AND e - s <= n * 1.25 + 2 GROUP BY r)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(m.labels, [])))), ',') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(coverage, 0.0::DOUBLE) END AS score, coalesce(n_spans, 0)::BIGINT AS n_spans
+FROM d LEFT JOIN base USING (r) LEFT JOIN m USING (r)
+"""
+
+
+@query("op10_license_scan", OP10)
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents."""
+    return licenses.scan_licenses(documents(spark, sf_dir))
