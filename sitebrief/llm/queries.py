@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitebrief.llm import chat, licenses, media, mixing, quality, secret_scan
+from sitebrief.llm import chat, licenses, media, mixing, quality, secret_scan, toxicity
 from sitebrief.llm.common import documents
 from sitebrief.session import read_table, ship_package
 
@@ -168,3 +168,9 @@ FROM d LEFT JOIN base USING (r) LEFT JOIN m USING (r)
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices in all documents."""
     return licenses.scan_licenses(documents(spark, sf_dir))
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxic passages of all documents; learnt from the labelled rows outside fold 0."""
+    return toxicity.toxicity_table(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
