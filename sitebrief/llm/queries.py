@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitebrief.llm import chat, licenses, media, minhash, mixing, quality, secret_scan, toxicity
+from sitebrief.llm import chat, licenses, media, minhash, mixing, pieces, quality, secret_scan, toxicity
 from sitebrief.llm.common import documents
 from sitebrief.session import read_table, ship_package
 
@@ -196,3 +196,9 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(reach) AS c FROM r GROUP
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     return minhash.near_duplicates(documents(spark, sf_dir))
+
+
+@query("op6_sentence_pieces")
+def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded to pieces and decoded again."""
+    return pieces.encoding_table(documents(spark, sf_dir))
