@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitebrief.llm import chat, licenses, media, minhash, mixing, pieces, quality, secret_scan, toxicity
+from sitebrief.llm import chat, licenses, media, minhash, mixing, pieces, quality, secret_scan, suffixes, toxicity
 from sitebrief.llm.common import documents
 from sitebrief.session import read_table, ship_package
 
@@ -68,21 +68,26 @@ _BAD_LINE = """(
 OP5 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, unnest(l) AS word, generate_subscripts(l, 1) AS p, len(l) AS n
-  FROM (SELECT r, regexp_extract_all(text, '[^ 	-]+') AS l FROM d)),
+  FROM (SELECT r, regexp_extract_all(text, '[^ 	-
+]+') AS l FROM d)),
 g AS (SELECT r, p, list_value(word, lead(word) OVER o, lead(word, 2) OVER o) AS g, n FROM w WINDOW o AS (PARTITION BY r ORDER BY p)),
 c AS (SELECT r, p, count(*) OVER (PARTITION BY r, g) AS k FROM g WHERE p <= n - 2),
 rep AS (SELECT r, count(DISTINCT q) AS n_repeat_words FROM (SELECT r, unnest([p, p + 1, p + 2]) AS q FROM c WHERE k > 1) GROUP BY r),
 raw AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
-lines AS (SELECT r, line, trim(line, ' ') AS x FROM raw WHERE regexp_matches(line, '[^ 	-]')),
+lines AS (SELECT r, line, trim(line, ' ') AS x FROM raw WHERE regexp_matches(line, '[^ 	-
+]')),
 f AS (SELECT *, lower(x) AS low, length(x) AS n,
     length(x) - length(translate(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS gaps,
     length(x) - length(translate(x, '|»›·•>', '')) AS marks,
     length(x) - length(translate(x, '#*$%&|<>', '')) AS symbols FROM lines),
 s AS (SELECT r, count(*) - count(DISTINCT line) AS dup,
-    coalesce(sum(length(regexp_replace(line, '[ 	-]+', '', 'g'))) FILTER (NOT """ + _BAD_LINE + r"""), 0) AS left_chars
+    coalesce(sum(length(regexp_replace(line, '[ 	-
+]+', '', 'g'))) FILTER (NOT """ + _BAD_LINE + r"""), 0) AS left_chars
   FROM f GROUP BY r),
-m AS (SELECT d.doc_id, len(regexp_extract_all(text, '[^ 	-]+')) AS n_words,
-    length(regexp_replace(text, '[ 	-]+', '', 'g')) AS word_chars,
+m AS (SELECT d.doc_id, len(regexp_extract_all(text, '[^ 	-
+]+')) AS n_words,
+    length(regexp_replace(text, '[ 	-
+]+', '', 'g')) AS word_chars,
     length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines,
     coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(left_chars, 0)::BIGINT AS left_chars
   FROM d LEFT JOIN rep USING (r) LEFT JOIN s USING (r)),
@@ -202,3 +207,27 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded to pieces and decoded again."""
     return pieces.encoding_table(documents(spark, sf_dir))
+
+
+OP1 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT r, b, n, substr(h, 2 * b + 1, 800) AS h FROM (
+  SELECT r, h, len(h) // 2 - 199 AS n, unnest(range(0, len(h) // 2 - 199, 200)) AS b FROM d WHERE len(h) >= 400)),
+w AS (SELECT r, b + i AS i, md5(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT r, b, h, unnest(range(0, least(200, n - b))) AS i FROM b)),
+m AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+s AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM w SEMI JOIN m USING (k)),
+g AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS g FROM s),
+x AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY r, g),
+p AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS z FROM x),
+y AS (SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS tail, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS head
+  FROM p JOIN d USING (r) GROUP BY r)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN y USING (r)
+"""
+
+
+@query("op1_suffix_dedup", OP1)
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of 200 bytes that all documents repeat."""
+    return suffixes.repeats_table(documents(spark, sf_dir))
