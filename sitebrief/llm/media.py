@@ -201,9 +201,9 @@ def read_member(open_file, member: zipfile.ZipInfo, tries: int, wait: float = 0.
             with open_file() as f:
                 f.seek(member.header_offset)
                 head = f.read(30)
-                name, extra = struct.unpack_from("<HH", head, 26)
-                if head[:4] != b"PK\x03\x04":
+                if len(head) < 30 or head[:4] != b"PK\x03\x04":
                     raise OSError("no member begins here")
+                name, extra = struct.unpack_from("<HH", head, 26)
                 f.seek(member.header_offset + 30 + name + extra)
                 data = f.read(member.compress_size)
                 if len(data) != member.file_size or zlib.crc32(data) != member.CRC:

@@ -62,7 +62,7 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # DuckDB. Spark's and DuckDB's regular expressions agree on these patterns.
 _BAD_LINE = """(
-  (gaps <= 9 AND (""" + " OR ".join(f"contains(low, '{p}')" for p in quality.BOILERPLATE) + """))
+  (gaps <= 9 AND (""" + " OR ".join(f"contains(low, '{p}')" for p in quality.BOILERPLATE) + r"""))
   OR (marks >= 2 AND marks * 4 >= gaps + 1) OR symbols * 10 >= n
   OR (gaps <= 9 AND NOT regexp_matches(x, '[.!?…。！？:;][\x22'')\]»”’]*$')))"""
 OP5 = r"""

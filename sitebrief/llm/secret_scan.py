@@ -94,6 +94,8 @@ class GuessCost:
                 runs["step"][i] = runs["step"][i - 1] + 1 if before else 2
             if (low[i - 1], low[i]) in self.touch:
                 runs["walk"][i] = runs["walk"][i - 1] + 1
+        # period[p]: how long the text that ends here has been repeating the p characters before.
+        period = [0] * 17
         dates: dict[int, list[tuple[int, float]]] = {}
         for m in (m for i in range(n) if low[i].isdigit() for m in [_DATE.match(low, i)] if m):
             dates.setdefault(m.end(), []).append((m.start(), DATE_BITS[m.end() - m.start() > 4]))
@@ -113,10 +115,10 @@ class GuessCost:
                     cost = min(cost, best[end - size] + bits + math.log2(size))
             for start, bits in dates.get(end, ()):
                 cost = min(cost, best[start] + bits)
-            # A block that repeats the one before it.
-            for size in range(2, min(16, end // 2) + 1):
-                if low[end - size:end] == low[end - 2 * size:end - size]:
-                    cost = min(cost, best[end - size] + math.log2(size) + 1)
+            for size in range(2, min(16, end - 1) + 1):  # a block that comes again and again
+                period[size] = period[size] + 1 if low[end - 1] == low[end - 1 - size] else 0
+                if period[size] >= size:
+                    cost = min(cost, best[end - period[size]] + 1 + math.log2(1 + period[size] / size))
             best[end] = cost
         return best[n]
 
