@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,7 +27,8 @@ from pyspark.sql import DataFrame
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 CHUNK = 1 << 19  # bytes of distinct segments that are indexed together
-MEMORY = 300_000  # segments and pairs that a task remembers; a matter of speed only
+PART = 1 << 22  # characters of texts that are encoded together
+MEMORY = 800_000  # segments that a worker remembers; a matter of speed only
 DEPTH = 16  # bytes of a suffix that are sorted; longer pieces are compared to their end
 
 
@@ -83,7 +85,7 @@ class Encoder:
         self.strange: dict[str, int] = {}  # characters without a piece: numbers after the ids
         self.names = dict(enumerate(vocabulary.texts))
         self.slot_pair, self.slot_fits = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
-        self.seen: dict[str, list[int]] = {}
+        self.seen: dict[str, bytes] = {}  # ids, 4 bytes each
 
     @staticmethod
     def _raw(text: str) -> bytes:
@@ -196,7 +198,7 @@ class Encoder:
             while e > at:
                 out.append(best[e])
                 e = back[e]
-            self.seen[segment] = self._ids(out[::-1]) if odd else out[::-1]
+            self.seen[segment] = array("i", self._ids(out[::-1]) if odd else out[::-1]).tobytes()
             at = bound
 
     def _strange(self, raw: bytes) -> int:
@@ -214,8 +216,8 @@ class Encoder:
             out += [x] if x < size else [self.v.byte_ids[b] for b in self.names[x].encode("utf-8", "surrogatepass")]
         return out
 
-    def encode(self, texts: Iterable[str]) -> list[list[int]]:
-        """Ids of a batch of texts; an empty text has none."""
+    def encode(self, texts: Iterable[str]) -> list[np.ndarray]:
+        """Ids of some texts; an empty text has none."""
         cut = []
         for text in texts:
             whole = BLANK + text.replace(" ", BLANK) if text else ""
@@ -233,7 +235,21 @@ class Encoder:
         if part:
             self.learn(part)
         seen = self.seen
-        return [[i for s in c for i in seen[s]] for c in cut]
+        return [np.frombuffer(b"".join([seen[s] for s in c]), np.int32) for c in cut]
+
+
+def parts_of(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
+    """(keys, texts) of some rows of a batch, about PART characters at a time."""
+    keys, texts, size = [], [], 0
+    for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        keys.append(key)
+        texts.append(text or "")
+        size += len(texts[-1])
+        if size >= PART:
+            yield keys, texts
+            keys, texts, size = [], [], 0
+    if keys:
+        yield keys, texts
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -272,12 +288,13 @@ def encode_documents(documents: DataFrame, model: str = MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids = encoder.encode(t or "" for t in part.column(1).to_pylist())
+            for keys, texts in parts_of(batch):
+                ids = encoder.encode(texts)
+                sizes = np.array([len(i) for i in ids], np.int64)
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))],
-                    names=["doc_id", "n_tokens", "ids"])
+                    [pa.array(keys, pa.int64()), pa.array(sizes),
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))], names=["doc_id", "n_tokens", "ids"])
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
 
@@ -303,19 +320,18 @@ def encoding_table(documents: DataFrame, model: str = MODEL) -> DataFrame:
     vocabulary = Vocabulary(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder, bytes_of = encoder_of(vocabulary), Decoder(vocabulary), frozenset(vocabulary.byte_ids)
+        encoder, decoder, is_byte = encoder_of(vocabulary), Decoder(vocabulary), np.zeros(len(vocabulary.texts), bool)
+        is_byte[vocabulary.byte_ids] = True
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                texts = [t or "" for t in part.column(1).to_pylist()]
+            for keys, texts in parts_of(batch):
                 rows = []
                 for text, ids in zip(texts, encoder.encode(texts)):
-                    back = decoder.decode(ids)
-                    rows.append((len(ids), sum(i in bytes_of for i in ids), hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest(),
+                    back = decoder.decode(ids.tolist())
+                    rows.append((len(ids), int(is_byte[ids].sum()), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(),
                                  hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == text.replace(BLANK, " ")))
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0)] + [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()))],
+                    [pa.array(keys, pa.int64())] + [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()))],
                     names=["doc_id", "n_tokens", "n_byte_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
 
     return documents.select("doc_id", "text").mapInArrow(
