@@ -1,21 +1,22 @@
 """Structured data in texts: e-mails, phones, addresses, social handles, technologies.
 
-Everything is a Spark expression over one text row, so extraction needs no shuffle and no
-Python worker. Spark has no "all match positions"; where a pattern looks at nothing outside
-its match, the next match is the first occurrence of its text after the previous one, which
-gives exact positions.
+A text is scanned in one Arrow batch function: every pattern runs once over the whole text, and positions, keys and
+contexts are taken from its matches, so time is linear in the length of a text. The patterns are written so that
+searching does not go back over a run twice. Nothing leaves the row, so extraction needs no shuffle.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitebrief.functions import patterns as P
-from sitebrief.functions.text import snippet
-from sitebrief.functions.urls import WS, strip
+from sitebrief.functions.urls import WS
 
 _WORD = r"\p{L}\p{N}_"
 _SPACE = WS[1:-1]
@@ -37,121 +38,160 @@ PHONES = [portable(p) for p in P.PHONES]
 ADDRESSES = [portable(p) for p in P.ADDRESSES]
 SOCIAL = {k: [portable(p) for p in v] for k, v in P.SOCIAL_IN_TEXT.items()}
 
-# The same two patterns for Java, without retries inside a run of address characters: a match
+# The same two patterns without retries inside a run of address characters: a match
 # starts where a run starts (or where the last match ended) and takes the run whole, because
 # what must follow cannot stand inside a run.
 _RUN = "[a-zA-Z0-9._%+-]"
 _EMAIL_J = f"(?:\\G|(?<!{_RUN}))" + EMAIL.replace(_RUN + "+", _RUN + "++", 1)
 _HIDDEN_J = f"(?i)(?:\\G|(?<!{_RUN}))" + EMAIL_HIDDEN[4:].replace(_RUN + "+", _RUN + "++", 1)
 
-def _may_hide_address(t: Column) -> Column:
-    """Cheap and necessary: a written-out address has @ or "at" in one of these settings."""
-    low = F.lower(t)
-    test = t.contains("@")
-    for mark in ("[at", "at]", "(at", "at)"):
-        test = test | low.contains(mark)
-    return test | t.rlike(f"{WS}[aA][tT]{WS}")
-
-
 ENTITY = (
     "array<struct<type:string,value:string,normalized:string,confidence:double,context:string,"
     "extra:map<string,string>>>"
 )
 
 
-def matches(text: Column, pattern: str, groups: int = 0) -> Column:
-    """array<struct<value, s, e, g1..gn>> of all matches, positions counted from 0.
+def email_ok(email: Column) -> Column:
+    domain = F.substring_index(email, "@", -1)
+    local = F.substring(email, F.lit(1), F.length(email) - F.length(domain) - 1)
+    return (
+        email.contains("@") & ~domain.isin(*P.PLACEHOLDER_DOMAINS) & ~domain.endswith(".png")
+        & ~domain.endswith(".jpg") & (F.length(local) >= 1) & (F.length(domain) >= 3) & domain.contains(".")
+    )
 
-    The text is searched once; groups are read from the short matched strings, where the
-    pattern takes the same path again.
-    """
-    kind = _kind(groups)
-    start = F.struct(F.lit(0).alias("end"), F.array().cast(kind).alias("out"))
 
-    def step(acc, m):
-        s = F.position(m, text, acc["end"] + 1) - 1
-        e = s + F.length(m)
-        parts = [F.regexp_extract(m, pattern, i).alias(f"g{i}") for i in range(1, groups + 1)]
-        row = F.struct(m.alias("value"), s.alias("s"), e.alias("e"), *parts)
-        return F.struct(e.alias("end"), F.concat(acc["out"], F.array(row)).alias("out"))
+_ROW = pa.list_(pa.struct([
+    ("type", pa.string()), ("value", pa.string()), ("normalized", pa.string()), ("confidence", pa.float64()),
+    ("context", pa.string()), ("extra", pa.map_(pa.string(), pa.string()))]))
 
-    return F.aggregate(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), start, step)["out"]
 
+class Contexts:
+    """Text around a match, widened to blanks, with dots where cut (``text.snippet`` on the driver's side)."""
 
-def _kind(groups: int) -> str:
-    return "array<struct<value:string,s:int,e:int" + "".join(f",g{i}:string" for i in range(1, groups + 1)) + ">>"
+    def __init__(self, text: str, width: int = 100):
+        self.text, self.half = text, width // 2
+        self.blanks: list[int] | None = None
 
+    def __call__(self, start: int, end: int) -> str:
+        if self.blanks is None:
+            self.blanks = [m.start() for m in re.finditer(r"[ \n\t]", self.text)]
+        text, n = self.text, len(self.text)
+        left, right = max(start - self.half, 0), min(end + self.half, n)
+        i = bisect.bisect_left(self.blanks, left)
+        left = self.blanks[i - 1] + 1 if i else 0
+        j = bisect.bisect_left(self.blanks, right)
+        right = self.blanks[j] if j < len(self.blanks) else n
+        return (("..." if left else "") + text[left:right] + ("..." if right < n else "")).strip()
 
-def _only_if(test: Column, found: Column, groups: int = 0) -> Column:
-    return F.coalesce(F.when(test, found), F.array().cast(_kind(groups)))
 
+Found = tuple[str, str, int, int]  # key, value, start, end
 
-def _first_per_key(df: DataFrame, column: str) -> DataFrame:
-    """Keep the first element per ``key`` inside each row's array. Nothing leaves the row."""
-    keys = f"{column}_keys"
-    df = df.withColumn(keys, F.col(f"{column}.key"))
-    kept = F.filter(column, lambda x, i: F.array_position(F.col(keys), x["key"]) == i + 1)
-    return df.withColumn(column, kept).drop(keys)
 
+def _firsts(found: list) -> list:
+    """The first match of each key."""
+    seen: dict[str, tuple] = {}
+    for m in found:
+        seen.setdefault(m[0], m)
+    return list(seen.values())
 
-def email_ok(email: Column) -> Column:
-    domain = F.substring_index(email, "@", -1)
-    local = F.substring(email, F.lit(1), F.length(email) - F.length(domain) - 1)
-    return (
-        email.contains("@") & ~domain.isin(*P.PLACEHOLDER_DOMAINS) & ~domain.endswith(".png")
-        & ~domain.endswith(".jpg") & (F.length(local) >= 1) & (F.length(domain) >= 3) & domain.contains(".")
-    )
 
+def _email_fits(email: str) -> bool:
+    local, _, domain = email.rpartition("@")
+    return bool(local) and domain not in P.PLACEHOLDER_DOMAINS and not domain.endswith((".png", ".jpg")) and (
+        len(domain) >= 3 and "." in domain)
 
-def _entity(m: Column, text: Column, kind, normalized, confidence, extra=None) -> Column:
-    none = F.create_map().cast("map<string,string>")
-    return F.struct(
-        F.lit(kind).alias("type"), m["value"].alias("value"), normalized.alias("normalized"),
-        F.lit(confidence).alias("confidence"), snippet(text, m["s"], m["e"]).alias("context"),
-        (extra if extra is not None else none).alias("extra"),
-    )
+
+def scan_emails(text: str, around: Contexts) -> list[tuple]:
+    """Plain addresses first, then written-out ones not seen plainly; bad domains are dropped last."""
+    found = []
+    if "@" in text:
+        found += [(m.group().lower(), m.group(), *m.span(), 0.95) for m in _EMAIL_RUN.finditer(text)]
+    if _HIDDEN_HINT.search(text):
+        found += [("{}@{}.{}".format(*m.groups()).lower(), m.group(), *m.span(), 0.85) for m in _HIDDEN_RUN.finditer(text)]
+    return [("email", value, key, c, around(s, e), []) for key, value, s, e, c in _firsts(found) if _email_fits(key)]
+
+
+def scan_phones(text: str, around: Contexts) -> list[tuple]:
+    # No number without ten digits: one cheap test spares the four patterns on most texts.
+    if not _TEN_DIGITS.search(text):
+        return []
+    found = [("+1" + "".join(m.groups()[:3]), m.group(), *m.span(), m.group(4) if m.re.groups == 4 else None)
+             for p in _PHONES for m in p.finditer(text)]
+    return [("phone", value, key, 0.9, around(s, e), [("extension", ext)] if ext else [])
+            for key, value, s, e, ext in _firsts(found)]
+
+
+def address_matches(text: str) -> list[re.Match]:
+    """All address matches, pattern by pattern, where the fixed part of a pattern occurs."""
+    return [m for p, need in zip(_ADDRESS_RUNS, _ADDRESS_HINTS) if need.search(text) for m in p.finditer(text)]
+
+
+def scan_addresses(text: str, around: Contexts) -> list[tuple]:
+    found = [(" ".join(m.group().lower().split()), m.group().strip(), *m.span()) for m in address_matches(text)]
+    return [("address", value, value, 0.8, around(s, e), []) for _, value, s, e in _firsts(found) if len(value) >= 15]
+
+
+def scan_handles(text: str, around: Contexts) -> list[tuple]:
+    low, found = text.lower(), []
+    for platform, hints, pattern in _HANDLES:
+        if any(h in low for h in hints):
+            for m in pattern.finditer(text):
+                handle = m.group(1).strip("/@")
+                if handle.lower() not in P.SOCIAL_TEXT_SKIP:
+                    found.append((f"{platform}:{handle.lower()}", m.group(), *m.span(), handle, platform))
+    return [("social_handle", value, handle, 0.9, around(s, e), [("platform", platform)])
+            for _, value, s, e, handle, platform in _firsts(found)]
+
+
+def scan_tech(text: str, around: Contexts) -> list[tuple]:
+    """One entry per technology named; its plain letters must occur before its pattern is counted."""
+    low, out = text.lower(), []
+    for category, name, words, pattern in _TECH_RUNS:
+        if any(w in low for w in words):
+            spans = [m.span() for m in pattern.finditer(text)]
+            if spans:
+                s, e = spans[0]
+                out.append(("tech_stack", text[s:e], name, min(0.9, 0.7 + len(spans) * 0.05), around(s, e),
+                            [("category", category), ("mentions", str(len(spans)))]))
+    return out
+
+
+def _column(*scans):
+    """A column function: the entities that the scans find in each text, in their order."""
+    names = [f.name for f in _ROW.value_type]
+
+    @F.arrow_udf(ENTITY)
+    def run(texts: pa.Array) -> pa.Array:
+        rows = []
+        for text in texts.to_pylist():
+            around = Contexts(text or "")
+            rows.append([dict(zip(names, x)) for scan in scans for x in scan(text or "", around)])
+        return pa.array(rows, _ROW)
+
+    return run
 
 
 def with_emails(df: DataFrame, text: str = "text", out: str = "emails") -> DataFrame:
-    """Plain addresses first, then written-out ones not seen plainly; bad domains dropped last."""
-    t = F.col(text)
-    plain = F.transform(
-        _only_if(t.contains("@"), matches(t, _EMAIL_J)),
-        lambda m: F.struct(F.lower(m["value"]).alias("key"), F.lit(0.95).alias("c"), m["value"].alias("value"),
-                           m["s"].alias("s"), m["e"].alias("e")),
-    )
-    hidden = F.transform(
-        _only_if(_may_hide_address(t), matches(t, _HIDDEN_J, 3), 3),
-        lambda m: F.struct(
-            F.lower(F.concat(m["g1"], F.lit("@"), m["g2"], F.lit("."), m["g3"])).alias("key"), F.lit(0.85).alias("c"),
-            m["value"].alias("value"), m["s"].alias("s"), m["e"].alias("e")),
-    )
-    df = _first_per_key(df.withColumn("_m", F.concat(plain, hidden)), "_m")
-    good = F.filter("_m", lambda m: email_ok(m["key"]))
-    rows = F.transform(good, lambda m: _entity(m, t, "email", m["key"], m["c"]))
-    return df.withColumn(out, rows.cast(ENTITY)).drop("_m")
+    return df.withColumn(out, _column(scan_emails)(text))
 
 
 def with_phones(df: DataFrame, text: str = "text", out: str = "phones") -> DataFrame:
-    t = F.col(text)
-    def keyed(pattern, groups):
-        return F.transform(matches(t, pattern, groups), lambda m: F.struct(
-            F.concat(F.lit("+1"), m["g1"], m["g2"], m["g3"]).alias("key"), m["value"].alias("value"),
-            m["s"].alias("s"), m["e"].alias("e"), (m["g4"] if groups == 4 else F.lit("")).alias("ext")))
+    return df.withColumn(out, _column(scan_phones)(text))
 
-    found = [keyed(p, 4 if i == 2 else 3) for i, p in enumerate(PHONES)]
-    # No number without ten digits: one cheap test spares the four patterns on most texts.
-    ten = t.rlike(r"\d{3}[^\d]{0,2}\d{3}[^\d]?\d{4}")
-    none = F.array().cast("array<struct<key:string,value:string,s:int,e:int,ext:string>>")
-    df = _first_per_key(df.withColumn("_m", F.coalesce(F.when(ten, F.concat(*found)), none)), "_m")
-    rows = F.transform("_m", lambda m: _entity(
-        m, t, "phone", m["key"], 0.9,
-        F.when(m["ext"] != "", F.create_map(F.lit("extension"), m["ext"])).otherwise(
-            F.create_map().cast("map<string,string>"))))
-    return df.withColumn(out, rows.cast(ENTITY)).drop("_m")
+
+def with_addresses(df: DataFrame, text: str = "text", out: str = "addresses") -> DataFrame:
+    return df.withColumn(out, _column(scan_addresses)(text))
+
+
+def with_social_handles(df: DataFrame, text: str = "text", out: str = "handles") -> DataFrame:
+    return df.withColumn(out, _column(scan_handles)(text))
+
+
+def with_tech_stack(df: DataFrame, text: str = "text", out: str = "tech") -> DataFrame:
+    return df.withColumn(out, _column(scan_tech)(text))
 
 
-# The address patterns for Java, each linear in the text. They find what ADDRESSES find: words
+# The address patterns, each linear in the text. They find what ADDRESSES find: words
 # and spaces are taken whole up to a comma, the fixed part is looked for from the end of a
 # stretch of words backwards (a greedy match prefers the last one), and a match starts only
 # where such a stretch starts or the last match ended, because a start further in can do no more.
@@ -167,48 +207,6 @@ _ADDRESSES_J = [
 _ADDRESS_NEEDS = [r"\d" + WS, r"[A-Z]{2}" + WS + r"+\d{5}", f"(?i){_POSTCODE}"]
 
 
-def address_matches(text: Column) -> Column:
-    """All address matches, pattern by pattern, where the fixed part of a pattern occurs."""
-    return F.concat(*[_only_if(text.rlike(need), matches(text, p)) for p, need in zip(_ADDRESSES_J, _ADDRESS_NEEDS)])
-
-
-def with_addresses(df: DataFrame, text: str = "text", out: str = "addresses") -> DataFrame:
-    t = F.col(text)
-    keyed = F.transform(address_matches(t), lambda m: F.struct(
-        F.regexp_replace(F.lower(strip(m["value"])), f"{WS}+", " ").alias("key"),
-        strip(m["value"]).alias("value"), m["s"].alias("s"), m["e"].alias("e")))
-    df = _first_per_key(df.withColumn("_m", keyed), "_m")
-    long = F.filter("_m", lambda m: F.length(m["value"]) >= 15)
-    rows = F.transform(long, lambda m: _entity(m, t, "address", m["value"], 0.8))
-    return df.withColumn(out, rows.cast(ENTITY)).drop("_m")
-
-
-def with_social_handles(df: DataFrame, text: str = "text", out: str = "handles") -> DataFrame:
-    t = F.col(text)
-    low, kind = F.lower(t), "array<struct<handle:string,platform:string,value:string,s:int,e:int>>"
-
-    def keyed_by(platform, pattern):
-        # The host the pattern names, or the sign, must occur: a plain search decides first.
-        host = re.search(r"(\w+)\\.com/", pattern)
-        hint = low.contains(f"{host.group(1)}.com/") if host else t.contains("@")
-        if platform == "twitter" and host is None and ".com/" in pattern:
-            hint = low.contains("x.com/") | low.contains("twitter.com/")
-        rows = F.transform(matches(t, pattern, 1), lambda m: F.struct(
-            F.regexp_replace(m["g1"], "^[/@]+|[/@]+$", "").alias("handle"), F.lit(platform).alias("platform"),
-            m["value"].alias("value"), m["s"].alias("s"), m["e"].alias("e")))
-        return F.coalesce(F.when(hint, rows), F.array().cast(kind))
-
-    every = F.concat(*[keyed_by(platform, p) for platform, pats in SOCIAL.items() for p in pats])
-    real = F.filter(every, lambda m: ~F.lower(m["handle"]).isin(*P.SOCIAL_TEXT_SKIP))
-    keyed = F.transform(real, lambda m: F.struct(
-        F.concat(m["platform"], F.lit(":"), F.lower(m["handle"])).alias("key"), m["handle"].alias("handle"),
-        m["platform"].alias("platform"), m["value"].alias("value"), m["s"].alias("s"), m["e"].alias("e")))
-    df = _first_per_key(df.withColumn("_m", keyed), "_m")
-    rows = F.transform("_m", lambda m: _entity(
-        m, t, "social_handle", m["handle"], 0.9, F.create_map(F.lit("platform"), m["platform"])))
-    return df.withColumn(out, rows.cast(ENTITY)).drop("_m")
-
-
 def literals(pattern: str) -> list[str]:
     """Plain lower-case letters that each alternative of a pattern must contain at its start."""
     p = re.sub(r"\(\?!.*?\)|\(\?:[^)]*\)\?", "", pattern).replace(r"\b", "").replace("(?:", "").replace(")", "")
@@ -219,42 +217,35 @@ def literals(pattern: str) -> list[str]:
 TECH = [(cat, name, p) for cat, techs in P.TECHNOLOGIES.items() for name, p in techs.items()]
 
 
-def with_tech_stack(df: DataFrame, text: str = "text", out: str = "tech") -> DataFrame:
-    """One entry per technology named; its plain letters must occur before its pattern is counted."""
-    t = F.col(text)
-    df = df.withColumn("_low", F.lower(t))
-    counted = []
-    for cat, name, p in TECH:
-        pattern = "(?iU)" + p.replace(r"\s", WS)
-        hint = None
-        for word in literals(p):
-            found = F.col("_low").contains(word)
-            hint = found if hint is None else hint | found
-        counted.append(F.when(hint, F.struct(
-            F.lit(cat).alias("cat"), F.lit(name).alias("name"), F.regexp_count(t, F.lit(pattern)).alias("n"),
-            F.lit(pattern).alias("p"))))
-    df = df.withColumn("_m", F.filter(F.array_compact(F.array(*counted)), lambda m: m["n"] > 0)).drop("_low")
-
-    def row(m):
-        value = F.regexp_substr(t, m["p"])
-        s = F.regexp_instr(t, m["p"]) - 1
-        span = F.struct(value.alias("value"), s.alias("s"), (s + F.length(value)).alias("e"))
-        conf = F.least(F.lit(0.9), F.lit(0.7) + m["n"] * F.lit(0.05))
-        return _entity(span, t, "tech_stack", m["name"], conf, F.create_map(
-            F.lit("category"), m["cat"], F.lit("mentions"), m["n"].cast("string")))
-
-    return df.withColumn(out, F.transform("_m", row).cast(ENTITY)).drop("_m")
+def _handle_hints(platform: str, pattern: str) -> list[str]:
+    """The host that a pattern names, or the sign, must occur: a plain search decides first."""
+    host = re.search(r"(\w+)\\.com/", pattern)
+    if host:
+        return [f"{host.group(1)}.com/"]
+    return ["x.com/", "twitter.com/"] if platform == "twitter" and ".com/" in pattern else ["@"]
+
+
+def _compiled(pattern: str) -> regex.Pattern:
+    """The pattern with Java's code points written as Python's."""
+    return regex.compile(re.sub(r"\\x\{([0-9a-fA-F]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", pattern))
+
+
+_EMAIL_RUN, _HIDDEN_RUN = _compiled(_EMAIL_J), _compiled(_HIDDEN_J)
+# A written-out address has @ or "at" in one of these settings.
+_HIDDEN_HINT = re.compile(r"(?i)@|[\[(]at|at[\])]|\sat\s")
+_TEN_DIGITS = re.compile(r"\d{3}[^\d]{0,2}\d{3}[^\d]?\d{4}")
+_PHONES = [re.compile(p) for p in P.PHONES]
+_ADDRESS_RUNS = [_compiled(p) for p in _ADDRESSES_J]
+_ADDRESS_HINTS = [_compiled(p) for p in _ADDRESS_NEEDS]
+_HANDLES = [(platform, _handle_hints(platform, p), re.compile(p)) for platform, pats in P.SOCIAL_IN_TEXT.items() for p in pats]
+_TECH_RUNS = [(cat, name, literals(p), re.compile("(?i)" + p)) for cat, name, p in TECH]
 
 
 def entities(df: DataFrame, text: str = "text", tech_stack: bool = False) -> DataFrame:
-    """All structured entities of each text: one scan, one explode, no shuffle."""
+    """All structured entities of each text: one scan, one batch function, one explode, no shuffle."""
     keep = [c for c in df.columns if c != text]
-    parts = ["emails", "phones", "addresses", "handles"]
-    for fn in (with_emails, with_phones, with_addresses, with_social_handles):
-        df = fn(df, text)
-    if tech_stack:
-        df, parts = with_tech_stack(df, text), parts + ["tech"]
-    return explode_entities(df.withColumn("_all", F.concat(*parts)), "_all", keep)
+    scans = [scan_emails, scan_phones, scan_addresses, scan_handles, *([scan_tech] if tech_stack else [])]
+    return explode_entities(df.withColumn("_all", _column(*scans)(text)), "_all", keep)
 
 
 def explode_entities(df: DataFrame, column: str, keep: list[str]) -> DataFrame:

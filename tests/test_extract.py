@@ -1,10 +1,15 @@
 """Extraction against a plain Python scan of the same patterns over whole documents."""
 
+import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from sitebrief.functions import extract as E
 from sitebrief.functions import patterns as P
 from sitebrief.functions import sql_functions
+from sitebrief.functions.text import snippet
 from sitebrief.plans.registry import Tables
 
 
@@ -58,17 +63,15 @@ def test_against_plain_scan(spark, sf_dir):
         assert [(t, n) for _, t, n in sorted(got.get(row["page_id"], []))] == want, row["page_id"]
 
 
-def test_addresses_in_hard_texts(spark):
+def test_addresses_in_hard_texts():
     texts = [
         "x SW1 2AA", "one two SW1 2AA three four EC1 3BB five", "a, b, SW1 2AA, c, d, e, EC1 3BB", "SW1 2AA",
         "ab, SW1 2AA", "a,SW1 2AA", "1 Main Street, Suite 5, Town, IL 62701 and 2  Street", "Springfield, IL 62701-1234 x",
         "9 a b c. 7 Elm Road", "é, Ü ß, W1 1AA", "w " * 20 + "W1 1AA " + "z " * 20,
     ]
-    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
-    rows = df.select("i", E.address_matches(df.t)["value"].alias("v")).orderBy("i").collect()
-    for r in rows:
-        want = [m.group() for p in P.ADDRESSES for m in re.finditer(p, texts[r["i"]])]
-        assert r["v"] == want, texts[r["i"]]
+    for text in texts:
+        want = [m.group() for p in P.ADDRESSES for m in re.finditer(p, text)]
+        assert [m.group() for m in E.address_matches(text)] == want, text
 
 
 def test_long_text_without_a_match_is_quick(spark):
@@ -76,6 +79,31 @@ def test_long_text_without_a_match_is_quick(spark):
     assert E.entities(df).filter("type = 'address'").count() == 2  # "Rd" ends "word"
 
 
+def test_time_is_linear_in_matches():
+    def seconds(n):
+        text = " ".join(f"write to user{i}@mail{i}.example.org or call 415-555-{i % 10000:04d}, thanks" for i in range(n))
+        start = time.perf_counter()
+        found = sum(len(scan(text, E.Contexts(text))) for scan in (E.scan_emails, E.scan_phones, E.scan_addresses, E.scan_handles, E.scan_tech))
+        assert found >= n
+        return time.perf_counter() - start
+
+    seconds(100)
+    one, two = min(seconds(10_000) for _ in range(2)), min(seconds(20_000) for _ in range(2))
+    assert two < 3 * one + 0.5 and two < 30
+
+
+def test_contexts_equal_the_column(spark):
+    rnd = random.Random(1)
+    rows = []
+    for _ in range(60):
+        text = "".join(rnd.choice("ab c\n\té") for _ in range(rnd.randint(1, 400)))
+        s = rnd.randrange(len(text))
+        rows.append((text, s, rnd.randint(s, len(text))))
+    df = spark.createDataFrame(rows, "t string, s int, e int")
+    got = df.select("t", "s", "e", snippet(F.col("t"), F.col("s"), F.col("e")).alias("c")).collect()
+    assert all(r["c"] == E.Contexts(r["t"])(r["s"], r["e"]) for r in got)
+
+
 def test_technology_quirks(spark):
     df = spark.createDataFrame([("C++ and C# here, but C++x; JavaScript, Java Script, java. Git GitHub",)], "text string")
     got = {r["normalized"]: r["extra"]["mentions"] for r in E.explode_entities(E.with_tech_stack(df), "tech", []).collect()}
