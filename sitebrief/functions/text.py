@@ -2,49 +2,64 @@
 
 from __future__ import annotations
 
+import html as html_lib
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sitebrief.functions.urls import JAVA_WS, let, strip
 
-# HTML's named characters that occur in titles and link targets.
-ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"),
-    ("&nbsp;", " "), ("&amp;", "&"),
-]
-
 _TITLE = r"(?is)<title[^>]*>(.*?)</title>"
-_HIDDEN = (
-    r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
-    r"|<noscript\b[^>]*>.*?</noscript\s*>"
-)
-_MARKUP = _HIDDEN + r"|<[^>]*>"
-_ANCHOR_HREF = r"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)"
+# Comments and blocks that show nothing; one that is not closed goes on to the end.
+_HIDDEN = re.compile(
+    r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)")
+_TAG = re.compile(r"<[A-Za-z/!?][^>]*>")
+_ANCHOR_HREF = re.compile(r"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)")
 _ANY_HREF = "(?i)href=[\"']([^\"']+)[\"']"
-_MARK = "\u0001"
+
+
+def _each(kind: str, arrow: pa.DataType, fn):
+    """A column function that runs over Arrow batches; null gives null."""
+    @F.arrow_udf(kind)
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else fn(v) for v in values.to_pylist()], arrow)
+    return run
 
 
 def unescape(c: Column) -> Column:
-    for name, char in ENTITIES:
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
+    """All character references, named and numeric."""
+    return _each("string", pa.string(), html_lib.unescape)(c)
 
 
 def title(html: Column) -> Column:
     return strip(unescape(F.regexp_extract(html, _TITLE, 1)))
 
 
+def text_of(html: str) -> str:
+    """Text nodes outside script, style and noscript, each stripped, joined by one space.
+
+    Behind the last ``>`` there is no tag, so each search for a tag's end finds one and time is linear.
+    """
+    shown = _HIDDEN.sub("\x01", html)
+    end = shown.rfind(">") + 1
+    nodes = _TAG.sub("\x01", shown[:end]).split("\x01")
+    nodes[-1] += shown[end:]
+    parts = (piece for node in nodes for piece in node.split("\x01"))
+    return " ".join(t for t in (html_lib.unescape(n).strip() for n in parts) if t)
+
+
 def visible_text(html: Column) -> Column:
-    """Text nodes outside script, style and noscript, each stripped, joined by one space."""
-    nodes = F.split(F.regexp_replace(html, _MARKUP, _MARK), _MARK)
-    clean = F.transform(nodes, lambda n: strip(unescape(n)))
-    return F.array_join(F.filter(clean, lambda n: n != ""), " ")
+    return _each("string", pa.string(), text_of)(html)
 
 
 def anchor_hrefs(html: Column) -> Column:
     """Targets of ``<a href>`` in document order, duplicates kept."""
-    found = F.regexp_extract_all(F.regexp_replace(html, _HIDDEN, ""), F.lit(_ANCHOR_HREF), 1)
-    return F.transform(found, lambda h: unescape(F.regexp_replace(h, "^[\"']|[\"']$", "")))
+    def targets(text: str) -> list[str]:
+        found = _ANCHOR_HREF.findall(_HIDDEN.sub("", text))
+        return [html_lib.unescape(h[1:-1] if h[0] in "\"'" else h) for h in found]
+    return _each("array<string>", pa.list_(pa.string()), targets)(html)
 
 
 def all_hrefs(html: Column) -> Column:

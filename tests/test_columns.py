@@ -1,6 +1,7 @@
 """Column functions against values worked out by hand and against the standard library."""
 
 import re
+from html.parser import HTMLParser
 from urllib.parse import urljoin, urlparse
 
 from pyspark.sql import functions as F
@@ -68,6 +69,47 @@ def test_text_of_a_page(spark):
     assert one(spark, [html], X.title(F.col("x"))) == ["A & B"]
 
 
+class _Nodes(HTMLParser):
+    """The text nodes by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.hidden, self.nodes = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("script", "style", "noscript")
+        self.nodes.append("")
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("script", "style", "noscript")
+        self.nodes.append("")
+
+    def handle_comment(self, data):
+        self.nodes.append("")
+
+    def handle_decl(self, decl):
+        self.nodes.append("")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.nodes.append(self.nodes.pop() + data if self.nodes else data)
+
+
+def test_page_text_equals_a_parser(spark, sf_dir):
+    odd = ["a &copy;&middot; b &#8217;&#233;&#x1F600; &hellip; &notin; &amp;lt;", "1 < 2 and <b>3</b> > 2", "x<script>var a = '<p>'",
+           "<p>a</p><style>b", "<i>a</i>b<!-- c --><br/>d", "", "no tags", "<a href='?a=1&amp;b=2'>t</a><noscript>n</noscript>u"]
+    pages = [r[0] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect()]
+    got = one(spark, odd + pages, X.visible_text(F.col("x")))
+    for html, text in zip(odd + pages, got):
+        parser = _Nodes()
+        parser.feed(html)
+        parser.close()
+        assert text == " ".join(t for t in (n.strip() for n in parser.nodes) if t), html
+    assert not any(re.search("&(copy|middot|#)", t) for t in got[len(odd):])
+    assert one(spark, [odd[-1]], X.anchor_hrefs(F.col("x"))) == [["?a=1&b=2"]]
+    assert one(spark, ["<title>A&nbsp;&#8217;b</title>"], X.title(F.col("x"))) == ["A\u00a0\u2019b"]
+
+
 def test_hash_ignores_case_and_space(spark):
     a, b = one(spark, ["  Hello\t\nWORLD\xa0", "hello world"], X.content_hash(F.col("x")))
     assert a == b and len(a) == 16
