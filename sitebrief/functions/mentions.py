@@ -134,12 +134,12 @@ def answers(df: DataFrame, call: Callable[[list[str]], list[str]], prompt: str =
     return df.mapInPandas(run, schema)
 
 
-def answer_sources(answer: Column) -> Column:
-    """The first ten URLs after the first ``SOURCES:``; other spellings of the word give none."""
+def answer_sources(answer: Column, limit: int | None = None) -> Column:
+    """The URLs after the first ``SOURCES:``, the first ``limit`` if given; other spellings of the word give none."""
     tail = F.when(F.instr(answer, "SOURCES:") > 0, F.substring(
         answer, F.instr(answer, "SOURCES:") + 8, F.length(answer)))
     found = F.regexp_extract_all(F.coalesce(tail, F.lit("")), F.lit(f"https?://[^{WS[1:-1]}\\]>]+"), F.lit(0))
-    return F.slice(found, 1, 10)
+    return found if limit is None else F.slice(found, 1, limit)
 
 
 def render(template: str, values: dict[str, Column]) -> Column:

@@ -122,5 +122,7 @@ def safe_name(name: Column) -> Column:
     return F.when(strip(n) == "", F.lit("download")).otherwise(n)
 
 
-def export_name(name: Column) -> Column:
-    return F.substring(F.regexp_replace(name, r"[ /\\]", "_"), 1, 50)
+def export_name(name: Column, length: int | None = None) -> Column:
+    """A name fit for an export file, cut to ``length`` if given."""
+    plain = F.regexp_replace(name, r"[ /\\]", "_")
+    return plain if length is None else F.substring(plain, 1, length)

@@ -71,9 +71,6 @@ def block(number: str, size: int = 65536) -> Column:
 
 
 def top(df: DataFrame, keys: list[str], order: list, k: int, rank: str = "rn") -> DataFrame:
-    """First k rows per key. Map tasks already drop what cannot be among them."""
-    conf, name = df.sparkSession.conf, "spark.sql.optimizer.windowGroupLimitThreshold"
-    if int(conf.get(name, "1000")) < k:
-        conf.set(name, str(k))
+    """First k rows per key. Up to spark.sql.optimizer.windowGroupLimitThreshold map tasks drop what cannot be among them."""
     w = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)

@@ -10,14 +10,17 @@ COMPANY_STATUS = ["pending", "in_progress", "completed", "failed", "paused"]
 BATCH_STATUS = ["pending", "processing", "completed", "cancelled", "paused"]
 
 
-def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 20, max_size: int = 100) -> DataFrame:
-    """One page; Spark keeps only its rows per task (take-ordered), it does not sort the table."""
-    number, size = max(1, number), min(max(1, size), max_size)
+def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 20, max_size: int | None = None) -> DataFrame:
+    """One page; Spark keeps only its rows per task (take-ordered), it does not sort the table.
+
+    ``max_size`` is the caller's limit on what may be asked for.
+    """
+    number, size = max(1, number), max(1, size) if max_size is None else min(max(1, size), max_size)
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
-def totals(df: DataFrame, size: int = 20, max_size: int = 100) -> DataFrame:
-    size = min(max(1, size), max_size)
+def totals(df: DataFrame, size: int = 20) -> DataFrame:
+    size = max(1, size)
     pages = F.when(F.col("total") > 0, F.ceil(F.col("total") / size)).otherwise(1).cast("bigint")
     return df.agg(F.count("*").alias("total")).withColumn("total_pages", pages)
 

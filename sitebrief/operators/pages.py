@@ -19,12 +19,12 @@ def with_text(pages: DataFrame, company_id: str | None = None) -> DataFrame:
     return pages.filter(keep)
 
 
-def links(pages: DataFrame) -> DataFrame:
-    """One row per ``<a href>`` that resolves to an http(s) URL; html is dropped at once."""
-    found = explode_rows(pages, X.anchor_hrefs(F.col("html")), ["page_id", "url"])
+def links(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per ``<a href>`` that resolves to an http(s) URL; html is dropped at once, ``keep`` columns stay."""
+    found = explode_rows(pages, X.anchor_hrefs(F.col("html")), ["page_id", "url", *keep])
     link = U.link_resolve(F.col("url"), F.col("_col"))
     return (
-        found.select("page_id", F.col("_pos").cast("bigint").alias("pos"), link.alias("link"))
+        found.select("page_id", *keep, F.col("_pos").cast("bigint").alias("pos"), link.alias("link"))
         .filter(F.col("link").isNotNull())
     )
 

@@ -11,6 +11,7 @@ from sitebrief.functions import scalars as S
 from sitebrief.functions import urls as U
 from sitebrief.operators.chunks import block, day, running, top
 from sitebrief.operators.joins import latest
+from sitebrief.session import cut_lineage
 
 # Allowed steps from phase to phase; page types that lead a source list.
 NEXT_PHASES = {
@@ -36,13 +37,13 @@ def retention(analyses: DataFrame, keep: int = 3) -> DataFrame:
     return top(analyses, ["company_id"], [F.desc("version")], keep)
 
 
-def key_pages(pages: DataFrame, limit: int = 10) -> DataFrame:
+def key_pages(pages: DataFrame, limit: int) -> DataFrame:
     rank = F.array_position(F.array(*[F.lit(t) for t in KEY_PAGE_TYPES]), F.col("page_type"))
     rank = F.when(rank > 0, rank).otherwise(100)
     return top(pages.withColumn("_rank", rank), ["company_id"], [F.col("_rank"), F.col("page_id")], limit).drop("_rank")
 
 
-def key_executives(entities: DataFrame, limit: int = 10) -> DataFrame:
+def key_executives(entities: DataFrame, limit: int) -> DataFrame:
     people = entities.filter((F.col("entity_type") == "person") & (F.coalesce("role", F.lit("")) != ""))
     return top(people, ["company_id"], [F.col("entity_id")], limit)
 
@@ -73,11 +74,12 @@ def crawl_budget(log: DataFrame, max_pages: int, max_seconds: int) -> tuple[Data
 
 
 def exact_duplicates(pages: DataFrame) -> DataFrame:
-    """Marks all but the first page of each (site, hash).
+    """Marks all but the first page of each (site, hash); returns page_id, site, hash, error.
 
-    The first page is a combining aggregate; only texts that occur twice or more are joined
+    Texts are hashed once: the narrow rows are cut from what made them. The first page is a combining aggregate; only texts that occur twice or more are joined
     back, and a text with very many copies is split by the skew handling of the join.
     """
+    pages = cut_lineage(pages.select("page_id", "site", "hash"))
     firsts = pages.groupBy("site", "hash").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n"))
     copied = firsts.filter("_n > 1").drop("_n")
     j = pages.join(copied, ["site", "hash"], "left")

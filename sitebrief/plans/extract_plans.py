@@ -187,7 +187,7 @@ def mention_extract(t):
 
 @query("answer_sources", f"""WITH a AS (SELECT answer_id, CASE WHEN strpos(answer, 'SOURCES:') > 0
   THEN substr(answer, strpos(answer, 'SOURCES:') + 8) ELSE '' END AS tail FROM v_answers)
-SELECT answer_id, array_to_string(regexp_extract_all(tail, 'https?://[^{WS[1:-1]}\\]>]+')[1:10], ' ') AS sources FROM a""")
+SELECT answer_id, array_to_string(regexp_extract_all(tail, 'https?://[^{WS[1:-1]}\\]>]+'), ' ') AS sources FROM a""")
 def answer_sources(t):
     return t.v_answers.select("answer_id", F.array_join(M.answer_sources(F.col("answer")), " ").alias("sources"))
 

@@ -10,6 +10,7 @@ from sitebrief.plans import oracle_sql as O
 from sitebrief.plans.page_plans import ORACLE_LINKS
 from sitebrief.plans.registry import query
 from sitebrief.plans.scalar_plans import repaired_sql
+from sitebrief.session import cut_lineage
 from sitebrief.sources import robots as R
 from sitebrief.sources import sitemaps as M
 
@@ -156,8 +157,8 @@ walk AS (SELECT sitemap_url AS root, sitemap_url, 0 AS lvl, '' AS path FROM v_si
 files AS (SELECT root, sitemap_url, min(lpad(lvl::VARCHAR, 3, '0') || path) AS met FROM walk GROUP BY 1, 2),
 kept AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY met) AS rn FROM files),
 outp AS (SELECT k.root, k.sitemap_url, s.url, row_number() OVER (PARTITION BY k.root ORDER BY k.rn, s.i) AS n
-  FROM kept k JOIN surls s USING (sitemap_url) WHERE k.rn <= 50)
-SELECT root, n, sitemap_url, url FROM outp WHERE n <= 10000""")
+  FROM kept k JOIN surls s USING (sitemap_url))
+SELECT root, n, sitemap_url, url FROM outp""")
 def sitemap_expand(t):
     docs = t.v_sitemaps
     roots = docs.filter("is_root").select(F.col("sitemap_url").alias("root"))
@@ -170,8 +171,9 @@ s AS (SELECT link, site FROM l WHERE length(link) % 3 = 0)
 SELECT site, link FROM l ANTI JOIN s USING (site, link)
 WHERE link NOT IN (SELECT rtrim(regexp_extract(url, '^([^?#]*)', 1), '/') FROM pages)""")
 def unvisited_links(t):
-    sites = t.pages.select("page_id", U.netloc(F.col("url")).alias("site"))
-    links = pages_op.links(t.pages).join(sites, "page_id").select("site", "link")
+    # HTML is parsed once; the links serve twice.
+    pages = t.pages.withColumn("site", U.netloc(F.col("url")))
+    links = cut_lineage(pages_op.links(pages, ("site",)).select("site", "link"))
     visited = t.pages.select(U.netloc(F.col("url")).alias("site"), U.crawl_form(F.col("url")).alias("link"))
     # Stand-in for the queue: links whose length is a multiple of three count as queued.
     seen = links.filter(F.length("link") % 3 == 0)
@@ -239,9 +241,8 @@ def batch_assign(t):
     base = F.create_map(F.lit("maxPages"), F.lit("100"))
     over = F.when(F.col("seq") % 2 == 0, F.create_map(F.lit("maxPages"), F.lit("25")))
     df = J.batch_assign(t.v_companies, ids, "new-batch", over, base)
-    total = df.groupBy("batch_id").agg(F.count("*").alias("total"))
-    return df.join(total, "batch_id").select("company_id", "batch_id", F.col("config")["maxPages"].alias("max_pages"),
-                                             "total")
+    total = df.agg(F.count("*")).scalar()  # one row, read as a value
+    return df.select("company_id", "batch_id", F.col("config")["maxPages"].alias("max_pages"), total.alias("total"))
 
 
 @query("job_state", f"""WITH {_last_session}, {repaired_sql}

@@ -20,7 +20,7 @@ def company_list(t):
 @query("company_list_sorted", f"SELECT {_co} FROM v_companies ORDER BY tokens ASC NULLS FIRST, company_id LIMIT 100")
 def company_list_sorted(t):
     df = L.companies(t.v_companies, "no such state")
-    return L.page(df, L.sort_keys(df, "tokens", "asc", "company_id"), 0, 1000).select(*_co.split(", "))
+    return L.page(df, L.sort_keys(df, "tokens", "asc", "company_id"), 0, 1000, max_size=100).select(*_co.split(", "))
 
 
 @query("company_list_totals", """SELECT count(*) AS total, CAST(CASE WHEN count(*) > 0 THEN ceil(count(*) / 20.0) ELSE 1

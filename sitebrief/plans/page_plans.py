@@ -150,7 +150,7 @@ def safe_name(t):
         .when(i == 2, F.concat("text", F.lit(".mark down"))).when(i == 3, F.replace("text", F.lit("."), F.lit("")))
         .when(i == 4, " ").otherwise(F.concat(F.lit('Report "'), "doc_id", F.lit("\" 'x\n")))
     )
-    return t.documents.select("doc_id", X.safe_name(name).alias("safe_name"), X.export_name(name).alias("export_name"))
+    return t.documents.select("doc_id", X.safe_name(name).alias("safe_name"), X.export_name(name, 50).alias("export_name"))
 
 
 @query("page_scan", "SELECT doc_id AS page_id, source AS company_id, text FROM documents "

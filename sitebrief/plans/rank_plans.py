@@ -48,13 +48,13 @@ def latest_session(t):
   page_type WHEN 'about' THEN 1 WHEN 'team' THEN 2 WHEN 'product' THEN 3 WHEN 'service' THEN 4 WHEN 'contact' THEN 5 ELSE
   100 END, page_id) AS rn FROM v_pages) x WHERE rn <= 10""")
 def key_pages(t):
-    return K.key_pages(t.v_pages).select("company_id", "page_id", F.col("rn").cast("bigint").alias("rn"))
+    return K.key_pages(t.v_pages, 10).select("company_id", "page_id", F.col("rn").cast("bigint").alias("rn"))
 
 
 @query("key_executives", """SELECT company_id, entity_value, role FROM (SELECT *, row_number() OVER (PARTITION BY company_id
   ORDER BY entity_id) AS rn FROM v_entities WHERE entity_type = 'person' AND role <> '') x WHERE rn <= 10""")
 def key_executives(t):
-    return K.key_executives(t.v_entities).select("company_id", "entity_value", "role")
+    return K.key_executives(t.v_entities, 10).select("company_id", "entity_value", "role")
 
 
 @query("frontier_topk", """SELECT site, url, rn FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY priority, depth,
@@ -113,17 +113,25 @@ sl AS (SELECT b.batch_id, priority, b.created_at AS bc, max_concurrent - coalesc
 w AS (SELECT c.company_id, sl.*, row_number() OVER (PARTITION BY c.batch_id ORDER BY c.created_at, c.company_id) AS rn FROM
   v_companies c JOIN sl USING (batch_id) WHERE c.status = 'pending'),
 r AS (SELECT *, row_number() OVER (ORDER BY rn, priority, bc, batch_id) AS pick FROM w WHERE rn <= slots)
-SELECT company_id, batch_id, pick FROM r WHERE pick <= {gmax} - (SELECT count(*) FROM v_companies WHERE status = 'in_progress')"""
+SELECT company_id, batch_id, pick FROM r WHERE pick <= (SELECT {gmax} FROM customer) - (SELECT count(*) FROM v_companies WHERE status = 'in_progress')"""
 
 
-@query("fair_share_topk", _fair_sql(320))
+_LIMIT = "CAST(floor(count(*) / 5) + 20 AS BIGINT)"
+
+
+def _limit(t):
+    """The global limit, one row of the input: a few more than the companies in progress."""
+    return t.sql(f"SELECT {_LIMIT} AS n FROM customer").first()["n"]
+
+
+@query("fair_share_topk", _fair_sql(_LIMIT))
 def fair_share_topk(t):
-    return K.fair_share(t.v_companies, t.v_batches, 320).select("company_id", "batch_id", "pick")
+    return K.fair_share(t.v_companies, t.v_batches, _limit(t)).select("company_id", "batch_id", "pick")
 
 
-@query("batch_slots_topk", _fair_sql(320, "AND b.batch_id = 'b1'"))
+@query("batch_slots_topk", _fair_sql(_LIMIT, "AND b.batch_id = 'b1'"))
 def batch_slots_topk(t):
-    return K.fair_share(t.v_companies, t.v_batches, 320, "b1").select("company_id", "batch_id", "pick")
+    return K.fair_share(t.v_companies, t.v_batches, _limit(t), "b1").select("company_id", "batch_id", "pick")
 
 
 @query("phase_transitions", """WITH l AS (SELECT job_id, event_id, phase, lag(phase) OVER (PARTITION BY job_id ORDER BY ts,

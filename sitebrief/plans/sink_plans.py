@@ -138,5 +138,5 @@ SELECT core.company_id, {_doc} AS doc FROM core LEFT JOIN ke ON ke.company_id =
   kp.company_id = core.company_id LEFT JOIN np ON np.company_id = core.company_id""")
 def brief_markdown_sink(t):
     path = _out(t, "markdown")
-    B.brief_markdown(_core(t), t.v_entities, t.v_pages).write.parquet(path)
+    B.brief_markdown(_core(t), t.v_entities, t.v_pages, executives=10, sources=10).write.parquet(path)
     return t.spark.read.parquet(path)

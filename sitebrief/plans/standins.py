@@ -139,7 +139,7 @@ STANDINS["v_batches"] = """
 SELECT 'b' || n_nationkey AS batch_id, n_name AS batch_name,
   CASE n_nationkey % 6 WHEN 0 THEN 'processing' WHEN 1 THEN 'processing' WHEN 2 THEN 'completed'
     WHEN 3 THEN 'cancelled' WHEN 4 THEN 'paused' ELSE 'pending' END AS status,
-  CAST(n_regionkey * 10 AS BIGINT) AS priority, CAST(12 + n_nationkey % 4 AS BIGINT) AS max_concurrent,
+  CAST(n_regionkey * 10 AS BIGINT) AS priority, CAST(floor((SELECT count(*) FROM customer) / 125) + 2 + n_nationkey % 4 AS BIGINT) AS max_concurrent,
   TS_SEC((1704067200 + n_nationkey % 5 * 86400)) AS created_at,
   CASE WHEN n_nationkey % 6 IN (2, 3) THEN TS_SEC((1704067200 + n_nationkey * 86400)) ELSE NULL END AS completed_at
 FROM nation"""

@@ -48,6 +48,13 @@ def _live(t):
     return df.withColumn("last_us", F.unix_micros("last_activity")).drop("last_activity")
 
 
+@query("stream_new_pages")
+def stream_new_pages(t):
+    """Pages whose URL and text are both new within the ten minutes that late rows may still come."""
+    out = V.page_dedup(_events(t).withColumnRenamed("job_id", "site"))
+    return V.run_to_files(out.select("site", "event_id", "url", "hash"), _path(t, "new-pages"))
+
+
 @query("stream_progress", _progress_sql)
 def stream_progress(t):
     return _live(t)

@@ -50,8 +50,12 @@ def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared scratch folder; a temporary one only where none is set (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        current = spark.sparkContext.getCheckpointDir()
-        folder = current or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        folder = spark.sparkContext.getCheckpointDir()
+    if not folder:
+        # A folder of one machine is right only where there is one machine.
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder

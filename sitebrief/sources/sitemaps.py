@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sitebrief.functions.extract import explode_rows
 from sitebrief.functions.scalars import lastmod
 from sitebrief.functions.urls import strip
+from sitebrief.operators.chunks import running
 from sitebrief.session import cut_lineage
 
 _SCHEMA = (
@@ -49,12 +50,12 @@ def urls_table(df: DataFrame) -> DataFrame:
         strip(F.col("_col.priority")).try_cast("double").alias("priority"))
 
 
-def expand(docs: DataFrame, roots: DataFrame, max_files: int = 50, max_urls: int = 10_000) -> DataFrame:
+def expand(docs: DataFrame, roots: DataFrame, max_files: int | None = None,
+           max_urls: int | None = None) -> DataFrame:
     """URLs reached from each root file (column root), in the order a queue would meet them.
 
-    One round per level of index files. A root handles at most ``max_files`` files, each once, and
-    gives at most ``max_urls`` URLs; these limits are part of the operator. What is kept between
-    rounds is the list of handled files, never the documents.
+    One round per level of index files; a root handles each file once. The caller can limit the files
+    and the URLs of a root. What is kept between rounds is the list of handled files, never the documents.
     """
     # Index files are parsed once, to (file, child) rows.
     links = cut_lineage(explode_rows(with_parsed(docs), "children", ["sitemap_url"]))
@@ -67,17 +68,18 @@ def expand(docs: DataFrame, roots: DataFrame, max_files: int = 50, max_urls: int
             F.min(F.struct("ord", "_pos")).alias("_at"))
         kids = kids.join(done.select("root", "sitemap_url"), ["root", "sitemap_url"], "left_anti")
         used = done.groupBy("root").agg(F.count("*").alias("_used"))
-        # At most max_files files per root, each with a bounded list: a small window.
         order = F.row_number().over(W.partitionBy("root").orderBy("_at")) + F.col("_used")
-        kids = kids.join(used, "root").withColumn("ord", order.cast("bigint")).filter(F.col("ord") <= max_files)
+        kids = kids.join(used, "root").withColumn("ord", order.cast("bigint"))
+        if max_files is not None:
+            kids = kids.filter(F.col("ord") <= max_files)
         front = cut_lineage(kids.select("root", "sitemap_url", "ord"))
         if front.isEmpty():
             break
         done = done.unionByName(front)
     files = done.join(with_parsed(docs).select("sitemap_url", "urls"), "sitemap_url")
     rows = explode_rows(files, "urls", ["root", "ord", "sitemap_url"])
-    w = W.partitionBy("root").orderBy("ord", "_pos")
-    return (
-        rows.withColumn("n", F.row_number().over(w).cast("bigint")).filter(F.col("n") <= max_urls)
-        .select("root", "n", "sitemap_url", F.col("_col.url").alias("url"))
-    )
+    # A file is a chunk of its root's order, so that a root with very many URLs is not one task.
+    rows = running(rows, ["root"], ["ord", "_pos"], F.col("ord"), rank="n")
+    if max_urls is not None:
+        rows = rows.filter(F.col("n") <= max_urls)
+    return rows.select("root", "n", "sitemap_url", F.col("_col.url").alias("url"))

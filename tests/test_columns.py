@@ -153,7 +153,7 @@ def test_mention_scores(spark):
 
 def test_answer_sources(spark):
     many = "SOURCES: " + " ".join(f"https://s/{i}" for i in range(12))
-    got = one(spark, [many, "Sources: https://x", "a"], F.size(M.answer_sources(F.col("x"))))
+    got = one(spark, [many, "Sources: https://x", "a"], F.size(M.answer_sources(F.col("x"), 10)))
     assert got == [10, 0, 0]
 
 
