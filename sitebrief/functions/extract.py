@@ -156,7 +156,7 @@ def scan_tech(text: str, around: Contexts) -> list[tuple]:
     return out
 
 
-def _column(*scans):
+def column(*scans):
     """A column function: the entities that the scans find in each text, in their order."""
     names = [f.name for f in _ROW.value_type]
 
@@ -171,24 +171,40 @@ def _column(*scans):
     return run
 
 
+def snippets(pattern: str, width: int = 100):
+    """A column function: start, end and context of every match of a pattern."""
+    kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64()), ("context", pa.string())]))
+    search = re.compile(pattern)
+
+    @F.arrow_udf("array<struct<s: bigint, e: bigint, context: string>>")
+    def run(texts: pa.Array) -> pa.Array:
+        rows = []
+        for text in texts.to_pylist():
+            around = Contexts(text or "", width)
+            rows.append([{"s": m.start(), "e": m.end(), "context": around(*m.span())} for m in search.finditer(text or "")])
+        return pa.array(rows, kind)
+
+    return run
+
+
 def with_emails(df: DataFrame, text: str = "text", out: str = "emails") -> DataFrame:
-    return df.withColumn(out, _column(scan_emails)(text))
+    return df.withColumn(out, column(scan_emails)(text))
 
 
 def with_phones(df: DataFrame, text: str = "text", out: str = "phones") -> DataFrame:
-    return df.withColumn(out, _column(scan_phones)(text))
+    return df.withColumn(out, column(scan_phones)(text))
 
 
 def with_addresses(df: DataFrame, text: str = "text", out: str = "addresses") -> DataFrame:
-    return df.withColumn(out, _column(scan_addresses)(text))
+    return df.withColumn(out, column(scan_addresses)(text))
 
 
 def with_social_handles(df: DataFrame, text: str = "text", out: str = "handles") -> DataFrame:
-    return df.withColumn(out, _column(scan_handles)(text))
+    return df.withColumn(out, column(scan_handles)(text))
 
 
 def with_tech_stack(df: DataFrame, text: str = "text", out: str = "tech") -> DataFrame:
-    return df.withColumn(out, _column(scan_tech)(text))
+    return df.withColumn(out, column(scan_tech)(text))
 
 
 # The address patterns, each linear in the text. They find what ADDRESSES find: words
@@ -245,7 +261,7 @@ def entities(df: DataFrame, text: str = "text", tech_stack: bool = False) -> Dat
     """All structured entities of each text: one scan, one batch function, one explode, no shuffle."""
     keep = [c for c in df.columns if c != text]
     scans = [scan_emails, scan_phones, scan_addresses, scan_handles, *([scan_tech] if tech_stack else [])]
-    return explode_entities(df.withColumn("_all", _column(*scans)(text)), "_all", keep)
+    return explode_entities(df.withColumn("_all", column(*scans)(text)), "_all", keep)
 
 
 def explode_entities(df: DataFrame, column: str, keep: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Callable, Iterator
 
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitebrief.functions import patterns as P
-from sitebrief.functions.text import snippet
+from sitebrief.functions.extract import Contexts
 from sitebrief.functions.urls import WS, strip
 
 Spans = list[tuple[int, int, str]]
@@ -72,55 +73,59 @@ def rule_model(texts: list[str]) -> list[Spans]:
     """A small stand-in for a statistical model: amounts, shares, years, capitalized runs."""
     out = []
     for text in texts:
-        spans: Spans = []
+        spans: Spans = []  # in order, not overlapping
         for pattern, label in _RULES:
             for m in pattern.finditer(text):
-                if all(m.end() <= s or m.start() >= e for s, e, _ in spans):
-                    spans.append((m.start(), m.end(), label))
-        out.append(sorted(spans))
+                i = bisect.bisect_left(spans, (m.start(),))
+                if (i == 0 or spans[i - 1][1] <= m.start()) and (i == len(spans) or spans[i][0] >= m.end()):
+                    spans.insert(i, (m.start(), m.end(), label))
+        out.append(spans)
     return out
 
 
 def mention_spans(df: DataFrame, model: Callable[[list[str]], list[Spans]] = rule_model, text: str = "text") -> DataFrame:
-    """Run a model over the texts in Arrow batches; one row per span, other columns kept."""
+    """Run a model over the texts in Arrow batches; one row per span, other columns kept.
+
+    A span carries its value and its context, not its text, so that a text with many spans stays small.
+    """
     keep = [f for f in df.schema.fields if f.name != text]
-    names = [f.name for f in keep] + [text]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + (
-        f", `{text}` string, s int, e int, label string")
+    names = [f.name for f in keep]
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keep) + (
+        "s int, e int, label string, value string, context string")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch = batch.reset_index(drop=True)
-            spans = model([x or "" for x in batch[text]])
-            rows = [(i, s, e, label) for i, found in enumerate(spans) for s, e, label in found]
+            texts = [x or "" for x in batch[text]]
+            rows = []
+            for i, (own, found) in enumerate(zip(texts, model(texts))):
+                around = Contexts(own)
+                rows += [(i, s, e, label, own[s:e], around(s, e)) for s, e, label in found]
             hit = batch.loc[[r[0] for r in rows], names].reset_index(drop=True)
-            hit["s"], hit["e"] = [r[1] for r in rows], [r[2] for r in rows]
-            hit["label"] = [r[3] for r in rows]
+            for k, name in enumerate(("s", "e", "label", "value", "context"), 1):
+                hit[name] = [r[k] for r in rows]
             yield hit
 
-    return df.select(*[f.name for f in keep], text).mapInPandas(run, schema)
+    return df.select(*names, text).mapInPandas(run, schema)
 
 
-def score_spans(spans: DataFrame, text: str = "text", min_confidence: float = 0.5) -> DataFrame:
-    """Spans to entities: type, value, confidence, context, role or relationship."""
-    value = F.substring(F.col(text), F.col("s") + 1, F.col("e") - F.col("s"))
+def score_spans(spans: DataFrame, min_confidence: float = 0.5) -> DataFrame:
+    """Spans to entities: type, confidence, role or relationship."""
     df = (
         spans.withColumn("type", entity_type(F.col("label")))
         .filter(F.col("type").isNotNull())
-        .withColumn("value", value)
         .withColumn("confidence", confidence(F.col("value")))
         .filter(F.col("confidence") >= min_confidence)
-        .withColumn("context", snippet(F.col(text), F.col("s"), F.col("e")))
     )
     r = F.when(F.col("label") == "PERSON", role(F.col("context")))
     o = F.when(F.col("label").isin("ORG", "NORP"), relationship(F.col("context")))
     extra = F.map_from_entries(F.array_compact(F.array(
         F.when(r.isNotNull(), F.struct(F.lit("role"), r)), F.when(o.isNotNull(), F.struct(F.lit("relationship"), o)))))
-    return df.withColumn("extra", extra.cast("map<string,string>")).drop(text)
+    return df.withColumn("extra", extra.cast("map<string,string>"))
 
 
 def mention_extract(df: DataFrame, model=rule_model, text: str = "text", min_confidence: float = 0.5) -> DataFrame:
-    return score_spans(mention_spans(df, model, text), text, min_confidence)
+    return score_spans(mention_spans(df, model, text), min_confidence)
 
 
 def answers(df: DataFrame, call: Callable[[list[str]], list[str]], prompt: str = "prompt") -> DataFrame:

@@ -1,6 +1,8 @@
-"""Extractors for SQL users, as table functions written in SQL (no Python worker).
+"""The extractors for SQL users: functions from a text to an array of entities.
 
-    SELECT d.doc_id, e.* FROM documents d, LATERAL emails_in(d.text) e
+    SELECT d.doc_id, e.* FROM documents d LATERAL VIEW inline(emails_in(d.text)) e
+
+Each returns what its extractor returns: type, value, normalized, confidence, context, extra.
 """
 
 from __future__ import annotations
@@ -9,15 +11,13 @@ from pyspark.sql import SparkSession
 
 from sitebrief.functions import extract as E
 
-
-def _text(pattern: str) -> str:
-    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+FUNCTIONS = {
+    "emails_in": (E.scan_emails,), "phones_in": (E.scan_phones,), "addresses_in": (E.scan_addresses,),
+    "handles_in": (E.scan_handles,), "technologies_in": (E.scan_tech,),
+    "entities_in": (E.scan_emails, E.scan_phones, E.scan_addresses, E.scan_handles),
+}
 
 
 def register(spark: SparkSession) -> None:
-    """Temporary functions emails_in, phones_in and addresses_in (text) -> (pos, value)."""
-    for name, patterns in [("emails_in", [E.EMAIL]), ("phones_in", E.PHONES[:1]), ("addresses_in", E.ADDRESSES[1:2])]:
-        arrays = ", ".join(f"regexp_extract_all(t, {_text(p)}, 0)" for p in patterns)
-        spark.sql(
-            f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(t STRING) RETURNS TABLE (pos INT, value STRING) "
-            f"RETURN SELECT pos, col FROM posexplode(concat({arrays}))")
+    for name, scans in FUNCTIONS.items():
+        spark.udf.register(name, E.column(*scans))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sitebrief.functions import patterns as P
 from sitebrief.functions import scalars as S
-from sitebrief.operators.chunks import day, running, top
+from sitebrief.operators.chunks import minute, running, top
 
 # Kinds of model calls; any other counts as analysis.
 CALL_TYPES = ["extraction", "summarization", "analysis"]
@@ -56,7 +56,7 @@ def usage_rollup(usages: DataFrame) -> DataFrame:
 def usage_running(usages: DataFrame) -> DataFrame:
     """Tokens and cost of the company after each call."""
     tokens = F.col("input_tokens") + F.col("output_tokens")
-    df = running(usages, ["company_id"], ["ts", "usage_id"], day("ts"),
+    df = running(usages, ["company_id"], ["ts", "usage_id"], minute("ts"),
                  sums={"running_input": F.col("input_tokens"), "running_output": F.col("output_tokens"),
                        "running_tokens": tokens})
     cost = F.round(S.total_cost(F.col("running_input"), F.col("running_output")), 6)
@@ -157,8 +157,10 @@ def version_tokens(analyses: DataFrame) -> DataFrame:
     return analyses.select("company_id", "version", total.alias("tokens_used"))
 
 
-def ordered_text(df: DataFrame, keys: list[str], order: list[str], piece: Column, sep: str, limit: int) -> DataFrame:
-    """Pieces of a key joined in order and cut at ``limit`` characters (column joined).
+def ordered_text(df: DataFrame, keys: list[str], order: list[str], piece: Column, sep: str, limit: int | None) -> DataFrame:
+    """Pieces of a key joined in order and cut at ``limit`` characters, if given (column joined).
+
+    Without a limit a key's whole text becomes one value; ``context_rows`` is the form for keys of any size.
 
     A piece and its separator take at least one character, so no more than ``limit`` pieces can
     show in the result. Map tasks drop the others; then pieces that start behind the limit go.
@@ -166,6 +168,9 @@ def ordered_text(df: DataFrame, keys: list[str], order: list[str], piece: Column
     """
     assert sep, "pieces need a separator, or their number has no bound"
     df = df.select(*keys, *order, piece.alias("_piece")).filter(F.col("_piece").isNotNull())
+    if limit is None:
+        parts = F.transform(F.array_sort(F.collect_list(F.struct(*order, "_piece"))), lambda x: x["_piece"])
+        return df.groupBy(*keys).agg(F.array_join(parts, sep).alias("joined"))
     df = top(df, keys, [F.col(c) for c in order], limit, "_rn")
     w = W.partitionBy(*keys).orderBy("_rn").rowsBetween(W.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.length("_piece") + len(sep)).over(w), F.lit(0))
@@ -174,35 +179,54 @@ def ordered_text(df: DataFrame, keys: list[str], order: list[str], piece: Column
     return df.groupBy(*keys).agg(F.substring(F.array_join(parts, sep), 1, limit).alias("joined"))
 
 
-def context_assembly(pages: DataFrame, entities: DataFrame) -> DataFrame:
+def _entity_label() -> Column:
+    return F.concat("entity_value", F.coalesce(F.concat(F.lit(" ("), "role", F.lit(")")), F.lit("")),
+                    F.coalesce(F.concat(F.lit(" - "), "relationship"), F.lit("")))
+
+
+def context_rows(pages: DataFrame, entities: DataFrame) -> DataFrame:
+    """The same texts uncut, as rows (company_id, kind, type, position, piece); nothing is collected."""
+    texts = pages.filter(F.coalesce("text", F.lit("")) != "").select(
+        "company_id", F.lit("page").alias("kind"), F.col("page_type").alias("type"), F.col("page_id").alias("position"),
+        F.concat(F.lit("["), "url", F.lit("]\n"), "text", F.lit("\n")).alias("piece"))
+    names = entities.select("company_id", F.lit("entity").alias("kind"), F.col("entity_type").alias("type"),
+                            F.col("entity_id").alias("position"), _entity_label().alias("piece"))
+    return texts.unionByName(names)
+
+
+def context_assembly(pages: DataFrame, entities: DataFrame, page_chars: int | None = None, content_chars: int | None = None,
+                     part_chars: int | None = None, list_chars: int | None = None) -> DataFrame:
     """The texts a report is written from, one row per company.
 
+    The caller can limit the characters of a page, of the whole content, of a part of it (team, careers, entities) and
+    of a list of entities; by default nothing is cut.
+
     pages: company_id, page_id, url, page_type, text; entities: company_id, entity_id,
     entity_type, entity_value, role, relationship. Types stand in order of their first page.
     """
+    cut = lambda c, n: (F.col(c) if isinstance(c, str) else c) if n is None else F.substring(c, 1, n)
     piece = F.when(F.coalesce("text", F.lit("")) != "", F.concat(
-        F.lit("["), "url", F.lit("]\n"), F.substring("text", 1, 5000), F.lit("\n")))
+        F.lit("["), "url", F.lit("]\n"), cut("text", page_chars), F.lit("\n")))
     types = pages.groupBy("company_id", "page_type").agg(F.min("page_id").alias("first_page"))
-    texts = ordered_text(pages, ["company_id", "page_type"], ["page_id"], piece, "\n", 50_000)
+    texts = ordered_text(pages, ["company_id", "page_type"], ["page_id"], piece, "\n", content_chars)
     per_type = types.join(texts, ["company_id", "page_type"], "left")
     headed = F.concat(F.lit("=== "), F.upper("page_type"), F.lit(" PAGES ===\n"), F.coalesce("joined", F.lit("")))
     # At most ten page types and eleven entity types per company: small arrays.
     parts = F.transform(F.array_sort(F.collect_list(F.struct("first_page", headed.alias("t")))), lambda x: x["t"])
-    of_type = lambda t, n: F.coalesce(F.substring(F.max(F.when(F.col("page_type") == t, F.col("joined"))), 1, n), F.lit(""))
+    of_type = lambda t, n: F.coalesce(cut(F.max(F.when(F.col("page_type") == t, F.col("joined"))), n), F.lit(""))
     content = per_type.groupBy("company_id").agg(
-        F.substring(F.array_join(parts, "\n\n"), 1, 50_000).alias("content"),
-        of_type("team", 10_000).alias("team_content"), of_type("careers", 10_000).alias("careers_content"))
+        cut(F.array_join(parts, "\n\n"), content_chars).alias("content"),
+        of_type("team", part_chars).alias("team_content"), of_type("careers", part_chars).alias("careers_content"))
 
-    label = F.concat("entity_value", F.coalesce(F.concat(F.lit(" ("), "role", F.lit(")")), F.lit("")),
-                     F.coalesce(F.concat(F.lit(" - "), "relationship"), F.lit("")))
+    label = _entity_label()
     firsts = entities.groupBy("company_id", "entity_type").agg(F.min("entity_id").alias("first_entity"))
-    lists = ordered_text(entities, ["company_id", "entity_type"], ["entity_id"], label, ", ", 10_000)
+    lists = ordered_text(entities, ["company_id", "entity_type"], ["entity_id"], label, ", ", part_chars)
     lines = ordered_text(entities.filter(F.col("entity_type").isin("person", "org", "tech_stack")),
-                         ["company_id", "entity_type"], ["entity_id"], F.concat(F.lit("- "), label), "\n", 5_000)
+                         ["company_id", "entity_type"], ["entity_id"], F.concat(F.lit("- "), label), "\n", list_chars)
     every = firsts.join(lists, ["company_id", "entity_type"])
     named = F.struct("first_entity", F.concat("entity_type", F.lit(": "), "joined").alias("t"))
-    ents = every.groupBy("company_id").agg(F.substring(F.array_join(F.transform(
-        F.array_sort(F.collect_list(named)), lambda x: x["t"]), "\n"), 1, 10_000).alias("entities"))
+    ents = every.groupBy("company_id").agg(cut(F.array_join(F.transform(
+        F.array_sort(F.collect_list(named)), lambda x: x["t"]), "\n"), part_chars).alias("entities"))
     kind = lambda e: F.coalesce(F.max(F.when(F.col("entity_type") == e, F.col("joined"))), F.lit(""))
     people = lines.groupBy("company_id").agg(
         kind("person").alias("people_entities"), kind("org").alias("org_entities"),

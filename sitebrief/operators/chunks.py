@@ -1,7 +1,7 @@
 """Running windows that keep working when one key holds most of the rows.
 
 A plain window sends all rows of a key to one task. Here each key is first cut into chunks
-along the order (a day, a block of ids), windows run per chunk, and the chunk totals, one row
+along the order (a minute, a block of ids), windows run per chunk, and the chunk totals, one row
 per chunk, carry ranks, sums and neighbours across the borders. Chunks are computed from the
 row itself, so a task that is run again cuts in the same places.
 """
@@ -62,8 +62,9 @@ def running(
     return rows.select(*out, *added)
 
 
-def day(ts: str) -> Column:
-    return F.floor(F.unix_seconds(ts) / 86400)
+def minute(ts: str) -> Column:
+    """Chunks of a minute: what a key logs in one is bounded by its rate, however long or hot its log is."""
+    return F.floor(F.unix_seconds(ts) / 60)
 
 
 def block(number: str, size: int = 65536) -> Column:

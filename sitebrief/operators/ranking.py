@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sitebrief.functions import scalars as S
 from sitebrief.functions import urls as U
-from sitebrief.operators.chunks import block, day, running, top
+from sitebrief.operators.chunks import block, minute, running, top
 from sitebrief.operators.joins import latest
 from sitebrief.session import cut_lineage
 
@@ -149,7 +149,7 @@ def _first_n(chosen: DataFrame, free: DataFrame) -> DataFrame:
 
 def phase_transitions(log: DataFrame) -> DataFrame:
     """Steps of each job that are not allowed."""
-    df = running(log, ["job_id"], ["ts", "event_id"], day("ts"), lags={"previous": F.col("phase")})
+    df = running(log, ["job_id"], ["ts", "event_id"], minute("ts"), lags={"previous": F.col("phase")})
     allowed = [f"{a}>{b}" for a, bs in NEXT_PHASES.items() for b in bs]
     step = F.concat("previous", F.lit(">"), "phase")
     return df.filter(F.col("previous").isNotNull() & ~step.isin(*allowed))
@@ -161,9 +161,9 @@ def pause_durations(log: DataFrame) -> DataFrame:
     A pause while paused and a resume while running change nothing.
     """
     df = log.filter(F.col("control").isNotNull()).select("job_id", "ts", "event_id", "control")
-    df = running(df, ["job_id"], ["ts", "event_id"], day("ts"), lags={"_before": F.col("control")})
+    df = running(df, ["job_id"], ["ts", "event_id"], minute("ts"), lags={"_before": F.col("control")})
     turns = df.filter(~F.col("control").eqNullSafe(F.col("_before"))).drop("_before")
-    turns = running(turns, ["job_id"], ["ts", "event_id"], day("ts"), leads={"_until": F.col("ts")})
+    turns = running(turns, ["job_id"], ["ts", "event_id"], minute("ts"), leads={"_until": F.col("ts")})
     ms = F.floor((F.unix_micros("_until") - F.unix_micros("ts")) / 1000)
     return turns.filter("control = 'pause'").groupBy("job_id").agg(
         F.coalesce(F.sum(ms), F.lit(0)).cast("bigint").alias("paused_ms"))
@@ -177,7 +177,7 @@ def fetch_schedule(urls: DataFrame) -> DataFrame:
 
 def fetch_gaps(log: DataFrame, min_seconds: float) -> DataFrame:
     """Fetches that came sooner after the one before than the delay allows."""
-    df = running(log, ["job_id"], ["ts", "event_id"], day("ts"), lags={"_prev": F.col("ts")})
+    df = running(log, ["job_id"], ["ts", "event_id"], minute("ts"), lags={"_prev": F.col("ts")})
     gap = (F.unix_micros("ts") - F.unix_micros("_prev")) / 1e6
     return df.withColumn("gap", gap).filter(F.col("gap") < min_seconds).drop("_prev")
 
@@ -210,9 +210,9 @@ def checkpoint_points(log: DataFrame, pages: int = 10, seconds: float = 120.0, s
     block is entered (in parallel); the entries are then followed over one row per block; and
     each block marks its own checkpoints. No task ever holds more than one block.
     """
-    df = running(log.select("job_id", "event_id", "ts"), ["job_id"], ["ts", "event_id"], day("ts"), rank="rn")
+    df = running(log.select("job_id", "event_id", "ts"), ["job_id"], ["ts", "event_id"], minute("ts"), rank="rn")
     df = df.select("job_id", "event_id", (F.col("rn") - 1).alias("i"), (F.unix_micros("ts") / 1e6).alias("t"))
-    df = df.withColumn("blk", F.floor(F.col("i") / size))
+    df = cut_lineage(df.withColumn("blk", F.floor(F.col("i") / size)))  # used four times below
     # The next block's head is copied, so that a step over the border can be taken.
     head = df.filter((F.col("i") % size < pages) & (F.col("blk") > 0)).withColumn("blk", F.col("blk") - 1)
     both = df.withColumn("own", F.lit(True)).unionByName(head.withColumn("own", F.lit(False)))

@@ -192,6 +192,19 @@ SELECT coalesce(co.company_id, en.company_id) AS company_id, coalesce(content, '
   coalesce(oe, '') AS org_entities, coalesce(te, '') AS tech_entities FROM co FULL OUTER JOIN en
   ON co.company_id = en.company_id""")
 def context_assembly(t):
+    return A.context_assembly(*_context(t), page_chars=5_000, content_chars=50_000, part_chars=10_000, list_chars=5_000)
+
+
+def _context(t):
     pages = t.v_site_texts.withColumn("page_type", C.page_type_first_match(F.col("url")))
     ents = t.v_entities.withColumn("company_id", F.concat(F.lit("src"), F.substring("company_id", F.lit(2), F.lit(20))))
-    return A.context_assembly(pages, ents)
+    return pages, ents
+
+
+@query("context_rows", f"""WITH st AS (SELECT page_id, company_id, url, text, lower({O.path('url')}) AS p FROM v_site_texts)
+SELECT company_id, 'page' AS kind, {first_type_sql} AS type, page_id AS position, '[' || url || ']' || chr(10) || text ||
+  chr(10) AS piece FROM st WHERE coalesce(text, '') <> ''
+UNION ALL SELECT 'src' || substr(company_id, 2), 'entity', entity_type, entity_id, {_label} FROM v_entities""")
+def context_rows(t):
+    """All texts and entities of each company, whole."""
+    return A.context_rows(*_context(t))

@@ -6,6 +6,7 @@ from sitebrief.functions import classify as C
 from sitebrief.functions import patterns as P
 from sitebrief.functions import text as X
 from sitebrief.functions import urls as U
+from sitebrief.functions.extract import explode_rows, snippets
 from sitebrief.operators import pages as pages_op
 from sitebrief.plans import oracle_sql as O
 from sitebrief.plans.registry import query
@@ -102,10 +103,11 @@ def text_is_meaningful(t):
     return t.documents.select("doc_id", X.is_meaningful(F.col("text")).alias("is_meaningful"))
 
 
-@query("context_snippet", f"""WITH m AS (SELECT page_id, text,
-  strpos(text, regexp_extract(text, '[A-Za-z]+ing')) - 1 AS s,
-  strpos(text, regexp_extract(text, '[A-Za-z]+ing')) - 1 + length(regexp_extract(text, '[A-Za-z]+ing')) AS e
-  FROM v_texts WHERE regexp_matches(text, '[A-Za-z]+ing')),
+@query("context_snippet", f"""WITH f AS (SELECT page_id, text, regexp_extract_all(text, '[A-Za-z]+ing') AS found,
+    string_split_regex(text, '[A-Za-z]+ing') AS gaps FROM v_texts),
+g AS (SELECT page_id, text, i, found[i] AS word, length(array_to_string(gaps[1:i], '')) + length(array_to_string(found[1:i - 1], ''))
+    AS s FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM f)),
+m AS (SELECT page_id, text, s, s + length(word) AS e FROM g),
 a AS (SELECT *, greatest(s - 50, 0) AS l0, least(e + 50, length(text)) AS r0 FROM m),
 b AS (SELECT *, l0 - length(regexp_extract(substr(text, 1, l0), '[^ \\n\\t]*$')) AS l,
   r0 + length(regexp_extract(substr(text, r0 + 1), '^[^ \\n\\t]*')) AS r FROM a)
@@ -113,14 +115,9 @@ SELECT page_id, CAST(s AS BIGINT) AS start_pos, CAST(e AS BIGINT) AS end_pos,
   {O.strip("CASE WHEN l > 0 THEN '...' ELSE '' END || substr(text, l + 1, r - l) || "
            "CASE WHEN r < length(text) THEN '...' ELSE '' END")} AS snippet FROM b""")
 def context_snippet(t):
-    word = F.regexp_extract("text", "[A-Za-z]+ing", 0)
-    start = F.position(word, F.col("text")) - 1
-    return (
-        t.v_texts.filter(F.col("text").rlike("[A-Za-z]+ing"))
-        .select("page_id", "text", start.alias("s"), (start + F.length(word)).alias("e"))
-        .select("page_id", F.col("s").cast("bigint").alias("start_pos"), F.col("e").cast("bigint").alias("end_pos"),
-                X.snippet(F.col("text"), F.col("s"), F.col("e")).alias("snippet"))
-    )
+    rows = explode_rows(t.v_texts, snippets("[A-Za-z]+ing")(F.col("text")), ["page_id"])
+    return rows.select("page_id", F.col("_col.s").alias("start_pos"), F.col("_col.e").alias("end_pos"),
+                       F.col("_col.context").alias("snippet"))
 
 
 @query("html_escape_col", "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), "

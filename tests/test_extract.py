@@ -118,5 +118,11 @@ def test_context_and_extension(spark):
 
 def test_sql_functions(spark):
     sql_functions.register(spark)
-    got = spark.sql("SELECT e.value FROM VALUES ('a@b.io x c@d.org') t(x), LATERAL emails_in(t.x) e ORDER BY pos").collect()
-    assert [r[0] for r in got] == ["a@b.io", "c@d.org"]
+    texts = ["a@b.io x c@d.org or me [at] e [dot] net, +1 (415) 555-2671", "Visit 12 Main Street, Suite 5 today", "Town, IL 62701 x", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    df.createOrReplaceTempView("sql_texts")
+    got = spark.sql("SELECT i, e.type, e.normalized, e.context FROM sql_texts LATERAL VIEW inline(entities_in(text)) e").collect()
+    want = E.entities(df).select("i", "type", "normalized", "context").collect()
+    assert got == want and {r["type"] for r in got} >= {"email", "phone", "address"}
+    one = spark.sql("SELECT e.value FROM VALUES ('a@b.io x c@d.org') t(x) LATERAL VIEW inline(emails_in(x)) e").collect()
+    assert [r[0] for r in one] == ["a@b.io", "c@d.org"]
