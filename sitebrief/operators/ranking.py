@@ -99,6 +99,7 @@ def upload_row_check(rows: DataFrame, registry: DataFrame) -> DataFrame:
     known = registry.select(U.registry_key(F.col("website_url")).alias("_key")).distinct().withColumn(
         "_known", F.lit(True))
     rows = rows.join(known, "_key", "left")
+    # The messages of the failed tests.
     error = (
         F.when(F.col("_name") == "", "Company name is required")
         .when(F.length("_name") > 200, "Company name exceeds 200 characters")

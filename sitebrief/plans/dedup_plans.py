@@ -8,6 +8,7 @@ from sitebrief.operators import dedup as D
 from sitebrief.operators.graph import link_depth as bfs
 from sitebrief.plans import oracle_sql as O
 from sitebrief.plans.registry import query
+from sitebrief.session import cut_lineage
 
 _xkey = f"CASE type WHEN 'phone' THEN regexp_replace({O.strip('lower(value)')}, '\\D', '', 'g') ELSE {O.strip('lower(value)')} END"
 _name = O.strip("lower(value)")
@@ -100,6 +101,19 @@ def entity_dedup_all(t):
     return _out(D.merge(D.cluster_all(t.v_mentions)))
 
 
+@query("cluster_sources_all")
+def cluster_sources_all(t):
+    """Sources of the merged entities of all types, as rows."""
+    return D.cluster_sources(D.cluster_all(t.v_mentions))
+
+
+@query("dedup_summary_all")
+def dedup_summary_all(t):
+    """Mentions and merged entities per company over all types."""
+    whole = cut_lineage(D.cluster_all(t.v_mentions))
+    return D.summary(whole, D.merge(whole))
+
+
 def _people(t):
     names = t.v_mentions.filter("type = 'person'").select("company_id", F.col("value").alias("name"))
     roster = t.v_mentions.filter("type = 'person' AND pos % 5 < 2").select("company_id", F.col("value").alias("known"))
