@@ -140,12 +140,14 @@ def _sorted_out(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     Rows that are alone with their digit leave. The open rows are one of each cover, where a digit has several covers;
     ``covers`` is their number.
     """
-    digits = rows.groupBy("digit").agg(F.sum("n").alias("_all")).filter("_all > 1")
+    # Sums are written before they are joined: a join of two plain tables is split where a digit is hot.
+    digits = written(rows.groupBy("digit").agg(F.sum("n").alias("_all")).filter("_all > 1"), f"{name}-digits")
     alive = written(rows.join(digits, "digit").drop("_all"), f"{name}-alive")
-    covers = alive.groupBy("digit", "cover").agg(F.sum("n").alias("_same"), F.min(F.struct("uid", "place")).alias("_one"))
-    number = covers.groupBy("digit").agg(F.count("*").alias("covers"))
-    known = alive.join(covers, ["digit", "cover"]).join(number, "digit")
-    known = written(known.filter("_same > 1 OR covers > 1"), f"{name}-known")
+    covers = written(alive.groupBy("digit", "cover").agg(
+        F.sum("n").alias("_same"), F.min(F.struct("uid", "place")).alias("_one")), f"{name}-covers")
+    number = written(covers.groupBy("digit").agg(F.count("*").alias("covers")), f"{name}-numbers")
+    known = covers.join(number, "digit").filter("_same > 1 OR covers > 1")
+    known = written(alive.join(written(known, f"{name}-classes"), ["digit", "cover"]), f"{name}-known")
     repeated = known.filter("_same > 1")
     opened = known.filter((F.col("covers") > 1) & ((F.col("_same") == 1) | (F.struct("uid", "place") == F.col("_one"))))
     return repeated, opened.drop("_same", "_one", "n", "cover")
