@@ -191,7 +191,7 @@ def _rest_links(buckets: DataFrame, leaders: DataFrame, found: DataFrame, sets:
                    .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "members")
     apart = rows.filter("component != main")
     # With two members both have been compared already.
-    open_buckets = apart.filter("n > 2").groupBy("bucket").agg(F.collect_set("block").alias("left_blocks"))
+    open_buckets = written(apart.filter("n > 2").groupBy("bucket").agg(F.collect_set("block").alias("left_blocks")), "open")
     members = rows.join(open_buckets, "bucket").select("bucket", "id", "component", "main", "blocks", "block", "left_blocks")
     right = members.select("bucket", "id", "component", F.lit(1).alias("side"), F.explode("left_blocks").alias("lb"), F.col("block").alias("rb"))
     left = members.filter("component != main").select(
@@ -242,7 +242,8 @@ def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD, block: int
     keys = ["key1", "key2", "n_shingles"]
     classes = written(known.groupBy(*keys).agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands")), "classes")
     members = classes.select("id", F.explode("bands").alias("bucket"))
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    # Sums are written before they are joined: a join of two plain tables is split where a bucket is hot.
+    sizes = written(members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
     buckets = written(members.join(sizes, "bucket"), "buckets")
     # The leader meets most others.
     central = buckets.groupBy("id").agg(F.sum("n").alias("meets"))
