@@ -1,7 +1,5 @@
 """Sources and sinks: what is written is read back and checked."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from sitebrief.functions import patterns as P
@@ -10,13 +8,13 @@ from sitebrief.plans import oracle_sql as O
 from sitebrief.plans.dedup_plans import cluster_sql
 from sitebrief.plans.registry import query
 from sitebrief.plans.scalar_plans import sections_sql
-from sitebrief.session import shared_folder
+from sitebrief.session import scratch_path
 from sitebrief.sources import briefs as B
 from sitebrief.sources.company_csv import read_companies
 
 
 def _out(t, name):
-    return f"{shared_folder(t.spark)}/sitebrief-{name}-{uuid.uuid4().hex}"
+    return scratch_path(t.spark, f"sitebrief-{name}")
 
 
 @query("company_csv_scan", "SELECT CAST(row_no AS VARCHAR) AS row_no, company_name, website_url, industry FROM v_uploads")

@@ -8,12 +8,12 @@ from sitebrief.plans.extract_plans import _structured
 from sitebrief.plans.rank_plans import checkpoint_sql
 from sitebrief.plans.registry import query
 from sitebrief.plans.standins import STANDINS
-from sitebrief.session import TABLE_SCHEMAS, shared_folder
+from sitebrief.session import TABLE_SCHEMAS, scratch_path
 from sitebrief.streaming import live as V
 
 
 def _path(t, name):
-    return f"{shared_folder(t.spark)}/sitebrief-{name}-{uuid.uuid4().hex}"
+    return scratch_path(t.spark, f"sitebrief-{name}")
 
 
 def _events(t):

@@ -1,5 +1,6 @@
 """Windows, merging, rules and streams against brute force on small fixtures."""
 
+import os
 import random
 
 import pytest
@@ -13,6 +14,7 @@ from sitebrief.operators.graph import link_depth
 from sitebrief.sources import briefs as B
 from sitebrief.sources import robots as R
 from sitebrief.sources import sitemaps as M
+from sitebrief.session import clear_scratch, scratch_path
 from sitebrief.sources.company_csv import CsvHeaderError, read_companies
 from sitebrief.streaming import live as V
 
@@ -243,3 +245,11 @@ def test_upsert_keeps_first_time(spark):
     new = spark.createDataFrame([("c", "u", "bulletin", 5, 2), ("c", "v", "news", 6, 3)], cols)
     got = {tuple(r) for r in B.page_upsert(old, new, ["page_type"]).collect()}
     assert got == {("c", "u", "other", 1), ("c", "v", "news", 6)}
+
+
+def test_scratch_is_cleared(spark):
+    path = scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert path != scratch_path(spark, "gone")
+    clear_scratch(spark)
+    assert not os.path.exists(path.removeprefix("file:"))
