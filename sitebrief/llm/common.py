@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,11 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from sitebrief.session import read_table, shared_folder, ship_package
+from sitebrief.session import read_table, scratch_path, ship_package
 
-# Words and their separators in the operators' contracts.
+# What separates words in the operators' contracts.
 SPACE = r"[\x20\x09-\x0D]+"
-WORD = r"[^\x20\x09-\x0D]+"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +48,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[str], tuple]], ddl: st
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the cluster's shared folder; each call gives another one."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return scratch_path(spark, name)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
