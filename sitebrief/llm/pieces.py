@@ -28,7 +28,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 CHUNK = 1 << 19  # bytes of distinct segments that are indexed together
 PART = 1 << 22  # characters of texts that are encoded together
-MEMORY = 800_000  # segments that a worker remembers; a matter of speed only
+MEMORY = 400_000  # segments that a worker remembers; a matter of speed only
 DEPTH = 16  # bytes of a suffix that are sorted; longer pieces are compared to their end
 
 
