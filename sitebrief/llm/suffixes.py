@@ -84,22 +84,35 @@ def anchors(texts: list[bytes], size: int = SIZE, gram: int = GRAM) -> tuple[np.
     return owner, place - starts[owner], rolling.part(place, place + gram), mix(rolling.part(low, high) ^ mix(shape))
 
 
-def _pieces(raw: bytes, size: int) -> Iterator[tuple[int, bytes]]:
+def _pieces(raw: bytes, size: int, length: int | None = None) -> Iterator[tuple[int, bytes]]:
     """A long text in pieces; each string and its surroundings lie whole in one of them."""
-    step = PIECE - 4 * size
-    for at in range(0, max(1, len(raw) - 3 * size), step):
-        yield at, raw[at:at + PIECE]
+    length = length or PIECE
+    for at in range(0, max(1, len(raw) - 3 * size), length - 4 * size):
+        yield at, raw[at:at + length]
+
+
+def _own(base: int, n: int, size: int, length: int) -> tuple[int, int, int]:
+    """base, and the places (first, end) whose anchors the piece at ``base`` tells in a text of ``n`` bytes. Each place
+    belongs to one piece, and all strings around it lie whole in that piece."""
+    step = length - 4 * size
+    last = base + step >= n - 3 * size
+    return base, base + 2 * size if base else 0, n if last else base + 2 * size + step
 
 
 def _scan(documents: DataFrame, size: int, gram: int) -> DataFrame:
     """Anchors: uid, place, digit, cover, n. Those of a text that are alike are sent once with their number (n, 2 at
-    most); ``own`` rows are the places that the text itself repeats. In a piece of a long text the anchors near a cut
-    are told by its neighbour too, with less around them; that only adds strings that are compared in full later."""
+    most); ``own`` rows are the places that the text itself repeats. Of the pieces of a long text each tells the anchors
+    of its own places only, so that none is counted twice."""
+    chunk, length = CHUNK, PIECE
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for uids, bases, texts in _parts(batch, size):
+            for uids, bounds, texts in _parts(batch, size, chunk, length):
                 owner, place, digit, cover = anchors(texts, size, gram)
-                place = place + np.array(bases, np.int64)[owner] if len(place) else place
+                base, low, high = np.array(bounds, np.int64)[owner].T
+                place = place + base
+                inside = (place >= low) & (place < high)
+                owner, place, digit, cover = owner[inside], place[inside], digit[inside], cover[inside]
                 uid = np.array(uids, np.int64)[owner] if len(owner) else np.empty(0, np.int64)
                 order = np.lexsort((place, cover, digit, uid))
                 uid, place, digit, cover = uid[order], place[order], digit[order], cover[order]
@@ -119,19 +132,19 @@ def _anchor_batch(uid, place, digit, cover, n, own) -> pa.RecordBatch:
          pa.array(n, pa.int64()), pa.array(np.full(len(uid), own), pa.bool_())], names=["uid", "place", "digit", "cover", "n", "own"])
 
 
-def _parts(batch: pa.RecordBatch, size: int) -> Iterator[tuple[list, list, list]]:
-    uids, bases, texts, held = [], [], [], 0
+def _parts(batch: pa.RecordBatch, size: int, chunk: int, length: int) -> Iterator[tuple[list, list, list]]:
+    uids, bounds, texts, held = [], [], [], 0
     for uid, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-        for base, piece in _pieces(raw, size):
+        for base, piece in _pieces(raw, size, length):
             uids.append(uid)
-            bases.append(base)
+            bounds.append(_own(base, len(raw), size, length))
             texts.append(piece)
             held += len(piece)
-            if held >= CHUNK:
-                yield uids, bases, texts
-                uids, bases, texts, held = [], [], [], 0
+            if held >= chunk:
+                yield uids, bounds, texts
+                uids, bounds, texts, held = [], [], [], 0
     if texts:
-        yield uids, bases, texts
+        yield uids, bounds, texts
 
 
 def _sorted_out(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:

@@ -414,3 +414,16 @@ def test_long_texts_are_cut_in_pieces(spark, monkeypatch):
         parts = list(suffixes._pieces(t.encode(), 60))
         assert all(any(base <= i and i + 60 <= base + len(p) for base, p in parts) for i in range(len(t.encode()) - 59))
     assert suffixes.repeats_table(documents(spark, texts).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [1, 1 << 20])
+def test_cuts_of_long_texts_repeat_nothing(spark, monkeypatch, chunk):
+    monkeypatch.setattr(suffixes, "PIECE", 2000)
+    monkeypatch.setattr(suffixes, "CHUNK", chunk)
+    rnd = random.Random(13)
+    word = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    texts = [word(n) for n in (1999, 2000, 2001, 1820, 1940, 3700, 9000)]
+    texts += [texts[-1][1500:4200] + word(3000), word(2500) + texts[-1][5000:5150] * 2 + word(1500)]
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffixes.repeats_table(documents(spark, texts), 60, gram=8).collect()}
+    want = brute_repeats(texts, 60)
+    assert [got[i] for i in range(len(texts))] == want and [w[1] for w in want[:6]] == [0] * 6
