@@ -132,7 +132,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def guess_spans(text: str, cost: GuessCost, least_bits: float, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
-    """(start, kind, end, bits) of credential values outside base spans that cost ``least_bits`` or more."""
+    """(start, kind, end, bits) of credential values that cost ``least_bits`` or more. Values that base spans
+    cover to the end are left out; of others base spans may cover a part."""
     taken, found, k = sorted((s, e) for s, _, e in base), [], 0
     reach = -1
     for m in CONTEXT.finditer(text):
@@ -141,9 +142,14 @@ def guess_spans(text: str, cost: GuessCost, least_bits: float, base: list[tuple[
         while k < len(taken) and taken[k][0] <= start:
             reach = max(reach, taken[k][1])
             k += 1
+        covered = reach if start < reach else start
+        j = k
+        while covered < end and j < len(taken) and taken[j][0] <= covered:
+            covered = max(covered, taken[j][1])
+            j += 1
         # Prose after a name is no value: without an assignment it needs a digit or a sign inside.
         assigned = re.search(r"[:=]", text[m.start():m.start(1)])
-        if start < reach or len(value) < 6 or not (assigned or re.search(r"[^A-Za-z.,'-]", value)):
+        if covered >= end or len(value) < 6 or not (assigned or re.search(r"[^A-Za-z.,'-]", value)):
             continue
         bits = cost(value)
         if bits >= least_bits:

@@ -185,6 +185,17 @@ def test_secret_spans(spark):
     assert clean[7]["text"] is None and clean[5]["text"] == texts[5]
 
 
+def test_values_go_whole(spark):
+    tail = "#7Wb!q9Zr2$Vn"
+    key = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2"
+    texts = [f'password = "kT9vQ2mZ4pLx{tail}" x', f"token={key}, x", f"token:{key}{tail}", "password = changeme-default#"]
+    got = {r["doc_id"]: r for r in secret_scan.scan_secrets(documents(spark, texts)).collect()}
+    assert [got[i]["n_guess"] for i in range(4)] == [1, 0, 1, 0] and [got[i]["n_assign"] for i in range(4)] == [1] * 4
+    assert got[0]["spans"] == "assign:0:24,guess:12:37"
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(documents(spark, texts)).collect()}
+    assert [clean[i] for i in range(4)] == ['[secret]" x', "[secret], x", "[secret]", "[secret]#"]
+
+
 # --- mixing -------------------------------------------------------------------------------------------------------
 
 def test_mix_meets_targets(spark):
