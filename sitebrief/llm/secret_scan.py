@@ -22,10 +22,13 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-# Values beside these names are judged by their guess cost.
+# Values beside these names are judged by their guess cost. A value begins where the match ends.
+_SIGN = "[!#$%&(-;=?-_a-~]"
 CONTEXT = re.compile(
     r"""(?i:password|passwd|passphrase|pwd|secret|token|credential|api[ _-]?key|access[ _-]?key|private[ _-]?key|bearer)"""
-    r"""["']?(?:\x20*(?::=|=>|[:=])\x20*|\x20+is\x20+|\x20+)["'`]?([!#$%&(-;=?-_a-~]+)""")
+    r"""(?i:[\x20_-]?(?:key|token|secret|password|passwd|pwd|access|auth|base|value|string|hash|id)|[_-]?[0-9]){0,4}"""
+    r"""["']?(?:\x20*(?::=|=>|[:=])\x20*|\x20+is\x20+|\x20+)["'`]?(?=""" + _SIGN + ")")
+VALUE = re.compile(_SIGN + "+")
 TRIM = ",;:.)]}#&%$*!"
 
 # Frequent words of passwords and placeholders, by rank.
@@ -131,29 +134,40 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _goes_round(text: str, begin: int, start: int, end: int) -> bool:
+    """Whether ``start`` lies deep inside a block that comes again and again. The value one block before was no secret,
+    and this one costs no more; without this, names that repeat would be costed as often as they come."""
+    if start - begin < 64 or end - start < 64:
+        return False
+    near = text[start - 64:start + 64]
+    return any(near[p:] == near[:-p] for p in range(2, 17))
+
+
 def guess_spans(text: str, cost: GuessCost, least_bits: float, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
     """(start, kind, end, bits) of credential values that cost ``least_bits`` or more. Values that base spans
     cover to the end are left out; of others base spans may cover a part."""
     taken, found, k = sorted((s, e) for s, _, e in base), [], 0
-    reach = -1
-    for m in CONTEXT.finditer(text):
-        value = m[1].rstrip(TRIM)
-        start, end = m.start(1), m.start(1) + len(value)
-        while k < len(taken) and taken[k][0] <= start:
+    reach, at, run, end = -1, 0, 0, 0
+    while m := CONTEXT.search(text, at):
+        # A value may hold the next name, so the search goes on at its start unless it is taken.
+        at = start = m.end()
+        if start >= run:  # else the same signs go on: one end for all values in them
+            begin, run = start, VALUE.match(text, start).end()
+            end = start + len(text[start:run].rstrip(TRIM))
+        reach = max(reach, start)
+        while k < len(taken) and taken[k][0] <= reach:
             reach = max(reach, taken[k][1])
             k += 1
-        covered = reach if start < reach else start
-        j = k
-        while covered < end and j < len(taken) and taken[j][0] <= covered:
-            covered = max(covered, taken[j][1])
-            j += 1
         # Prose after a name is no value: without an assignment it needs a digit or a sign inside.
-        assigned = re.search(r"[:=]", text[m.start():m.start(1)])
-        if covered >= end or len(value) < 6 or not (assigned or re.search(r"[^A-Za-z.,'-]", value)):
+        if reach >= end or end - start < 6 or _goes_round(text, begin, start, end):
+            continue
+        value = text[start:end]
+        if not (re.search(r"[:=]", m[0]) or re.search(r"[^A-Za-z.,'-]", value)):
             continue
         bits = cost(value)
         if bits >= least_bits:
             found.append((start, 3, end, bits))
+            at = end
     return found
 
 

@@ -196,6 +196,22 @@ def test_values_go_whole(spark):
     assert [clean[i] for i in range(4)] == ['[secret]" x', "[secret], x", "[secret]", "[secret]#"]
 
 
+def test_each_name_has_its_own_value():
+    cost, value = secret_scan.GuessCost(), "kT9#vQ2!mZ4p"
+    texts = [f"The secret password = {value}", f"bearer token: {value}", f"SECRET_KEY = '{value}'", f"secret: password: {value}",
+             f"the secret key is {value}", f"secretKey={value}", f"TOKEN_SECRET_2 := {value}", f"password: {value} token", f"token {value}"]
+    for text in texts:
+        (start, _, end, _), = secret_scan.guess_spans(text, cost, 40.0, secret_scan.base_spans(text))
+        assert text[start:end] == value
+    for text in ("the secret password is password: token", "secret_key = changeme", "token token token"):
+        assert secret_scan.guess_spans(text, cost, 40.0, []) == []
+    # Names that come again and again cost linear time.
+    for block in ("token:", "token", "secret "):
+        text = block * 2_000 + "= " + value
+        (start, _, end, _), = secret_scan.guess_spans(text, cost, 40.0, [])
+        assert text[start:end] == value
+
+
 # --- mixing -------------------------------------------------------------------------------------------------------
 
 def test_mix_meets_targets(spark):
