@@ -100,6 +100,26 @@ def person_match_pairs(names: DataFrame, roster: DataFrame) -> DataFrame:
     return j.select("company_id", "name", "known", F.col("key.k").alias("how"))
 
 
+def person_match_links(mentions: DataFrame) -> DataFrame:
+    """All matches among all names, as links: (company_id, name, known, how).
+
+    ``same``: each name with the first name (longest, then by pos) of its class, which has the same first and last part.
+    ``known is initial``: the first name of a full class with that of its initial's class. Two names match exactly if
+    their classes are one or linked, so the rows are at most two per name and no match is lost.
+    """
+    key = ["company_id", "multi", "last", "first"]
+    df = with_name_parts(mentions)
+    names = df.select(*key, F.col("value").alias("name")).distinct()
+    heads = df.groupBy(*key).agg(F.min_by("value", F.struct(-F.length("value"), "pos")).alias("known"))
+    same = names.join(heads, key).select("company_id", "name", "known", F.lit("same").alias("how"))
+    at = ["company_id", "last", F.substring("first", 1, 1).alias("letter")]
+    heads = heads.filter("multi")
+    full = heads.filter(F.length("first") > 1).select(*at, F.col("known").alias("name"))
+    initial = heads.filter(F.length("first") == 1).select(*at, "known")
+    return same.unionByName(full.join(initial, ["company_id", "last", "letter"]).select(
+        "company_id", "name", "known", F.lit("known is initial").alias("how")))
+
+
 def cluster_persons(mentions: DataFrame) -> DataFrame:
     """Greedy clusters of names, longest first, in closed form.
 

@@ -133,6 +133,16 @@ def person_match_pairs(t):
     return D.person_match_pairs(*_people(t)).select("company_id", "name", "known")
 
 
+@query("person_match_links", f"""WITH {cluster_sql}, hd AS (SELECT company_id, multi, lst, fst, first(value ORDER BY o1, pos) AS
+  known FROM pn GROUP BY ALL) SELECT DISTINCT company_id, value AS name, known, 'same' AS how FROM pn JOIN hd USING (company_id,
+  multi, lst, fst) UNION ALL SELECT f.company_id, f.known, i.known, 'known is initial' FROM hd f JOIN hd i ON f.company_id =
+  i.company_id AND f.lst = i.lst AND f.multi AND i.multi AND length(f.fst) > 1 AND length(i.fst) = 1 AND
+  starts_with(f.fst, i.fst)""")
+def person_match_links(t):
+    """Matches over all mentions; person_match_pairs has those with a sampled roster only."""
+    return D.person_match_links(t.v_mentions.filter("type = 'person'"))
+
+
 def org_name_sql(v):
     n = O.strip(f"lower({v})")
     for s in P.LEGAL_SUFFIXES:
@@ -163,6 +173,16 @@ def org_match_pairs_similar(t):
     return D.matching_pairs(*_orgs(t), contain=True).select("company_id", "name", "known")
 
 
+@query("org_match_leaders")
+def org_match_leaders(t):
+    """Each name of all mentions with the leader that it matches; org_match_pairs has a sampled roster only."""
+    orgs = t.v_mentions.filter("type = 'org'").select(
+        "company_id", "type", D.org_name(F.col("value")).alias("name"), (-F.length("value")).alias("o1"), F.col("pos").alias("o2"))
+    first = orgs.groupBy("company_id", "type", "name").agg(F.min(F.struct("o1", "o2")).alias("at"))
+    return D.greedy_leaders(first.select("company_id", "type", "name", "at.o1", "at.o2"), contain=True).select(
+        "company_id", "name", F.col("leader").alias("known"))
+
+
 # Suppliers are linked when one follows the other in an order.
 _edges = """eg AS (SELECT DISTINCT site, src, dst FROM (SELECT 'r' || l_suppkey % 3 AS site, 's' || l_suppkey AS src,
   's' || lead(l_suppkey) OVER (PARTITION BY l_orderkey, l_suppkey % 3 ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst

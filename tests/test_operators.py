@@ -151,6 +151,20 @@ def test_person_clusters(spark, seed):
     assert clusters(D.cluster_persons(mentions(spark, values, "person"))) == greedy(list(enumerate(values)), names_match)
 
 
+def test_person_links_lose_no_match(spark):
+    rnd = random.Random(7)
+    firsts = ["J", "J.", "John", "Jane", "JOHN A.", "Jo", "M.", "", "Mary Ann"]
+    values = [f"{rnd.choice(firsts)} {rnd.choice(['Smith', 'Lee', 'Lee.', ''])}{rnd.choice(['', ' '])}" for _ in range(80)]
+    rows = D.person_match_links(mentions(spark, values, "person")).collect()
+    head = {r["name"]: r["known"] for r in rows if r["how"] == "same"}
+    linked = {(r["name"], r["known"]) for r in rows if r["how"] != "same"}
+    assert set(head) == set(values) and len(rows) <= 2 * len(head)
+    for a in head:
+        for b in head:
+            pair = (head[a], head[b])
+            assert names_match(a, b) == (pair[0] == pair[1] or pair in linked or pair[::-1] in linked)
+
+
 def test_org_clusters(spark):
     rnd = random.Random(5)
     base = ["Acme", "Acme Robotics", "Globex", "Globexx", "Initech Systems", "Initech System", "Umbrella Group", "IBM", "I"]
