@@ -36,6 +36,15 @@ TEMPLATES = (
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
             "hereby granted"),
 )
+# Kinds of Creative Commons licenses that are told apart by a word.
+VARIANTS = tuple(
+    (label, text) for label, long, short in (
+        ("cc-by-sa", "ShareAlike", "SA"), ("cc-by-nd", "NoDerivatives", "ND"), ("cc-by-nd", "NoDerivs", "ND"),
+        ("cc-by-nc-sa", "NonCommercial-ShareAlike", "NC-SA"), ("cc-by-nc-nd", "NonCommercial-NoDerivatives", "NC-ND"),
+        ("cc-by-nc-nd", "NonCommercial-NoDerivs", "NC-ND"))
+    for text in (f"This work is licensed under a Creative Commons Attribution-{long} 4.0 International License",
+                 f"Licensed under CC BY-{short} 4.0"))
+NOTICES = tuple(dict.fromkeys(TEMPLATES + VARIANTS))
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -63,12 +72,13 @@ def _template_table(spark: SparkSession, templates: Sequence[tuple[str, str]], k
     return F.broadcast(table) if len(rows) <= 100_000 else table  # a long list of templates is shuffled instead
 
 
-def license_spans(documents: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, k: int = 3,
+def license_spans(documents: DataFrame, templates: Sequence[tuple[str, str]] = NOTICES, k: int = 3,
                   least: float = 0.75, slip: int = 2) -> DataFrame:
     """Verified spans: doc_id, text_hash, label, template, start and end (words, end exclusive), coverage (0 to 1).
 
     A span joins diagonals at most ``slip`` apart; coverage is the share of the template's words inside matching
-    k-grams. Templates shorter than k words are not found. Rows with equal id and text count once.
+    k-grams, where words that the document has more count as words missed. Of spans that overlap the one with the best
+    coverage stays. Templates shorter than k words are not found. Rows with equal id and text count once.
     """
     words = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), license_words(F.col("text")).alias("words"))
     words = words.withColumn("words", F.explode(F.array("words"))).filter(F.size("words") >= k)
@@ -87,8 +97,25 @@ def license_spans(documents: DataFrame, templates: Sequence[tuple[str, str]] = T
                                           F.max("end").alias("end"), F.array_distinct(F.flatten(F.collect_list("tpos"))).alias("tpos")))
     covered = F.size(F.array_distinct(F.flatten(F.transform("tpos", lambda p: F.sequence(p, p + k - 1)))))
     fits = F.col("end") - F.col("start") <= F.col("n") * 1.25 + slip
-    return (merged.withColumn("coverage", covered / F.col("n")).filter((F.col("coverage") >= least) & fits)
-            .select("doc_id", "text_hash", "label", "template", "start", "end", "coverage"))
+    more = F.greatest(F.lit(0), F.col("end") - F.col("start") - (F.array_max("tpos") - F.array_min("tpos") + k))
+    spans = merged.withColumn("coverage", covered / (F.col("n") + more)).filter((F.col("coverage") >= least) & fits)
+    return _best(spans)
+
+
+def _best(spans: DataFrame) -> DataFrame:
+    """Of overlapping spans the best: taken from the best coverage down, unless one that is taken overlaps."""
+    keys = ["doc_id", "text_hash"]
+    order = W.partitionBy(*keys).orderBy("start", "end", "template")
+    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
+    spans = spans.withColumn("new", F.coalesce(F.col("start") >= reach, F.lit(True)).cast("int"))
+    spans = spans.withColumn("island", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    row = F.struct((-F.col("coverage")).alias("rank"), "n", "template", "start", "end", "label", "coverage")
+    islands = spans.groupBy(*keys, "island").agg(F.sort_array(F.collect_list(row)).alias("all"))
+    apart = lambda x: lambda y: (y["end"] <= x["start"]) | (x["end"] <= y["start"])
+    taken = F.aggregate("all", F.slice("all", 1, 1),
+                        lambda kept, x: F.when(F.forall(kept, apart(x)), F.concat(kept, F.array(x))).otherwise(kept))
+    return islands.select(*keys, F.explode(taken).alias("s")).select(
+        *keys, *[F.col("s")[c].alias(c) for c in ("label", "template", "start", "end", "coverage")])
 
 
 def _places(joined: Column, phrase: str) -> tuple[Column, Column, Column]:
@@ -103,7 +130,7 @@ def _places(joined: Column, phrase: str) -> tuple[Column, Column, Column]:
     return F.when(found, number).otherwise(F.lit(0).cast("bigint")), F.when(found, at(first)), F.when(found, at(last))
 
 
-def scan_licenses(documents: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, **options) -> DataFrame:
+def scan_licenses(documents: DataFrame, templates: Sequence[tuple[str, str]] = NOTICES, **options) -> DataFrame:
     """One row per row of ``documents``: base places and labels, all labels, and a score.
 
     The score is 1 with a base place, else the best coverage of a span, else 0. A null or empty text has no words;

@@ -262,6 +262,17 @@ def test_license_places_and_labels(spark):
     assert licenses.scan_licenses(documents(spark, texts).limit(0)).count() == 0
 
 
+def test_a_word_tells_licenses_apart(spark):
+    notice = "This work is licensed under a Creative Commons Attribution{} 4.0 International License"
+    want = {"": "cc-by", "-NonCommercial": "cc-by-nc", "-ShareAlike": "cc-by-sa", "-NoDerivatives": "cc-by-nd", "-NoDerivs": "cc-by-nd",
+            "-NonCommercial-ShareAlike": "cc-by-nc-sa", "-NonCommercial-NoDerivatives": "cc-by-nc-nd"}
+    texts = [notice.format(w) for w in want] + [notice.format("-ShareAlike") + ". " + notice.format(""), notice.format(" very")]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(documents(spark, texts)).collect()}
+    assert [got[i]["labels"] for i in range(len(texts))] == [*want.values(), "cc-by,cc-by-sa", "cc-by"]
+    assert [got[i]["n_spans"] for i in range(len(texts))] == [1] * len(want) + [2, 1]
+    assert got[0]["score"] == 1 and 0.75 <= got[len(want) + 1]["score"] < 1
+
+
 # --- toxicity -----------------------------------------------------------------------------------------------------
 
 def brute_segments(scores):
