@@ -2,7 +2,8 @@
 
 Each of 64 permutations gives two signature values, its minimum and its maximum over the shingle set; both agree with
 probability equal to the similarity, so 128 values cost 64 hash evaluations. 32 bands of four values propose candidates
-(a link at 0.75 is missed with probability 5e-6); links are confirmed on full sets.
+(a link at 0.75 between long texts is missed with probability 5e-6; in short ones minimum and maximum depend on each
+other, and with 3 of 4 shingles shared it is (3/4)^32 = 1e-4); links are confirmed on full sets.
 
 Groups of any size are worked without their pairs:
 
