@@ -9,12 +9,16 @@ neighbours all go with each other is the BPE encoding of its text, and each pref
 exactly what merging by score finds. Characters without a piece become byte pieces.
 
 No piece joins a word and the blank after it, so texts are cut there, and a segment met before is not matched again.
+A long segment (no blanks: encoded data, minified pages) is cut into blocks that overlap and are relaxed side by side,
+each as if a text began at its overlap. A block stands if its overlap ends as the block before ends, over as many
+positions as the longest piece has; all later positions follow from these. Any other block is relaxed again from there.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import sys
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -26,9 +30,12 @@ from pyspark.sql import DataFrame
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-CHUNK = 1 << 19  # bytes of distinct segments that are indexed together
-PART = 1 << 22  # characters of texts that are encoded together
-MEMORY = 400_000  # segments that a worker remembers; a matter of speed only
+# Sizes that bound a worker's memory; they decide speed only, not results.
+CHUNK = 1 << 18  # bytes of distinct segments that are indexed together
+PART = 1 << 20  # characters of texts that are encoded together
+MEMORY = 40 << 20  # bytes that remembered segments and their ids take
+BLOCK = 1024  # bytes of a long segment that are relaxed on their own
+OVERLAP = 192  # bytes before a block that are relaxed with it
 DEPTH = 16  # bytes of a suffix that are sorted; longer pieces are compared to their end
 
 
@@ -62,7 +69,7 @@ def steps_of(text: str, scores: dict[str, float]) -> tuple[list[str], list[tuple
         if best is None:
             break
         parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        steps.append((best, parts[0], parts[-1]))
+        steps.append((best, sys.intern(parts[0]), sys.intern(parts[-1])))
     return parts, steps
 
 
@@ -77,15 +84,20 @@ class Encoder:
             if parts == [text]:
                 reach.append((self._raw(text), i))
         reach.sort()
-        self.raw, self.raw_ids = [r for r, _ in reach], np.array([i for _, i in reach])
-        self.lengths = np.array([len(r) for r in self.raw])
+        self.raw, self.raw_ids = [r for r, _ in reach], np.array([i for _, i in reach], np.int32)
+        self.lengths = np.array([len(r) for r in self.raw], np.int32)
+        self.longest = max([4, *self.lengths.tolist()])
         self.low = np.array([r[:DEPTH] for r in self.raw], f"S{DEPTH}")
+        # The range of a piece ends before the least key above all that begin with it.
+        self.above = np.array([r[:DEPTH] + b"\xff" * (DEPTH - len(r)) for r in self.raw], f"S{DEPTH}")
         self.cuts = all(BLANK not in t.lstrip(BLANK) for t in vocabulary.ids)
         self.segment = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
         self.strange: dict[str, int] = {}  # characters without a piece: numbers after the ids
         self.names = dict(enumerate(vocabulary.texts))
+        self.widths = [len(self._raw(t)) for t in vocabulary.texts]
         self.slot_pair, self.slot_fits = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
         self.seen: dict[str, bytes] = {}  # ids, 4 bytes each
+        self.held = 0  # bytes of memory that ``seen`` takes, about
 
     @staticmethod
     def _raw(text: str) -> bytes:
@@ -116,7 +128,7 @@ class Encoder:
 
     def all_fit(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """goes_with for many pairs: each is worked out once and kept in its slot of a table of fixed size."""
-        pairs = (before << 21) | piece
+        pairs = (before.astype(np.int64) << 21) | piece
         slot = ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
         out, known = self.slot_fits[slot], self.slot_pair[slot] == pairs
         if not known.all():
@@ -132,36 +144,40 @@ class Encoder:
     # --- matching
 
     def edges(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, end, piece) of every occurrence of every piece, by end."""
+        """(start, end, piece) of every occurrence of every piece."""
         text = np.frombuffer(data + bytes(DEPTH), np.uint8)
         n = len(data)
         suffix = np.lib.stride_tricks.sliding_window_view(text, DEPTH)[:n]
         keys = np.ascontiguousarray(suffix)
-        words = keys.view(">u8").astype(np.uint64)
-        order = np.lexsort((words[:, 1], words[:, 0]))
+        words = keys.view(">u8")
+        order = np.lexsort((words[:, 1].astype(np.uint64), words[:, 0].astype(np.uint64))).astype(np.int32)
         keys = keys[order].reshape(-1).view(f"S{DEPTH}")
-        # The range of a piece ends before the least key above all that begin with it.
         first = np.searchsorted(keys, self.low, "left")
-        above = np.array([r[:DEPTH] + b"\xff" * (DEPTH - len(r)) for r in self.raw], f"S{DEPTH}")
-        last = np.searchsorted(keys, above, "right")
-        sizes = last - first
-        at = np.repeat(first - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-        start, which = order[at], np.repeat(np.arange(len(self.raw)), sizes)
-        for k in np.flatnonzero((self.lengths > DEPTH) & (sizes > 0)):
-            rows = np.flatnonzero(which == k)
-            wrong = [i for i in rows if data[start[i]:start[i] + self.lengths[k]] != self.raw[k]]
-            which[wrong] = -1
-        keep = which >= 0
-        start, which = start[keep], which[keep]
-        end = start + self.lengths[which]
-        by_end = np.argsort(end, kind="stable")
-        return start[by_end], end[by_end], self.raw_ids[which[by_end]]
+        sizes = np.searchsorted(keys, self.above, "right") - first
+        del keys, words
+        found = np.flatnonzero(sizes)
+        first, sizes = first[found], sizes[found]
+        at = np.repeat((first - np.cumsum(sizes) + sizes).astype(np.int32), sizes)
+        at += np.arange(len(at), dtype=np.int32)
+        start, which = order[at], np.repeat(found.astype(np.int32), sizes)
+        del at
+        keep = None
+        for k in found[self.lengths[found] > DEPTH].tolist():
+            keep = np.ones(len(which), bool) if keep is None else keep
+            for i in np.flatnonzero(which == k).tolist():
+                keep[i] = data[start[i]:start[i] + self.lengths[k]] == self.raw[k]
+        if keep is not None:
+            start, which = start[keep], which[keep]
+        return start, start + self.lengths[which], self.raw_ids[which]
 
     # --- relaxing
 
-    def learn(self, segments: list[str]) -> None:
-        """Encode new segments together."""
-        raws = [self._raw(s) for s in segments]
+    def relax(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """The last piece of every prefix of each of the byte strings: (best, bounds, edges by segment end).
+
+        ``best`` runs over the strings laid end to end, a closing byte behind each; ``bounds`` are their ends. A prefix
+        of p bytes stands at p from its string's start; where a character is not complete there is -1.
+        """
         data = b"\x00".join(raws) + b"\x00"
         text = np.frombuffer(data, np.uint8)
         start, end, piece = self.edges(data)
@@ -169,47 +185,113 @@ class Encoder:
         leads = np.flatnonzero((text & 0xC0) != 0x80)
         ends = np.append(leads[1:], len(data))
         single = np.zeros(len(data) + 1, bool)
-        width = np.zeros(len(data) + 1, np.int64)
+        width = np.zeros(len(data) + 1, np.int32)
         width[leads] = ends - leads
         single[start[(end - start) == width[start]]] = True
         bounds = np.cumsum([len(r) + 1 for r in raws])
         closing = np.zeros(len(data), bool)
         closing[bounds - 1] = True
-        odd = [(a, b) for a, b in zip(leads.tolist(), ends.tolist()) if not single[a] and not closing[a]]
-        if odd:
-            start, end = np.append(start, [a for a, _ in odd]), np.append(end, [b for _, b in odd])
-            piece = np.append(piece, [self._strange(data[a:b]) for a, b in odd])
-        # Edges by the distance of their end from their segment's start: all segments are relaxed side by side.
-        heads = np.concatenate([[0], bounds[:-1]])
+        odd = np.flatnonzero(~single[leads] & ~closing[leads])
+        if len(odd):
+            start, end = np.append(start, leads[odd].astype(np.int32)), np.append(end, ends[odd].astype(np.int32))
+            piece = np.append(piece, np.array([self._strange(data[leads[i]:ends[i]]) for i in odd], np.int32))
+        # Edges by the distance of their end from their string's start: all strings are relaxed side by side.
+        heads = np.concatenate([[0], bounds[:-1]]).astype(np.int32)
         head = heads[np.searchsorted(bounds, end, "left")]
-        order = np.argsort(end - head, kind="stable")
-        start, end, piece, first = start[order], end[order], piece[order], start[order] == head[order]
-        steps = np.flatnonzero(np.diff(end - head[order], prepend=-1))
-        best, back = np.full(len(data) + 1, -1, np.int64), np.zeros(len(data) + 1, np.int64)
+        gone = end - head
+        order = np.argsort(gone, kind="stable")
+        start, end, piece, gone = start[order], end[order], piece[order], gone[order]
+        first = start == head[order]
+        steps = np.flatnonzero(np.diff(gone, prepend=-1))
+        best = np.full(len(data) + 1, -1, np.int32)
         for a, b in zip(steps, np.append(steps[1:], len(end))):
             s, e, p, ok = start[a:b], end[a:b], piece[a:b], first[a:b].copy()
             inner = np.flatnonzero(~ok & (best[s] >= 0))
             if len(inner):
                 ok[inner] = self.all_fit(best[s[inner]], p[inner])
-            best[e[ok]], back[e[ok]] = p[ok], s[ok]
-        best, back, at = best.tolist(), back.tolist(), 0
+            best[e[ok]] = p[ok]
+        return best, bounds, (start, end, piece)
+
+    def learn(self, segments: list[str]) -> None:
+        """Encode new segments together."""
+        raws = [self._raw(s) for s in segments]
+        best, bounds, _ = self.relax(raws)
+        best, at = best.tolist(), 0
         for segment, bound in zip(segments, bounds.tolist()):
-            out, e = [], bound - 1
-            while e > at:
-                out.append(best[e])
-                e = back[e]
-            self.seen[segment] = array("i", self._ids(out[::-1]) if odd else out[::-1]).tobytes()
+            ids = array("i", self._chain(best, at, bound - 1)).tobytes()
+            self.seen[segment] = ids
+            self.held += 250 + 2 * len(segment) + len(ids)
             at = bound
 
+    def _chain(self, best: list[int], start: int, end: int) -> list[int]:
+        out, widths = [], self.widths
+        while end > start:
+            p = best[end]
+            out.append(p)
+            end -= widths[p]
+        out.reverse()
+        return self._ids(out) if self.strange else out
+
+    def long(self, segment: str) -> bytes:
+        """The ids of a segment of more than one block."""
+        raw = self._raw(segment)
+        cuts = [0]
+        while cuts[-1] < len(raw):
+            c = min(cuts[-1] + BLOCK, len(raw))
+            while c < len(raw) and raw[c] & 0xC0 == 0x80:
+                c += 1
+            cuts.append(c)
+        whole = np.full(len(raw) + 1, -1, np.int32)
+        group = max(1, CHUNK // (BLOCK + OVERLAP))
+        for k in range(0, len(cuts) - 1, group):
+            blocks = []
+            for a, b in zip(cuts[k:k + group], cuts[k + 1:k + group + 1]):
+                z = max(a - OVERLAP, 0)
+                while z and raw[z] & 0xC0 == 0x80:
+                    z -= 1
+                blocks.append((z, a, b))
+            best, bounds, edges = self.relax([raw[z:b] for z, _, b in blocks])
+            by_end = None
+            for (z, a, b), bound in zip(blocks, bounds.tolist()):
+                here = best[bound - 1 - (b - z):bound]  # prefixes that end at z ... b
+                known = slice(max(a - self.longest, 0) + 1, a + 1)
+                if z == 0 or np.array_equal(whole[known], here[known.start - z:a + 1 - z]):
+                    whole[a + 1:b + 1] = here[a + 1 - z:]
+                    continue
+                if by_end is None:
+                    order = np.argsort(edges[1], kind="stable")
+                    by_end = [x[order] for x in edges]
+                shift = bound - 1 - b
+                lo, hi = np.searchsorted(by_end[1], [a + 1 + shift, b + shift + 1])
+                self._again(whole, *[x[lo:hi] for x in by_end], shift)
+        return array("i", self._chain(whole.tolist(), 0, len(raw))).tobytes()
+
+    def _again(self, whole: np.ndarray, start: np.ndarray, end: np.ndarray, piece: np.ndarray, shift: int) -> None:
+        """Relax the edges of one block one by one, from what is known of the text before."""
+        low = int(start.min()) - shift
+        known, fits = whole[low:int(end.max()) - shift + 1].tolist(), {}
+        for s, e, p in zip((start - shift - low).tolist(), (end - shift - low).tolist(), piece.tolist()):
+            before = known[s]
+            if before < 0:
+                continue
+            ok = fits.get((before, p))
+            if ok is None:
+                ok = fits[before, p] = self.goes_with(before, p)
+            if ok:
+                known[e] = p
+        whole[low:low + len(known)] = known
+
     def _strange(self, raw: bytes) -> int:
         char = raw.decode("utf-8", "surrogatepass")
         number = self.strange.setdefault(char, len(self.v.texts) + len(self.strange))
-        self.names[number] = char
+        if number not in self.names:
+            self.names[number] = char
+            self.widths.append(len(raw))
         return number
 
     def _ids(self, numbers: list[int]) -> list[int]:
         size = len(self.v.texts)
-        if all(x < size for x in numbers):
+        if max(numbers) < size:
             return numbers
         out: list[int] = []
         for x in numbers:
@@ -222,11 +304,16 @@ class Encoder:
         for text in texts:
             whole = BLANK + text.replace(" ", BLANK) if text else ""
             cut.append(self.segment.findall(whole) if self.cuts else [whole] if whole else [])
-        if len(self.seen) > MEMORY:
-            self.seen.clear()
-        new = {s for c in cut for s in c if s not in self.seen}
+        wanted = {s for c in cut for s in c}
+        if self.held > MEMORY:
+            self.seen = {s: self.seen[s] for s in wanted if s in self.seen}
+            self.held = sum(250 + 2 * len(s) + len(i) for s, i in self.seen.items())
+        seen, big = self.seen, {}
         part, size = [], 0
-        for s in new:
+        for s in wanted - seen.keys():
+            if len(s) > BLOCK:
+                big[s] = self.long(s)
+                continue
             part.append(s)
             size += len(s)
             if size >= CHUNK:
@@ -234,16 +321,15 @@ class Encoder:
                 part, size = [], 0
         if part:
             self.learn(part)
-        seen = self.seen
-        return [np.frombuffer(b"".join([seen[s] for s in c]), np.int32) for c in cut]
+        return [np.frombuffer(b"".join([big[s] if s in big else seen[s] for s in c]), np.int32) for c in cut]
 
 
 def parts_of(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
     """(keys, texts) of some rows of a batch, about PART characters at a time."""
     keys, texts, size = [], [], 0
-    for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-        keys.append(key)
-        texts.append(text or "")
+    for i in range(batch.num_rows):
+        keys.append(batch.column(0)[i].as_py())
+        texts.append(batch.column(1)[i].as_py() or "")
         size += len(texts[-1])
         if size >= PART:
             yield keys, texts
