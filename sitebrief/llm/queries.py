@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitebrief.llm import chat, licenses, media, minhash, mixing, pieces, quality, secret_scan, suffixes, toxicity
+from sitebrief.llm import chat, licenses, media, minhash, mixing, pieces, quality, secret_scan, suffixes, token_counts, toxicity
 from sitebrief.llm.common import documents
 from sitebrief.session import read_table, ship_package
 
@@ -231,3 +231,9 @@ FROM d LEFT JOIN y USING (r)
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strings of 200 bytes that all documents repeat."""
     return suffixes.repeats_table(documents(spark, sf_dir))
+
+
+@query("op13_token_counts")
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents."""
+    return token_counts.token_table(documents(spark, sf_dir))
