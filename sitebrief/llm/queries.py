@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitebrief.llm import chat, licenses, media, minhash, mixing, pieces, quality, secret_scan, suffixes, token_counts, toxicity
+from sitebrief.llm import chat, collocations, licenses, media, minhash, mixing, pieces, quality, secret_scan, suffixes, token_counts, toxicity
 from sitebrief.llm.common import documents
 from sitebrief.session import read_table, ship_package
 
@@ -237,3 +237,34 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of all documents."""
     return token_counts.token_table(documents(spark, sf_dir))
+
+
+OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang,
+    regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+p AS (SELECT r, lang, generate_subscripts(ps, 1) AS j, unnest(ps) AS piece FROM d),
+w AS (SELECT r, lang, j, generate_subscripts(ws, 1) AS i, unnest(ws) AS w FROM (
+  SELECT r, lang, j, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p)),
+g AS (SELECT lang, w AS w1, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM w WINDOW o AS (PARTITION BY r, j ORDER BY i)),
+f AS MATERIALIZED (SELECT lang, 1 AS k, w1 AS phrase, count(*) AS n FROM g GROUP BY ALL
+  UNION ALL SELECT lang, 2, w1 || ' ' || w2, count(*) FROM g WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) FROM g WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+c AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+x AS (SELECT lang, phrase, max(a) AS longer FROM (
+  SELECT lang, ws[1] || ' ' || ws[2] AS phrase, a FROM c WHERE k = 3 UNION ALL SELECT lang, ws[2] || ' ' || ws[3], a FROM c WHERE k = 3) GROUP BY ALL),
+s AS (SELECT c.* FROM c LEFT JOIN x USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a),
+cuts AS (SELECT lang, phrase, a, 1 AS cut, ws[1] AS head, array_to_string(ws[2:], ' ') AS tail FROM s
+  UNION ALL SELECT lang, phrase, a, 2, ws[1] || ' ' || ws[2], ws[3] FROM s WHERE k = 3),
+z AS (SELECT cuts.*, h.n AS l, t.n AS r, (1000000::HUGEINT * a * a // (h.n::HUGEINT * t.n))::BIGINT AS score
+  FROM cuts JOIN f h ON h.lang = cuts.lang AND h.phrase = head AND h.k < 3 JOIN f t ON t.lang = cuts.lang AND t.phrase = tail AND t.k < 3),
+b AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
+SELECT k.lang, rank, phrase, a, l, r, n.n::BIGINT AS n, score FROM k JOIN (SELECT lang, sum(n) AS n FROM f WHERE k = 1 GROUP BY lang) n USING (lang)
+WHERE rank <= 2000
+"""
+
+
+@query("op11_collocations", OP11)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The collocations of each language of all documents."""
+    return collocations.collocations(documents(spark, sf_dir))
