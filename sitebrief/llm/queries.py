@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitebrief.llm import chat, collocations, licenses, media, minhash, mixing, pieces, quality, secret_scan, suffixes, token_counts, toxicity
+from sitebrief.llm import chat, collocations, licenses, media, minhash, mixing, pieces, prefix_trie, quality, secret_scan, suffixes, token_counts, toxicity
 from sitebrief.llm.common import documents
 from sitebrief.session import read_table, ship_package
 
@@ -268,3 +268,35 @@ WHERE rank <= 2000
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The collocations of each language of all documents."""
     return collocations.collocations(documents(spark, sf_dir))
+
+
+OP12 = r"""
+WITH t AS (SELECT conv_id AS c, size, id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) AS pos FROM (
+    SELECT conv_id, turn, strlen(coalesce(text, '')) AS size,
+      md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id FROM conversations WHERE conv_id IS NOT NULL)),
+v AS (SELECT c, c - c % 5 AS base, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]),
+      lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) % 9 AS h FROM (SELECT DISTINCT c FROM t)),
+r AS (SELECT c, pos + 8 AS k, id, size FROM t JOIN v USING (c) WHERE pos > h
+  UNION ALL SELECT v.c, pos, id, size FROM v JOIN t ON t.c = base WHERE pos <= h),
+p AS (SELECT c, row_number() OVER w AS d, size, md5(string_agg(id, '/') OVER w) AS node FROM r WINDOW w AS (PARTITION BY c ORDER BY k)
+  UNION ALL SELECT c, 0, 0, '' FROM v),
+q AS (SELECT *, lag(node) OVER w AS up, d = max(d) OVER (PARTITION BY c) AS ends FROM p WINDOW w AS (PARTITION BY c ORDER BY d)),
+n AS (SELECT node, any_value(up) AS up, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS s,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM q GROUP BY node),
+k AS (SELECT up AS node, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (node)),
+z AS (SELECT q.node, sum(CASE WHEN q.c = conv_id THEN s ELSE 0 END) OVER w AS s, sum(CASE WHEN q.c = conv_id AND n_children = 0 THEN 1 ELSE 0 END) OVER w AS l
+  FROM q JOIN m USING (node) WINDOW w AS (PARTITION BY c ORDER BY d DESC)),
+y AS (SELECT node, sum(s) AS saved, sum(l) AS leaves FROM z GROUP BY node)
+SELECT m.conv_id, m.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children, leaves::BIGINT AS n_leaves,
+  saved::BIGINT AS saved_tokens, m.ends_sha256
+FROM m JOIN y USING (node) LEFT JOIN n u ON u.node = m.up
+"""
+
+
+@query("op12_prefix_trie", OP12)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations."""
+    ship_package(spark)
+    return prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
