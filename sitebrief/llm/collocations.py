@@ -31,9 +31,9 @@ from sitebrief.llm.common import written
 from sitebrief.llm.hashing import BASE, TABLE, mix
 from sitebrief.operators.chunks import top
 
-WINDOW = 1 << 21  # bytes of text in work at a time
-GATHER = 1 << 20  # words whose phrases are counted before they leave the task
-FILTER_WORDS = 1 << 22
+WINDOW = 1 << 20  # bytes of text in work at a time
+GATHER = 1 << 19  # words whose phrases are counted before they leave the task
+FILTER_WORDS = 1 << 21
 HASHED = 48  # bytes of a word that are hashed side by side; longer words are hashed one by one
 JOIN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -53,12 +53,12 @@ def windows(batch: pa.RecordBatch, n_keys: int) -> Iterator[tuple[tuple, bytes,
     groups = defaultdict(list)
     for i, key in enumerate(zip(*[batch.column(j).to_pylist() for j in range(n_keys)])):
         groups[key].append(i)
-    texts = pc.fill_null(batch.column(n_keys), "").cast(pa.large_binary())
+    texts = batch.column(n_keys)
     for key, rows in groups.items():
         part, size = [], 0
         for i in rows:
-            part.append(texts[i].as_py())
-            size += len(part[-1])
+            part.append(texts[i].as_buffer())
+            size += part[-1].size
             if size >= WINDOW:
                 yield from _cut(key, b"\n".join(part))
                 part, size = [], 0
@@ -179,7 +179,8 @@ def _bits(h: str = "h"):
 
 def local_filter(counts: DataFrame, support: int) -> np.ndarray:
     """The bit filter over the phrases that reach the support in some shard."""
-    local = counts.groupBy("shard", "h").agg(F.sum("n").alias("n")).filter(F.col("n") >= support)
+    # Rows are distinct in what each task has gathered; combining them again before the shuffle finds next to nothing.
+    local = counts.repartition("shard", "h").groupBy("shard", "h").agg(F.sum("n").alias("n")).filter(F.col("n") >= support)
     words = local.select((F.col("h").bitwiseAND(FILTER_WORDS - 1)).alias("word"), _bits().alias("bits"))
     # At most FILTER_WORDS rows, whatever the data.
     found = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
