@@ -8,16 +8,14 @@ combining aggregates.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitebrief.functions import patterns as P
 from sitebrief.functions.urls import WS, strip
-from sitebrief.operators.chunks import top
+from sitebrief.operators.clusters import greedy_leaders
 from sitebrief.session import cut_lineage
 
-THRESHOLD = 0.85
 EXTRA_KEYS = ["role", "relationship"]
 
 
@@ -52,6 +50,12 @@ def cluster_sources(clustered: DataFrame) -> DataFrame:
         "company_id", "type", "cluster", "source_url").distinct()
 
 
+def cluster_contexts(clustered: DataFrame) -> DataFrame:
+    """All contexts of each cluster, one row each."""
+    return clustered.filter(F.coalesce("context", F.lit("")) != "").select(
+        "company_id", "type", "cluster", "context").distinct()
+
+
 # --- exact ------------------------------------------------------------------------------------
 
 def exact_key(kind: Column, value: Column) -> Column:
@@ -80,26 +84,6 @@ def with_name_parts(df: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
-def person_match_pairs(names: DataFrame, roster: DataFrame) -> DataFrame:
-    """Names (company_id, name) that match roster names (company_id, known).
-
-    Same last part, and first parts equal or one the initial of the other. Each way of matching
-    has its own key, so every pair is found once, by an equality join without a residual test.
-    """
-    def keyed(df, col, left):
-        df = with_name_parts(df.select("company_id", F.col(col).alias("value")).distinct())
-        letter, short = F.substring("first", 1, 1), F.length("first") == 1
-        full = F.length("first") > 1
-        same = F.struct(F.lit("same").alias("k"), F.concat(F.col("multi").cast("string"), F.lit(":"), "first").alias("f"))
-        first_full = F.when(F.col("multi") & (full if left else short), F.struct(F.lit("known is initial").alias("k"), letter.alias("f")))
-        first_short = F.when(F.col("multi") & (short if left else full), F.struct(F.lit("name is initial").alias("k"), letter.alias("f")))
-        keys = F.explode(F.array_compact(F.array(same, first_full, first_short)))
-        return df.select("company_id", "last", keys.alias("key"), F.col("value").alias(col))
-
-    j = keyed(names, "name", True).join(keyed(roster, "known", False), ["company_id", "last", "key"])
-    return j.select("company_id", "name", "known", F.col("key.k").alias("how"))
-
-
 def person_match_links(mentions: DataFrame) -> DataFrame:
     """All matches among all names, as links: (company_id, name, known, how).
 
@@ -151,136 +135,11 @@ def org_name(value: Column) -> Column:
     return strip(F.regexp_replace(n, f"{WS}+", " "))
 
 
-def lcs_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence, one machine word operation per character of b."""
-    masks: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        masks[ch] = masks.get(ch, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    v = full
-    for ch in b:
-        u = v & masks.get(ch, 0)
-        v = ((v + u) | (v - u)) & full
-    return len(a) - v.bit_count()
-
-
-def similar(a: str, b: str) -> bool:
-    if not a or not b:
-        return False
-    total = len(a) + len(b)
-    if 2.0 * min(len(a), len(b)) / total < THRESHOLD:
-        return False
-    return a == b or 2.0 * lcs_length(a, b) / total >= THRESHOLD
-
-
-def org_similar(a: str, b: str) -> bool:
-    return a in b or b in a or similar(a, b)
-
-
-def _grams(name: Column, n: int) -> Column:
-    starts = F.sequence(F.lit(1), F.greatest(F.length(name) - (n - 1), F.lit(1)))
-    return F.when(F.length(name) >= n, F.array_distinct(F.transform(starts, lambda i: F.substring(name, i, F.lit(n)))))
-
-
-def _index(df: DataFrame, name: str) -> DataFrame:
-    """Index keys of a name: all its trigrams, and its bigrams when it is short.
-
-    Names at least 0.85 alike share a trigram when their lengths sum to 17 or more and a bigram
-    otherwise; a name inside another shares all its grams with it.
-    """
-    none = F.array().cast("array<string>")
-    short = F.when(F.length(name) <= 16, _grams(F.col(name), 2))
-    keys = F.concat(F.coalesce(_grams(F.col(name), 3), none), F.coalesce(short, none))
-    return df.withColumn("gram", F.explode(keys))
-
-
-def candidate_pairs(names: DataFrame, known: DataFrame, contain: bool) -> DataFrame:
-    """(company_id, type, name) x (company_id, type, known) pairs that may match; none is missed.
-
-    ``known`` is a list of bounded length per company and type (a roster, or the leaders of one
-    round), so the pairs of a gram grow with the names, not with their square.
-    """
-    key = ["company_id", "type"]
-    a, b = names.select(*key, "name").distinct(), known.select(*key, "known").distinct()
-    pairs = _index(a, "name").join(_index(b, "known"), [*key, "gram"]).select(*key, "name", "known")
-    ratio = 2 * F.least(F.length("name"), F.length("known")) / (F.length("name") + F.length("known"))
-    gap = F.floor((1 - THRESHOLD) * (F.length("name") + F.length("known")) + 1e-9).cast("int")
-    alike = (ratio >= THRESHOLD) & (F.call_function("levenshtein", F.col("name"), F.col("known"), gap) != -1)
-    inside = F.col("name").contains(F.col("known")) | F.col("known").contains(F.col("name"))
-    pairs = pairs.filter(alike | inside if contain else alike)
-    if contain:
-        # Names of one or two characters inside any other, and the empty name, which is in all.
-        parts = lambda c: F.explode(F.array_union(
-            F.coalesce(_grams(F.col(c), 1), F.array().cast("array<string>")),
-            F.coalesce(_grams(F.col(c), 2), F.array().cast("array<string>"))))
-        tiny_b = b.filter(F.length("known").between(1, 2))
-        tiny_a = a.filter(F.length("name").between(1, 2))
-        pairs = pairs.unionByName(a.withColumn("known", parts("name")).join(tiny_b, [*key, "known"]))
-        pairs = pairs.unionByName(b.withColumn("name", parts("known")).join(tiny_a, [*key, "name"]))
-        pairs = pairs.unionByName(a.join(b.filter("known = ''"), key))
-        pairs = pairs.unionByName(a.filter("name = ''").join(b, key))
-    return pairs.distinct()
-
-
-def matching_pairs(names: DataFrame, known: DataFrame, contain: bool) -> DataFrame:
-    """Candidate pairs that do match; only those that need it go to the similarity function."""
-    @F.pandas_udf("boolean")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similar(x, y) for x, y in zip(a, b)])
-
-    pairs = candidate_pairs(names, known, contain)
-    if not contain:
-        return pairs.filter(alike("name", "known"))
-    inside = F.col("name").contains(F.col("known")) | F.col("known").contains(F.col("name"))
-    return pairs.filter(inside).unionByName(pairs.filter(~inside).filter(alike("name", "known")))
-
-
-def greedy_leaders(names: DataFrame, contain: bool, batch: int = 256, max_batch: int = 1024) -> DataFrame:
-    """(company_id, type, name, leader) of greedy clustering in the order (o1, o2).
-
-    A name joins the first leader it matches, else it becomes a leader. Per round and group the
-    next ``batch`` names are clustered among themselves; then all names behind them are compared
-    with the new leaders only and the matching ones leave. Names still there match no leader so
-    far, so the rounds give exactly the sequential result, and copies of one name never meet
-    each other. A round's group holds at most ``max_batch`` names.
-    """
-    test = org_similar if contain else similar
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        leaders: list[str] = []
-        lead = []
-        for name in pdf.sort_values(["o1", "o2"])["name"]:
-            hit = next((x for x in leaders if test(name, x)), None)
-            if hit is None:
-                leaders.append(name)
-            lead.append(name if hit is None else hit)
-        return pdf.sort_values(["o1", "o2"]).assign(leader=lead)[["company_id", "type", "name", "leader", "o1", "o2"]]
-
-    key = ["company_id", "type"]
-    schema = "company_id string, type string, name string, leader string, o1 long, o2 long"
-    left = cut_lineage(names.select(*key, "name", F.col("o1").cast("long").alias("o1"), F.col("o2").cast("long").alias("o2")))
-    done = None
-    while True:
-        ranked = top(left, key, [F.col("o1"), F.col("o2")], batch, "_rn").drop("_rn")
-        folded = cut_lineage(ranked.groupBy(*key).applyInPandas(fold, schema))
-        step = folded.select(*key, "name", "leader")
-        rest = left.join(folded.select(*key, "name"), [*key, "name"], "left_anti")
-        lead = folded.filter("name = leader").select(*key, F.col("name").alias("known"), "o1", "o2")
-        found = matching_pairs(rest, lead, contain).join(lead, [*key, "known"])
-        first = found.groupBy(*key, "name").agg(F.min_by("known", F.struct("o1", "o2")).alias("leader"))
-        first = cut_lineage(first)
-        step = step.unionByName(first)
-        done = step if done is None else done.unionByName(step)
-        left = cut_lineage(rest.join(first.select(*key, "name"), [*key, "name"], "left_anti"))
-        if left.isEmpty():
-            return done
-        batch = min(batch * 2, max_batch)
-
-
 def _cluster_greedy(df: DataFrame, contain: bool) -> DataFrame:
     """df has name (the form compared), value, pos, o1, o2."""
     key = ["company_id", "type", "name"]
-    first = df.groupBy(*key).agg(F.min(F.struct("o1", "o2", "value")).alias("at"))
+    # Read three times; normalizing names is not repeated.
+    first = cut_lineage(df.groupBy(*key).agg(F.min(F.struct("o1", "o2", "value")).alias("at")))
     names = first.select(*key, F.col("at.o1").alias("o1"), F.col("at.o2").alias("o2"))
     leaders = greedy_leaders(names, contain)
     titles = first.select("company_id", "type", F.col("name").alias("leader"), F.col("at.value").alias("canonical"),

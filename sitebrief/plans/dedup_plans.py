@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from sitebrief.functions import patterns as P
 from sitebrief.functions.urls import WS
 from sitebrief.operators import dedup as D
+from sitebrief.operators.clusters import greedy_leaders
 from sitebrief.operators.graph import link_depth as bfs
 from sitebrief.plans import oracle_sql as O
 from sitebrief.plans.registry import query
@@ -58,128 +59,116 @@ def entity_dedup_person(t):
     return _out(D.merge(_persons(t)))
 
 
-def _both(t):
-    return _exact(t).unionByName(_persons(t).drop("canonical"))
+def org_name_sql(v):
+    n = O.strip(f"lower({v})")
+    for s in P.LEGAL_SUFFIXES:
+        n = f"regexp_replace({n}, '{s.replace(chr(92) + 's', WS)}', '')"
+    n = f"regexp_replace({n}, '[^\\p{{L}}\\p{{N}}_{WS[1:-1]}]', '', 'g')"
+    return O.strip(O.collapse(n))
 
 
-@query("entity_merge", f"WITH {cluster_sql} {_merged}")
+
+# Greedy clusters, one name after the other: matches of all names by the definition (longest common subsequence by one
+# number per name, a bit per character), then a walk along the order that keeps the leaders so far.
+_greedy = """gm AS (SELECT DISTINCT ON (company_id, type, name) company_id, type, name, -length(value) AS o1, pos FROM gv ORDER BY
+  company_id, type, name, o1, pos),
+gr AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY company_id, type ORDER BY o1, pos) AS r, string_split(name, '') AS cs FROM gm),
+gp AS (SELECT a.company_id, a.type, a.r AS lo, b.r AS hi, a.name AS x, b.name AS y, a.cs AS xs, b.cs AS ys FROM gr a JOIN gr b ON
+  a.company_id = b.company_id AND a.type = b.type AND a.r < b.r WHERE (a.type = 'org' AND (contains(a.name, b.name) OR
+  contains(b.name, a.name))) OR (a.name <> '' AND b.name <> '' AND
+  levenshtein(a.name, b.name) <= 0.15 * (length(a.name) + length(b.name)) + 0.000001)),
+gl AS (SELECT *, (1::HUGEINT << length(x)) - 1 AS fullm FROM gp),
+gs AS MATERIALIZED (SELECT company_id, type, lo, hi FROM gl WHERE (type = 'org' AND (contains(x, y) OR contains(y, x))) OR
+  (x <> '' AND y <> '' AND 2.0 * (length(x) - bit_count(list_reduce(list_prepend(fullm, list_transform(ys, lambda c: list_sum(
+    list_transform(range(len(xs)), lambda i: CASE WHEN xs[i + 1] = c THEN 1::HUGEINT << i::INT ELSE 0::HUGEINT END))::HUGEINT)),
+    lambda v, m: ((v + (v & m)) | (v - (v & m))) & fullm))) / (length(x) + length(y)) >= 0.85)),
+ge AS MATERIALIZED (SELECT company_id, type, hi AS r, list(lo) AS los FROM gs GROUP BY ALL),
+gw AS (SELECT company_id, type, 0::BIGINT AS r, []::BIGINT[] AS leads, NULL::BIGINT AS lead FROM gr GROUP BY ALL
+  UNION ALL SELECT w.company_id, w.type, gr.r, CASE WHEN list_has_any(coalesce(los, []), leads) THEN leads ELSE list_append(leads, gr.r) END,
+    coalesce(list_min(list_intersect(los, leads)), gr.r)
+  FROM gw w JOIN gr ON gr.company_id = w.company_id AND gr.type = w.type AND gr.r = w.r + 1
+  LEFT JOIN ge ON ge.company_id = gr.company_id AND ge.type = gr.type AND ge.r = gr.r),
+gk AS (SELECT gr.company_id, gr.type, gr.name, l.name AS leader, CAST(l.pos AS VARCHAR) AS cluster FROM gr JOIN gw USING (company_id, type, r)
+  JOIN gr l ON l.company_id = gr.company_id AND l.type = gr.type AND l.r = gw.lead),
+gc AS (SELECT gv.company_id, gv.type, cluster, -length(value) AS o1, pos, value, confidence, source_url, context, role, relationship FROM gv
+  JOIN gk USING (company_id, type, name)
+  UNION ALL SELECT company_id, type, CAST(pos AS VARCHAR), 0, pos, value, confidence, source_url, context, role, relationship
+  FROM v_mentions WHERE type IN ('product', 'location') AND value = '')"""
+_names = """gv AS (SELECT *, CASE WHEN type = 'org' THEN """ + org_name_sql("value") + """ ELSE lower(value) END AS name FROM v_mentions
+  WHERE type = 'org' OR (type IN ('product', 'location') AND value <> ''))"""
+
+
+# Each type by its own rule: all mentions with their clusters, then merged.
+whole_sql = f"""{cluster_sql.split(',' + chr(10) + 'mg AS')[0]}, {_names}, {_greedy}, al AS (SELECT * FROM cl UNION ALL SELECT * FROM gc),
+{'mg AS' + cluster_sql.split(',' + chr(10) + 'mg AS')[1].replace('FROM cl ', 'FROM al ')}"""
+
+
+def _whole_of(t):
+    # Used more than once below: the clusters are found once.
+    return cut_lineage(D.cluster_all(t.v_mentions))
+
+
+@query("entity_merge", f"WITH RECURSIVE {whole_sql} {_merged}")
 def entity_merge(t):
-    return _out(D.merge(_both(t)))
+    return _out(D.merge(D.cluster_all(t.v_mentions)))
 
 
-@query("cluster_attributes", f"WITH {cluster_sql} SELECT company_id, type, cluster, roles, relationships FROM mg")
+@query("cluster_attributes", f"WITH RECURSIVE {whole_sql} SELECT company_id, type, cluster, roles, relationships FROM mg")
 def cluster_attributes(t):
-    return D.merge(_both(t)).select("company_id", "type", "cluster", "roles", "relationships")
+    return D.merge(D.cluster_all(t.v_mentions)).select("company_id", "type", "cluster", "roles", "relationships")
 
 
-@query("cluster_sources", f"WITH {cluster_sql} SELECT DISTINCT company_id, type, cluster, source_url FROM cl WHERE "
+@query("cluster_sources", f"WITH RECURSIVE {whole_sql} SELECT DISTINCT company_id, type, cluster, source_url FROM al WHERE "
        "coalesce(source_url, '') <> ''")
 def cluster_sources(t):
-    return D.cluster_sources(_both(t))
+    """Sources of the merged entities of all types, as rows."""
+    return D.cluster_sources(D.cluster_all(t.v_mentions))
+
+
+@query("cluster_contexts", f"WITH RECURSIVE {whole_sql} SELECT DISTINCT company_id, type, cluster, context FROM al WHERE "
+       "coalesce(context, '') <> ''")
+def cluster_contexts(t):
+    """Contexts of the merged entities of all types, as rows."""
+    return D.cluster_contexts(D.cluster_all(t.v_mentions))
 
 
-@query("dedup_summary", f"""WITH {cluster_sql}, b AS (SELECT company_id, count(*) AS n FROM cl GROUP BY 1),
+@query("dedup_summary", f"""WITH RECURSIVE {whole_sql}, b AS (SELECT company_id, count(*) AS n FROM al GROUP BY 1),
 a AS (SELECT company_id, count(*) AS n FROM mg GROUP BY 1)
 SELECT company_id, b.n AS original_count, a.n AS deduplicated_count, b.n - a.n AS removed FROM b JOIN a USING (company_id)""")
 def dedup_summary(t):
-    both = _both(t)
-    return D.summary(both, D.merge(both))
+    """Mentions and merged entities per company over all types."""
+    whole = _whole_of(t)
+    return D.summary(whole, D.merge(whole))
 
 
-@query("entity_dedup_org")
+@query("entity_dedup_org", f"WITH RECURSIVE {whole_sql} {_merged} WHERE type = 'org'")
 def entity_dedup_org(t):
     return _out(D.merge(D.cluster_orgs(t.v_mentions.filter("type = 'org'"))))
 
 
-@query("entity_dedup_fuzzy")
+@query("entity_dedup_fuzzy", f"WITH RECURSIVE {whole_sql} {_merged} WHERE type IN ('product', 'location')")
 def entity_dedup_fuzzy(t):
     return _out(D.merge(D.cluster_fuzzy(t.v_mentions.filter("type IN ('product', 'location')"))))
 
 
-@query("entity_dedup_all")
-def entity_dedup_all(t):
-    return _out(D.merge(D.cluster_all(t.v_mentions)))
-
-
-@query("cluster_sources_all")
-def cluster_sources_all(t):
-    """Sources of the merged entities of all types, as rows."""
-    return D.cluster_sources(D.cluster_all(t.v_mentions))
-
-
-@query("dedup_summary_all")
-def dedup_summary_all(t):
-    """Mentions and merged entities per company over all types."""
-    whole = cut_lineage(D.cluster_all(t.v_mentions))
-    return D.summary(whole, D.merge(whole))
-
-
-def _people(t):
-    names = t.v_mentions.filter("type = 'person'").select("company_id", F.col("value").alias("name"))
-    roster = t.v_mentions.filter("type = 'person' AND pos % 5 < 2").select("company_id", F.col("value").alias("known"))
-    return names, roster
-
-
-_pq = f"""p0 AS (SELECT DISTINCT company_id, value, {_name} AS n, {_parts} AS parts, pos % 5 < 2 AS known FROM v_mentions
-  WHERE type = 'person'),
-pa AS (SELECT DISTINCT company_id, value AS name, n, parts FROM p0), pb AS (SELECT DISTINCT company_id, value AS known, n AS
-  kn, parts AS kp FROM p0 WHERE known)"""
-
-
-@query("person_match_pairs", f"""WITH {_pq} SELECT company_id, name, known FROM pa JOIN pb USING (company_id) WHERE n = kn OR
-  (len(parts) >= 2 AND len(kp) >= 2 AND parts[-1] = kp[-1] AND (parts[1] = kp[1] OR (length(parts[1]) = 1 AND
-  starts_with(kp[1], parts[1])) OR (length(kp[1]) = 1 AND starts_with(parts[1], kp[1]))))""")
-def person_match_pairs(t):
-    return D.person_match_pairs(*_people(t)).select("company_id", "name", "known")
-
-
 @query("person_match_links", f"""WITH {cluster_sql}, hd AS (SELECT company_id, multi, lst, fst, first(value ORDER BY o1, pos) AS
   known FROM pn GROUP BY ALL) SELECT DISTINCT company_id, value AS name, known, 'same' AS how FROM pn JOIN hd USING (company_id,
   multi, lst, fst) UNION ALL SELECT f.company_id, f.known, i.known, 'known is initial' FROM hd f JOIN hd i ON f.company_id =
   i.company_id AND f.lst = i.lst AND f.multi AND i.multi AND length(f.fst) > 1 AND length(i.fst) = 1 AND
   starts_with(f.fst, i.fst)""")
 def person_match_links(t):
-    """Matches over all mentions; person_match_pairs has those with a sampled roster only."""
+    """Matches among all names, as links to the first name of each class."""
     return D.person_match_links(t.v_mentions.filter("type = 'person'"))
 
 
-def org_name_sql(v):
-    n = O.strip(f"lower({v})")
-    for s in P.LEGAL_SUFFIXES:
-        n = f"regexp_replace({n}, '{s.replace(chr(92) + 's', WS)}', '')"
-    n = f"regexp_replace({n}, '[^\\p{{L}}\\p{{N}}_{WS[1:-1]}]', '', 'g')"
-    return O.strip(O.collapse(n))
-
-
-def _orgs(t):
-    names = t.v_mentions.filter("type = 'org'").select("company_id", "type", D.org_name(F.col("value")).alias("name"))
-    roster = t.v_mentions.filter("type = 'org' AND pos % 7 < 2").select(
-        "company_id", "type", D.org_name(F.col("value")).alias("known"))
-    return names, roster
-
-
-@query("org_match_pairs", f"""WITH a AS (SELECT DISTINCT company_id, {org_name_sql('value')} AS name FROM v_mentions WHERE
-  type = 'org'), b AS (SELECT DISTINCT company_id, {org_name_sql('value')} AS known FROM v_mentions WHERE type = 'org' AND
-  pos % 7 < 2) SELECT company_id, name, known FROM a JOIN b USING (company_id) WHERE contains(name, known) OR
-  contains(known, name)""")
-def org_match_pairs(t):
-    pairs = D.candidate_pairs(*_orgs(t), contain=True)
-    inside = F.col("name").contains(F.col("known")) | F.col("known").contains(F.col("name"))
-    return pairs.filter(inside).select("company_id", "name", "known")
-
-
-@query("org_match_pairs_similar")
-def org_match_pairs_similar(t):
-    return D.matching_pairs(*_orgs(t), contain=True).select("company_id", "name", "known")
-
-
-@query("org_match_leaders")
+@query("org_match_leaders", f"WITH RECURSIVE {_names.replace(' OR (type IN', ' AND NOT (type IN')}, {_greedy} SELECT company_id, "
+       "name, leader AS known FROM gk")
 def org_match_leaders(t):
-    """Each name of all mentions with the leader that it matches; org_match_pairs has a sampled roster only."""
+    """Each normalized name of all mentions with the leader that it matches."""
     orgs = t.v_mentions.filter("type = 'org'").select(
         "company_id", "type", D.org_name(F.col("value")).alias("name"), (-F.length("value")).alias("o1"), F.col("pos").alias("o2"))
     first = orgs.groupBy("company_id", "type", "name").agg(F.min(F.struct("o1", "o2")).alias("at"))
-    return D.greedy_leaders(first.select("company_id", "type", "name", "at.o1", "at.o2"), contain=True).select(
+    return greedy_leaders(first.select("company_id", "type", "name", "at.o1", "at.o2"), contain=True).select(
         "company_id", "name", F.col("leader").alias("known"))
 
 

@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 from sitebrief.functions import patterns as P
 from sitebrief.operators import dedup as D
 from sitebrief.plans import oracle_sql as O
-from sitebrief.plans.dedup_plans import cluster_sql
+from sitebrief.plans.dedup_plans import whole_sql
 from sitebrief.plans.registry import query
 from sitebrief.plans.scalar_plans import sections_sql
-from sitebrief.session import scratch_path
+from sitebrief.session import cut_lineage, scratch_path
 from sitebrief.sources import briefs as B
 from sitebrief.sources.company_csv import read_companies
 
@@ -41,16 +41,16 @@ def page_upsert(t):
     return out.select("company_id", "url", "page_type", "is_external", F.unix_seconds("crawled_at").alias("crawled"))
 
 
-@query("entity_sink", f"""WITH {cluster_sql}, canon AS (SELECT company_id, type, cluster, first(value ORDER BY o1, pos) AS v
-  FROM cl GROUP BY 1, 2, 3)
-SELECT company_id, type AS entity_type, best.v AS entity_value, mg.source_url, mentions, CASE WHEN type = 'person' THEN
-  canon.v ELSE cluster END AS canonical FROM mg JOIN canon USING (company_id, type, cluster)""")
+@query("entity_sink", f"""WITH RECURSIVE {whole_sql}, canon AS (SELECT company_id, type, cluster, first(value ORDER BY o1, pos)
+  AS v FROM al GROUP BY 1, 2, 3)
+SELECT company_id, type AS entity_type, best.v AS entity_value, mg.source_url, mentions, CASE WHEN type IN ('email', 'phone')
+  THEN cluster ELSE canon.v END AS canonical FROM mg JOIN canon USING (company_id, type, cluster)""")
 def entity_sink(t):
-    exact = D.cluster_exact(t.v_mentions.filter("type IN ('email', 'phone')")).withColumn("canonical", F.col("cluster"))
-    both = exact.unionByName(D.cluster_persons(t.v_mentions.filter("type = 'person'")))
-    canonical = both.groupBy("company_id", "type", "cluster").agg(F.min("canonical").alias("canonical"))
+    """The merged entities of all types, stored and read back."""
+    whole = cut_lineage(D.cluster_all(t.v_mentions))
+    canonical = whole.groupBy("company_id", "type", "cluster").agg(F.min("canonical").alias("canonical"))
     path = _out(t, "entities")
-    B.write_entities(B.entity_rows(D.merge(both), canonical, D.EXTRA_KEYS), path)
+    B.write_entities(B.entity_rows(D.merge(whole), canonical, D.EXTRA_KEYS), path)
     df = t.spark.read.parquet(path)
     return df.select("company_id", F.col("entity_type").cast("string").alias("entity_type"), "entity_value", "source_url",
                      F.col("extra_data")["mentions"].cast("bigint").alias("mentions"),

@@ -343,7 +343,7 @@ SELECT c_custkey * 2 AS pos, CASE WHEN c_custkey % 3 = 0 THEN 'c0' ELSE 'c' || c
       ' Corporation' WHEN 13 THEN ', Ltd' ELSE '' END
     WHEN 2 THEN CASE c_custkey % 8 WHEN 2 THEN 'Sales' ELSE 'sales' END || c_custkey % 60 || '@acme.io '
     ELSE CASE c_custkey % 8 WHEN 3 THEN '+1 (415) 555-' ELSE '415.555.' END || (1000 + c_custkey % 70) END AS value,
-  CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE 0.5 + c_custkey % 9 * 0.05 END AS confidence,
+  CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE CAST(50 + c_custkey % 9 * 5 AS DOUBLE) / 100 END AS confidence,
   CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE 'https://p/' || c_custkey % 37 END AS source_url,
   CASE WHEN c_custkey % 13 = 0 THEN '' ELSE 'near ' || c_custkey % 41 END AS context,
   CASE WHEN c_custkey % 8 = 0 THEN 'Role ' || c_custkey % 3 ELSE NULL END AS role,
@@ -352,6 +352,6 @@ FROM customer
 UNION ALL
 SELECT p_partkey * 2 + 1, CASE WHEN p_partkey % 3 = 0 THEN 'c0' ELSE 'c' || p_partkey % 25 END,
   CASE p_partkey % 2 WHEN 0 THEN 'product' ELSE 'location' END,
-  CASE WHEN p_partkey % 50 = 0 THEN '' ELSE p_name || ' ' || p_brand || ' ' || p_type END, p_retailprice / 2000,
+  CASE WHEN p_partkey % 50 = 0 THEN '' ELSE p_name || ' ' || p_brand || ' ' || p_type END, CAST(p_retailprice AS DOUBLE) / 2000,
   'https://q/' || p_partkey % 31, 'by ' || p_partkey % 29, NULL, NULL
 FROM part"""

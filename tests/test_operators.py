@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sitebrief.operators import dedup as D
+from sitebrief.operators.clusters import greedy_leaders
 from sitebrief.operators import ranking as K
 from sitebrief.operators.chunks import running, top
 from sitebrief.operators.graph import link_depth
@@ -187,13 +188,31 @@ def test_fuzzy_clusters_over_several_rounds(spark):
     df = mentions(spark, values, "product").withColumn("name", F.lower("value")).filter("name <> ''")
     names = df.groupBy("company_id", "type", "name").agg(F.min(F.struct(-F.length("value"), "pos")).alias("at"))
     names = names.select("company_id", "type", "name", F.col("at.col1").alias("o1"), F.col("at.pos").alias("o2"))
-    small = {(r["name"], r["leader"]) for r in D.greedy_leaders(names, False, batch=8, max_batch=16).collect()}
-    big = {(r["name"], r["leader"]) for r in D.greedy_leaders(names, False).collect()}
+    small = {(r["name"], r["leader"]) for r in greedy_leaders(names, False, block=8).collect()}
+    big = {(r["name"], r["leader"]) for r in greedy_leaders(names, False).collect()}
     assert small == big
     want = greedy(list(enumerate(values)), lambda a, b: fuzzy(a.lower(), b.lower()))
     assert clusters(D.cluster_fuzzy(mentions(spark, values, "product"))) == want
 
 
+@pytest.mark.parametrize("block", [4, 16])
+def test_leaders_by_blocks_equal_the_sequential_rule(spark, block):
+    rnd = random.Random(block)
+    names = {"".join(rnd.choice("ab ") for _ in range(rnd.randint(1, 9))) for _ in range(60)} | {"", "a", "xyz" * 8, "xyz" * 8 + "w"}
+    names |= {f"customer {i:04d}" for i in range(40)}  # each is alike many others
+    items = [("c", "org", n, -len(n), i) for i, n in enumerate(sorted(names, key=lambda n: hash((n, block))))]
+    df = spark.createDataFrame(items, "company_id string, type string, name string, o1 long, o2 long")
+    for contain in (False, True):
+        match = (lambda a, b: a in b or b in a or fuzzy(a, b)) if contain else fuzzy
+        leaders, want = [], set()
+        for _, _, n, *_ in sorted(items, key=lambda x: x[3:]):
+            hit = next((x for x in leaders if match(n, x)), None)
+            leaders += [n] if hit is None else []
+            want.add((n, n if hit is None else hit))
+        got = greedy_leaders(df, contain, block).select("name", "leader").collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(items)
+
+
 def test_merge_boost_and_missing_confidence(spark):
     m = mentions(spark, ["A@x.io"] * 12 + ["b@x.io"], "email").withColumn(
         "confidence", F.when(F.col("pos") < 12, 0.7)).withColumn("role", F.when(F.col("pos") > 3, F.concat(F.lit("r"), "pos")))
