@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -198,77 +197,3 @@ def resume_phase(sessions: DataFrame) -> DataFrame:
     can = some("sections") | (F.col("c.entities") != 0) | some("visited") | some("queued")
     return c.select("company_id", "session_id", phase.alias("phase"), restart.alias("restart_phase"),
                     can.alias("can_resume"))
-
-
-# --- checkpoints: a counter that resets -------------------------------------------------------
-
-def checkpoint_points(log: DataFrame, pages: int = 10, seconds: float = 120.0, size: int = 4096) -> DataFrame:
-    """Events at which a checkpoint falls: ``pages`` events or ``seconds`` since the last one.
-
-    The counter resets, so no window expresses it; but from one checkpoint the next lies at most
-    ``pages`` events ahead. Each job is cut into blocks of ``size`` events; a block is entered
-    at one of its first ``pages`` events. Every block works out, for each entry, where the next
-    block is entered (in parallel); the entries are then followed over one row per block; and
-    each block marks its own checkpoints. No task ever holds more than one block.
-    """
-    df = running(log.select("job_id", "event_id", "ts"), ["job_id"], ["ts", "event_id"], minute("ts"), rank="rn")
-    df = df.select("job_id", "event_id", (F.col("rn") - 1).alias("i"), (F.unix_micros("ts") / 1e6).alias("t"))
-    df = cut_lineage(df.withColumn("blk", F.floor(F.col("i") / size)))  # used four times below
-    # The next block's head is copied, so that a step over the border can be taken.
-    head = df.filter((F.col("i") % size < pages) & (F.col("blk") > 0)).withColumn("blk", F.col("blk") - 1)
-    both = df.withColumn("own", F.lit(True)).unionByName(head.withColumn("own", F.lit(False)))
-
-    def steps(t, n):
-        """Next checkpoint after each event of the block; beyond the data there is none."""
-        nxt = []
-        for i in range(n):
-            j = i + 1
-            while j < len(t) and j < i + pages and t[j] - t[i] < seconds:
-                j += 1
-            nxt.append(j if j < len(t) else None)
-        return nxt
-
-    def first_entry(t):
-        """The first checkpoint of a job: the clock starts with its first event."""
-        j = 0
-        while j < len(t) and j < pages - 1 and t[j] - t[0] < seconds:
-            j += 1
-        return j if j < len(t) else None
-
-    def block_map(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        t, n = pdf["t"].tolist(), int(pdf["own"].sum())
-        nxt, exits = steps(t, n), []
-        for e in range(pages):
-            at = e if e < n else None
-            while at is not None and at < n:
-                at = nxt[at]
-            exits.append(-1 if at is None else at - n)
-        blk = int(pdf["blk"].iloc[0])
-        start = first_entry(t) if blk == 0 else None
-        return pd.DataFrame([{"job_id": pdf["job_id"].iloc[0], "blk": blk, "exits": exits,
-                              "start": -1 if start is None else start}])
-
-    maps = both.groupBy("job_id", "blk").applyInPandas(block_map, "job_id long, blk long, exits array<int>, start int")
-
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, entry, out = pdf.sort_values("blk"), -1, []
-        for row in pdf.itertuples():
-            entry = row.start if row.blk == 0 else entry
-            out.append(entry)
-            entry = row.exits[entry] if entry >= 0 else -1
-        return pd.DataFrame({"job_id": pdf["job_id"], "blk": pdf["blk"], "entry": out})
-
-    entries = maps.groupBy("job_id").applyInPandas(follow, "job_id long, blk long, entry int")
-
-    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        t, n, at, hit = pdf["t"].tolist(), int(pdf["own"].sum()), int(pdf["entry"].iloc[0]), []
-        nxt = steps(t, n)
-        while at is not None and 0 <= at < n:
-            hit.append(at)
-            at = nxt[at]
-        return pdf.iloc[hit][["job_id", "event_id", "i"]]
-
-    marked = both.join(entries.filter("entry >= 0"), ["job_id", "blk"])
-    return marked.groupBy("job_id", "blk").applyInPandas(mark, "job_id long, event_id long, i long")

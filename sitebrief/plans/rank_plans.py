@@ -6,6 +6,7 @@ from sitebrief.functions import text as X
 from sitebrief.functions import urls as U
 from sitebrief.operators import joins as J
 from sitebrief.operators import ranking as K
+from sitebrief.operators.checkpoints import checkpoint_points as points
 from sitebrief.plans import oracle_sql as O
 from sitebrief.plans.join_plans import _last_session, rules_sql
 from sitebrief.plans.registry import query
@@ -183,7 +184,7 @@ hop AS (SELECT job_id, i FROM st UNION ALL SELECT nx.job_id, nx.nxt FROM hop JOI
 @query("checkpoint_points", f"WITH RECURSIVE {checkpoint_sql} SELECT hop.job_id, event_id, hop.i FROM hop JOIN ev ON "
        "ev.job_id = hop.job_id AND ev.i = hop.i")
 def checkpoint_points(t):
-    return K.checkpoint_points(t.v_events, pages=10, seconds=86400.0)
+    return points(t.v_events, pages=10, seconds=86400.0)
 
 
 @query("resume_phase", f"""WITH {_last_session}, {repaired_sql},

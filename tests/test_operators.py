@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sitebrief.operators import checkpoints
 from sitebrief.operators import dedup as D
+from sitebrief.operators.checkpoints import checkpoint_points
 from sitebrief.operators.clusters import greedy_leaders
 from sitebrief.operators import ranking as K
 from sitebrief.operators.chunks import running, top
@@ -66,10 +68,25 @@ def test_checkpoint_points(log, size):
     rows, df = log
     want = {(j, [r[1] for r in rows if r[0] == j][i]) for j in range(5)
             for i in fold_checkpoints([r[2] for r in rows if r[0] == j], 10, 120.0)}
-    got = {(r[0], r[1]) for r in K.checkpoint_points(df, 10, 120.0, size=size).collect()}
+    got = {(r[0], r[1]) for r in checkpoint_points(df, 10, 120.0, size=size).collect()}
     assert got == want
 
 
+def test_checkpoint_points_of_a_hot_job_over_several_levels(spark, monkeypatch):
+    monkeypatch.setattr(checkpoints, "FAN", 3)
+    rnd, rows, t = random.Random(4), [], 1_700_000_000.0
+    for e in range(1200):  # nine of ten events are of one job
+        t += rnd.choice([1, 5, 20, 70, 130])
+        rows.append((0 if rnd.random() < 0.9 else rnd.randrange(1, 40), e, t))
+    df = spark.createDataFrame(rows, "job_id long, event_id long, t double").withColumn(
+        "ts", F.timestamp_micros((F.col("t") * 1000000).cast("long")))
+    want = set()
+    for job in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == job]
+        want |= {(job, mine[i][1], i) for i in fold_checkpoints([r[2] for r in mine], 10, 120.0)}
+    assert {tuple(r) for r in checkpoint_points(df, 10, 120.0, size=12).collect()} == want
+
+
 def test_stream_checkpoints_and_silence_over_several_files(spark, log, tmp_path):
     rows, df = log
     ordered = df.orderBy("ts", "event_id").repartitionByRange(3, "ts").sortWithinPartitions("ts", "event_id")
