@@ -3,20 +3,15 @@
 from __future__ import annotations
 
 import html as html_lib
-import re
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
+from sitebrief.functions.markup import parts
 from sitebrief.functions.urls import JAVA_WS, let, strip
 
-_TITLE = r"(?is)<title[^>]*>(.*?)</title>"
-# Comments and blocks that show nothing; one that is not closed goes on to the end.
-_HIDDEN = re.compile(
-    r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)")
-_TAG = re.compile(r"<[A-Za-z/!?][^>]*>")
-_ANCHOR_HREF = re.compile(r"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)")
 _ANY_HREF = "(?i)href=[\"']([^\"']+)[\"']"
 
 
@@ -33,33 +28,30 @@ def unescape(c: Column) -> Column:
     return _each("string", pa.string(), html_lib.unescape)(c)
 
 
-def title(html: Column) -> Column:
-    return strip(unescape(F.regexp_extract(html, _TITLE, 1)))
+@F.arrow_udf(StructType().add("title", "string").add("text", "string").add("links", ArrayType(StringType())))
+def _page_parts(pages: pa.Array) -> pa.Array:
+    kind = pa.struct([("title", pa.string()), ("text", pa.string()), ("links", pa.list_(pa.string()))])
+    found = (None if p is None else parts(p) for p in pages.to_pylist())
+    return pa.array([None if x is None else dict(zip(("title", "text", "links"), x)) for x in found], kind)
+
 
+def page_parts(html: Column) -> Column:
+    """Title, text and link targets of a page, read once."""
+    return _page_parts(html)
 
-def text_of(html: str) -> str:
-    """Text nodes outside script, style and noscript, each stripped, joined by one space.
 
-    Behind the last ``>`` there is no tag, so each search for a tag's end finds one and time is linear.
-    """
-    shown = _HIDDEN.sub("\x01", html)
-    end = shown.rfind(">") + 1
-    nodes = _TAG.sub("\x01", shown[:end]).split("\x01")
-    nodes[-1] += shown[end:]
-    parts = (piece for node in nodes for piece in node.split("\x01"))
-    return " ".join(t for t in (html_lib.unescape(n).strip() for n in parts) if t)
+def title(html: Column) -> Column:
+    return page_parts(html)["title"]
 
 
 def visible_text(html: Column) -> Column:
-    return _each("string", pa.string(), text_of)(html)
+    """Text nodes outside script, style and noscript, each stripped, joined by one space."""
+    return page_parts(html)["text"]
 
 
 def anchor_hrefs(html: Column) -> Column:
     """Targets of ``<a href>`` in document order, duplicates kept."""
-    def targets(text: str) -> list[str]:
-        found = _ANCHOR_HREF.findall(_HIDDEN.sub("", text))
-        return [html_lib.unescape(h[1:-1] if h[0] in "\"'" else h) for h in found]
-    return _each("array<string>", pa.list_(pa.string()), targets)(html)
+    return page_parts(html)["links"]
 
 
 def all_hrefs(html: Column) -> Column:

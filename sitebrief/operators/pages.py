@@ -43,11 +43,13 @@ def site_profile(pages: DataFrame) -> DataFrame:
     Copies are counted as rows minus distinct texts, with two aggregates that both combine
     before their shuffle, so neither a large site nor a text copied a million times is one task.
     """
+    # One reading of a page gives its text and its links.
+    pages = pages.select("url", X.page_parts(F.col("html")).alias("parts"))
     rows = pages.select(
         F.lower(F.regexp_extract("url", "//([^/?#]+)", 1)).alias("site"),
         C.page_type_first_match(F.col("url")).alias("page_type"),
-        X.content_hash(X.visible_text(F.col("html"))).alias("hash"),
-        F.size(X.anchor_hrefs(F.col("html"))).alias("n_links"),
+        X.content_hash(F.col("parts.text")).alias("hash"),
+        F.size("parts.links").alias("n_links"),
     )
     per_text = rows.groupBy("site", "hash").agg(
         F.count("*").alias("n"),

@@ -172,7 +172,7 @@ SELECT site, link FROM l ANTI JOIN s USING (site, link)
 WHERE link NOT IN (SELECT rtrim(regexp_extract(url, '^([^?#]*)', 1), '/') FROM pages)""")
 def unvisited_links(t):
     # HTML is parsed once; the links serve twice.
-    pages = t.pages.withColumn("site", U.netloc(F.col("url")))
+    pages = t.v_markup.withColumn("site", U.netloc(F.col("url")))
     links = cut_lineage(pages_op.links(pages, ("site",)).select("site", "link"))
     visited = t.pages.select(U.netloc(F.col("url")).alias("site"), U.crawl_form(F.col("url")).alias("link"))
     # Stand-in for the queue: links whose length is a multiple of three count as queued.

@@ -14,11 +14,15 @@ from sitebrief.plans.url_plans import crawl_form_sql, external_sql
 
 
 
-# The check decodes the references that the given pages hold, by its own list.
+# The check decodes the references that the given pages hold, by its own list. Where a tag ends depends on quotes behind
+# "=" in it; blocks without tags inside are marked first, then tags, by the leftmost match of one pattern each.
 _REFERENCES = [("&quot;", '"'), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]
-_HIDDEN_SQL = ("'(?is)<!--.*?-->|<script[^>]*>.*?</script[^>]*>|<style[^>]*>.*?</style[^>]*>"
-               "|<noscript[^>]*>.*?</noscript[^>]*>'")
-_HREF_SQL = "'(?is)<a\\s(?:[^>]*?\\s)?href\\s*=\\s*(\"[^\"]*\"|''[^'']*''|[^\\s>\"'']+)'"
+_REST = "(?:=\\s*\"[^\"]*\"|=\\s*''[^'']*''|[^>\"'']|[\"''])*?>"
+_HIDDEN_SQL = ("'(?is)<!--.*?-->|" + "|".join(f"<{n}(?:\\s{_REST}|>).*?</{n}\\s*>" for n in ("script", "style", "noscript")) + "'")
+_SHOWN_SQL = "'(?is)<textarea>([^<]*)<([^<]*)</textarea>'"
+_TAGS_SQL = f"'(?is)</?[a-z][^\\s/>]*(?:[\\s/]{_REST}|>)|<[!?][^>]*>'"
+_ATTR = "(?:\\s+[^\\s=>/]+(?:\\s*=\\s*(?:\"[^\"]*\"|''[^'']*''|[^\\s>\"'']+))?)*?"
+_HREF_SQL = f"'(?is)<a{_ATTR}\\s+href\\s*=\\s*(\"[^\"]*\"|''[^'']*''|[^\\s>\"'']+)'"
 
 
 def unescape_sql(x):
@@ -28,21 +32,27 @@ def unescape_sql(x):
 
 
 title_sql = O.strip(unescape_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))
-_nodes = f"string_split(regexp_replace(regexp_replace(html, {_HIDDEN_SQL}, chr(1), 'g'), '<[^>]*>', chr(1), 'g'), chr(1))"
-page_text_sql = (
-    f"array_to_string(list_filter(list_transform({_nodes}, lambda n: {O.strip(unescape_sql('n'))}), "
-    f"lambda n: n <> ''), ' ')"
-)
 
 
-@query("page_title", f"SELECT page_id, {title_sql} AS title FROM pages")
+def page_text_of(html):
+    shown = f"regexp_replace({html}, {_SHOWN_SQL}, chr(1) || '\\1&lt;\\2' || chr(1), 'g')"
+    shown = f"regexp_replace({shown}, {_HIDDEN_SQL}, chr(1), 'g')"
+    nodes = f"string_split(regexp_replace({shown}, {_TAGS_SQL}, chr(1), 'g'), chr(1))"
+    return (f"array_to_string(list_filter(list_transform({nodes}, lambda n: {O.strip(unescape_sql('n'))}), "
+            f"lambda n: n <> ''), ' ')")
+
+
+page_text_sql = page_text_of("html")
+
+
+@query("page_title", f"SELECT page_id, {title_sql} AS title FROM v_markup")
 def page_title(t):
-    return t.pages.select("page_id", X.title(F.col("html")).alias("title"))
+    return t.v_markup.select("page_id", X.title(F.col("html")).alias("title"))
 
 
-@query("page_text", f"SELECT page_id, {page_text_sql} AS text FROM pages")
+@query("page_text", f"SELECT page_id, {page_text_sql} AS text FROM v_markup")
 def page_text(t):
-    return t.pages.select("page_id", X.visible_text(F.col("html")).alias("text"))
+    return t.v_markup.select("page_id", X.visible_text(F.col("html")).alias("text"))
 
 
 _hrefs = (
@@ -50,7 +60,7 @@ _hrefs = (
 )
 
 
-ORACLE_LINKS = f"""h AS (SELECT page_id, url AS base, {_hrefs} AS hs FROM pages),
+ORACLE_LINKS = f"""h AS (SELECT page_id, url AS base, {_hrefs} AS hs FROM v_markup),
 u AS (SELECT page_id, base, CAST(i - 1 AS BIGINT) AS pos,
   {unescape_sql("regexp_replace(hs[i], '^[\"'']|[\"'']$', '', 'g')")} AS href
   FROM (SELECT page_id, base, hs, unnest(range(1, len(hs) + 1)) AS i FROM h)),
@@ -62,7 +72,7 @@ lnk AS (SELECT page_id, pos, {crawl_form_sql('f')} AS link FROM r WHERE {crawl_f
 
 @query("page_links", f"WITH {ORACLE_LINKS} SELECT page_id, pos, link FROM lnk")
 def page_links(t):
-    return pages_op.links(t.pages)
+    return pages_op.links(t.v_markup)
 
 
 @query("page_hrefs", f"""WITH h AS (SELECT page_id, url AS base,

@@ -57,6 +57,18 @@ SELECT page_id, url AS base,
   END AS href
 FROM pages"""
 
+# Pages with the marks that patterns over tags get wrong: signs in quotes, text like tags, odd ends.
+STANDINS["v_markup"] = """
+SELECT page_id, url, replace(html, '</body>', CASE page_id % 8
+    WHEN 0 THEN '<p title="a > b">q1</p><a data-x=' || chr(39) || '1>0' || chr(39) || ' HREF="/in?x=1>0">q2</a>'
+    WHEN 1 THEN '<script>if (a<b && c>d) { t = "<p>no</p>"; }</script >q3<STYLE type="x>y">p>b{}</STYLE>'
+    WHEN 2 THEN '<!-- <p>no</p> > --><p>1 < 2 and 3 > 2</p><a href=/plain>q4</a><a name="n">q5</a>'
+    WHEN 3 THEN '<noscript><a href="/no">no</a><p>no</p></noscript ><img alt="x>y" src=/i.png/><br/>q6'
+    WHEN 4 THEN '<div class="' || chr(39) || '>" id=' || chr(39) || '"' || chr(39) || '>q7</div><textarea>a <b> c</textarea>'
+    WHEN 5 THEN '<a title="href=/no" href = "/yes" href="/no">q8</a><?php x ?>q9'
+    ELSE '' END || '</body>') AS html
+FROM pages"""
+
 # Links to social platforms and elsewhere.
 STANDINS["v_social_urls"] = """
 SELECT c_custkey AS link_id, c_nationkey AS site_id,
