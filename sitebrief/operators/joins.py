@@ -61,38 +61,6 @@ def unvisited_links(links: DataFrame, visited: DataFrame, seen: DataFrame) -> Da
     return fresh.join(visited, ["site", "link"], "left_anti").join(seen, ["site", "link"], "left_anti")
 
 
-def version_pairs(analyses: DataFrame) -> DataFrame:
-    """Newest and second newest version per company, by two combining aggregates."""
-    top = analyses.groupBy("company_id").agg(F.max("version").alias("current"))
-    older = analyses.join(top, "company_id").filter(F.col("version") < F.col("current"))
-    return older.groupBy("company_id").agg(F.max("version").alias("previous"), F.first("current").alias("current"))
-
-
-def version_diff_map(pairs: DataFrame, items: DataFrame) -> DataFrame:
-    """Keys added, removed or modified between two versions (items: version, key, value).
-
-    The outer join of the two maps is one aggregate: both sides fall on the same key.
-    """
-    roles = pairs.select("company_id", F.explode(F.array(
-        F.struct(F.col("previous").alias("version"), F.lit(0).alias("side")),
-        F.struct(F.col("current").alias("version"), F.lit(1).alias("side")))).alias("r")).select("company_id", "r.*")
-    both = items.join(roles, "version").groupBy("company_id", "key").agg(
-        F.max(F.when(F.col("side") == 0, F.col("value"))).alias("previous_value"),
-        F.max(F.when(F.col("side") == 1, F.col("value"))).alias("current_value"))
-    kind = (
-        F.when(F.col("previous_value").isNull(), "added").when(F.col("current_value").isNull(), "removed")
-        .otherwise("modified")
-    )
-    changed = ~F.col("previous_value").eqNullSafe(F.col("current_value"))
-    return both.filter(changed).withColumn("change_type", kind)
-
-
-def version_diff_list(pairs: DataFrame, items: DataFrame) -> DataFrame:
-    """Items added or removed between two versions; a new order alone is no change."""
-    flat = items.select("version", F.col("item").alias("key"), F.lit(True).alias("value"))
-    return version_diff_map(pairs, flat).select("company_id", F.col("key").alias("item"), "change_type")
-
-
 def progress_merge(stored: DataFrame, live: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Live values win field by field; stored ones fill the gaps."""
     l = live.select(key, *[F.col(f).alias(f"_{f}") for f in fields])

@@ -6,6 +6,7 @@ from sitebrief.functions import urls as U
 from sitebrief.operators import joins as J
 from sitebrief.operators import listing as L
 from sitebrief.operators import pages as pages_op
+from sitebrief.operators.versions import section_changes, version_pairs
 from sitebrief.plans import oracle_sql as O
 from sitebrief.plans.page_plans import ORACLE_LINKS
 from sitebrief.plans.registry import query
@@ -187,32 +188,44 @@ _pairs = """pr AS (SELECT company_id, max(version) AS cur, max(version) FILTER (
   GROUP BY company_id HAVING count(*) >= 2)"""
 
 
-@query("version_diff_map", f"""WITH {_pairs},
-it AS (SELECT l_orderkey AS version, 'field' || l_linenumber AS key, max(CAST(l_quantity AS BIGINT)) AS value
-  FROM lineitem GROUP BY 1, 2),
-a AS (SELECT company_id, key, value FROM pr JOIN it ON version = prev),
-b AS (SELECT company_id, key, value FROM pr JOIN it ON version = cur)
-SELECT coalesce(a.company_id, b.company_id) AS company_id, coalesce(a.key, b.key) AS key, a.value AS previous_value,
-  b.value AS current_value, CASE WHEN a.value IS NULL THEN 'added' WHEN b.value IS NULL THEN 'removed' ELSE 'modified'
-  END AS change_type FROM a FULL OUTER JOIN b ON a.company_id = b.company_id AND a.key = b.key
-WHERE a.value IS DISTINCT FROM b.value""")
+_changes = f"""{_pairs},
+vs AS (SELECT v.company_id, CASE WHEN version = cur THEN 1 ELSE 0 END AS side, full_analysis AS doc, executive_summary AS summary
+  FROM v_versions v JOIN pr ON pr.company_id = v.company_id AND (version = cur OR version = prev)),
+sc AS (SELECT company_id, side, e.key AS section, e.value::VARCHAR AS v, e.type AS k FROM vs, json_each(vs.doc) e
+  WHERE doc IS NOT NULL AND e.type <> 'NULL'),
+sp AS (SELECT company_id, section, max(v) FILTER (side = 0) AS p, max(v) FILTER (side = 1) AS c,
+  max(CASE WHEN k IN ('OBJECT', 'ARRAY') THEN lower(k) ELSE 'value' END) FILTER (side = 0) AS pk,
+  max(CASE WHEN k IN ('OBJECT', 'ARRAY') THEN lower(k) ELSE 'value' END) FILTER (side = 1) AS ck FROM sc GROUP BY 1, 2),
+sk AS (SELECT *, CASE WHEN pk IS NULL THEN ck WHEN ck IS NULL OR pk = ck THEN pk ELSE 'value' END AS kind FROM sp),
+pi AS (SELECT company_id, section, kind, 0 AS side, e.key AS key, e.value::VARCHAR AS v FROM sk, json_each(sk.p) e WHERE kind <> 'value' AND p IS NOT NULL
+  UNION ALL SELECT company_id, section, kind, 1, e.key, e.value::VARCHAR FROM sk, json_each(sk.c) e WHERE kind <> 'value' AND c IS NOT NULL),
+pf AS (SELECT company_id, section, kind, CASE WHEN kind = 'object' THEN key ELSE v END AS field, side,
+  CASE WHEN kind = 'object' AND v = 'null' THEN NULL ELSE v END AS v FROM pi),
+ps AS (SELECT company_id, section, kind, field, max(v) FILTER (side = 0) AS p, max(v) FILTER (side = 1) AS c FROM pf GROUP BY 1, 2, 3, 4),
+es AS (SELECT company_id, max(summary) FILTER (side = 0) AS p, max(summary) FILTER (side = 1) AS c FROM vs GROUP BY 1),
+ch AS (SELECT company_id, section, kind, field, p AS previous_value, c AS current_value, CASE WHEN p IS NULL THEN 'added' WHEN c IS NULL
+    THEN 'removed' ELSE 'modified' END AS change_type FROM ps WHERE p IS DISTINCT FROM c
+  UNION ALL SELECT company_id, section, kind, section, p, c, CASE WHEN coalesce(p, '[]') = '[]' THEN 'added' WHEN coalesce(c, '[]') = '[]' THEN
+    'removed' ELSE 'modified' END FROM sk WHERE kind = 'value' AND p IS DISTINCT FROM c
+  UNION ALL SELECT company_id, 'executiveSummary', 'summary', 'executiveSummary', nullif(substr(p, 1, 100), ''), nullif(substr(c, 1, 100), ''),
+    CASE WHEN coalesce(c, '') = '' THEN 'removed' WHEN coalesce(p, '') = '' THEN 'added' ELSE 'modified' END FROM es WHERE p IS DISTINCT FROM c)"""
+
+
+def _section_changes(t):
+    versions = t.v_versions
+    return section_changes(version_pairs(versions), versions)
+
+
+@query("version_diff_map", f"WITH {_changes} SELECT * FROM ch WHERE kind <> 'array'")
 def version_diff_map(t):
-    items = t.lineitem.groupBy(
-        F.col("l_orderkey").alias("version"), F.concat(F.lit("field"), "l_linenumber").alias("key")).agg(
-        F.max(F.col("l_quantity").cast("bigint")).alias("value"))
-    return J.version_diff_map(J.version_pairs(t.v_analyses), items)
-
-
-@query("version_diff_list", f"""WITH {_pairs},
-it AS (SELECT DISTINCT l_orderkey AS version, 'item' || l_partkey % 20 AS item FROM lineitem),
-a AS (SELECT company_id, item FROM pr JOIN it ON version = prev), b AS (SELECT company_id, item FROM pr JOIN it ON
-  version = cur)
-SELECT company_id, item, 'added' AS change_type FROM (SELECT * FROM b EXCEPT SELECT * FROM a)
-UNION ALL SELECT company_id, item, 'removed' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""")
+    """Changed keys, values and summaries between each company's two newest versions."""
+    return _section_changes(t).filter("kind <> 'array'")
+
+
+@query("version_diff_list", f"WITH {_changes} SELECT company_id, section, field AS item, change_type FROM ch WHERE kind = 'array'")
 def version_diff_list(t):
-    items = t.lineitem.select(F.col("l_orderkey").alias("version"),
-                              F.concat(F.lit("item"), F.col("l_partkey") % 20).alias("item"))
-    return J.version_diff_list(J.version_pairs(t.v_analyses), items)
+    """Items of listed sections that were added or removed."""
+    return _section_changes(t).filter("kind = 'array'").select("company_id", "section", F.col("field").alias("item"), "change_type")
 
 
 _last_session = """ls AS (SELECT company_id, session_id, pages_crawled, pages_queued, checkpoint FROM (SELECT *,

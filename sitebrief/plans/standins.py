@@ -201,6 +201,17 @@ SELECT o_orderkey AS analysis_id, 'c' || o_custkey AS company_id, o_orderkey AS
     ELSE NULL END AS full_analysis
 FROM orders"""
 
+# The same versions, most of them with a team (an object) and products (an array) among their sections.
+STANDINS["v_versions"] = """
+SELECT analysis_id, company_id, version, executive_summary, CASE WHEN version % 3 = 0 THEN full_analysis ELSE '{"team":' ||
+    CASE version % 7 WHEN 0 THEN 'null' WHEN 1 THEN '{}' ELSE '{"ceo":"P' || (version % 3) || '","cto":' || CASE version % 4 WHEN 0
+      THEN 'null' WHEN 1 THEN '{"name":"Q","since":2001}' ELSE '"R"' END || ',"size":' || (version % 5) || '}' END ||
+    ',"products":' || CASE version % 5 WHEN 0 THEN '[]' WHEN 1 THEN '["A","B","A"]' ELSE '["B","C' || (version % 3) || '",' ||
+      (version % 2) || ',{"name":"D"}]' END ||
+    CASE version % 4 WHEN 0 THEN '' WHEN 1 THEN ',"market":"wide"' WHEN 2 THEN ',"market":["wide"]' ELSE ',"market":7' END || '}' END
+  AS full_analysis
+FROM v_analyses"""
+
 # Spans a model found, with the text around them.
 STANDINS["v_spans"] = """
 SELECT c_custkey AS span_id, 'c' || c_nationkey AS company_id,
