@@ -107,32 +107,27 @@ def upload_row_check(t):
     return K.upload_row_check(t.v_uploads, t.v_companies).select("row_no", "company_name", "accepted", "error")
 
 
-def _fair_sql(gmax, only=""):
-    return f"""WITH bz AS (SELECT batch_id, count(*) AS n FROM v_companies WHERE status = 'in_progress' GROUP BY 1),
+WORKERS = 50  # companies that may be in progress at a time; a number of workers, not of rows
+
+
+def _fair_sql(only=""):
+    return f"""WITH bz AS (SELECT batch_id, count(*) AS n FROM v_queue WHERE status = 'in_progress' GROUP BY 1),
 sl AS (SELECT b.batch_id, priority, b.created_at AS bc, max_concurrent - coalesce(n, 0) AS slots FROM v_batches b LEFT JOIN
   bz USING (batch_id) WHERE b.status = 'processing' {only}),
 w AS (SELECT c.company_id, sl.*, row_number() OVER (PARTITION BY c.batch_id ORDER BY c.created_at, c.company_id) AS rn FROM
-  v_companies c JOIN sl USING (batch_id) WHERE c.status = 'pending'),
+  v_queue c JOIN sl USING (batch_id) WHERE c.status = 'pending'),
 r AS (SELECT *, row_number() OVER (ORDER BY rn, priority, bc, batch_id) AS pick FROM w WHERE rn <= slots)
-SELECT company_id, batch_id, pick FROM r WHERE pick <= (SELECT {gmax} FROM customer) - (SELECT count(*) FROM v_companies WHERE status = 'in_progress')"""
-
-
-_LIMIT = "CAST(floor(count(*) / 5) + 20 AS BIGINT)"
-
-
-def _limit(t):
-    """The global limit, one row of the input: a few more than the companies in progress."""
-    return t.sql(f"SELECT {_LIMIT} AS n FROM customer").first()["n"]
+SELECT company_id, batch_id, pick FROM r WHERE pick <= {WORKERS} - (SELECT count(*) FROM v_queue WHERE status = 'in_progress')"""
 
 
-@query("fair_share_topk", _fair_sql(_LIMIT))
+@query("fair_share_topk", _fair_sql())
 def fair_share_topk(t):
-    return K.fair_share(t.v_companies, t.v_batches, _limit(t)).select("company_id", "batch_id", "pick")
+    return K.fair_share(t.v_queue, t.v_batches, WORKERS).select("company_id", "batch_id", "pick")
 
 
-@query("batch_slots_topk", _fair_sql(_LIMIT, "AND b.batch_id = 'b1'"))
+@query("batch_slots_topk", _fair_sql("AND b.batch_id = 'b1'"))
 def batch_slots_topk(t):
-    return K.fair_share(t.v_companies, t.v_batches, _limit(t), "b1").select("company_id", "batch_id", "pick")
+    return K.fair_share(t.v_queue, t.v_batches, WORKERS, "b1").select("company_id", "batch_id", "pick")
 
 
 @query("phase_transitions", """WITH l AS (SELECT job_id, event_id, phase, lag(phase) OVER (PARTITION BY job_id ORDER BY ts,

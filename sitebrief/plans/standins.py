@@ -156,6 +156,11 @@ SELECT 'b' || n_nationkey AS batch_id, n_name AS batch_name,
   CASE WHEN n_nationkey % 6 IN (2, 3) THEN TS_SEC((1704067200 + n_nationkey * 86400)) ELSE NULL END AS completed_at
 FROM nation"""
 
+# The companies as a scheduler meets them: few are in progress, however many wait.
+STANDINS["v_queue"] = """
+SELECT company_id, batch_id, created_at, CASE WHEN status = 'in_progress' AND seq > 40 THEN 'completed' ELSE status END AS status
+FROM v_companies"""
+
 # Model calls. A third of them belong to one company.
 STANDINS["v_usages"] = """
 SELECT conv_id * 1000 + turn AS usage_id, CASE WHEN conv_id % 3 = 0 THEN 'c0' ELSE 'c' || conv_id END AS company_id,

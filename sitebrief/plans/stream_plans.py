@@ -24,18 +24,27 @@ def _events(t):
     return t.spark.sql(STANDINS["v_events"].replace("FROM events", f"FROM {name}"))
 
 
-_month = "31 days"
+def _sites(t):
+    return _events(t).withColumnRenamed("job_id", "site").select("site", "event_id", "ts", "url", "hash")
 
 
 @query("stream_page_dedup", "SELECT DISTINCT 'url' AS kind, job_id AS site, url AS value FROM v_events UNION ALL "
        "SELECT DISTINCT 'hash', job_id, hash FROM v_events")
 def stream_page_dedup(t):
-    # The log spans 30 days, so within that watermark each key comes out exactly once.
-    urls = V.first_seen(_events(t).withColumnRenamed("job_id", "site"), ["site", "url"], _month)
-    hashes = V.first_seen(_events(t).withColumnRenamed("job_id", "site"), ["site", "hash"], _month)
-    a = V.run_to_files(urls.select(F.lit("url").alias("kind"), "site", F.col("url").alias("value")), _path(t, "urls"))
-    b = V.run_to_files(hashes.select(F.lit("hash").alias("kind"), "site", F.col("hash").alias("value")), _path(t, "hash"))
-    return a.unionByName(b)
+    """Each URL and each text hash of a site once, over any span of time."""
+    order = ["ts", "event_id"]
+    urls = V.first_ever(_sites(t), _path(t, "urls"), [["site", "url"]], order)
+    hashes = V.first_ever(_sites(t), _path(t, "hashes"), [["site", "hash"]], order)
+    return urls.select(F.lit("url").alias("kind"), "site", F.col("url").alias("value")).unionByName(
+        hashes.select(F.lit("hash").alias("kind"), "site", F.col("hash").alias("value")))
+
+
+@query("stream_new_pages", """WITH u AS (SELECT * FROM v_events QUALIFY row_number() OVER (PARTITION BY job_id, url ORDER BY ts, event_id) = 1)
+SELECT job_id AS site, event_id, url, hash FROM u QUALIFY row_number() OVER (PARTITION BY job_id, hash ORDER BY ts, event_id) = 1""")
+def stream_new_pages(t):
+    """Pages whose URL and text are both new on their site."""
+    out = V.first_ever(_sites(t), _path(t, "new-pages"), [["site", "url"], ["site", "hash"]], ["ts", "event_id"])
+    return out.select("site", "event_id", "url", "hash")
 
 
 _progress_sql = """SELECT job_id, count(*) AS crawled, count(*) FILTER (WHERE error IS NOT NULL OR status_code NOT BETWEEN 200 AND
@@ -48,13 +57,6 @@ def _live(t):
     return df.withColumn("last_us", F.unix_micros("last_activity")).drop("last_activity")
 
 
-@query("stream_new_pages")
-def stream_new_pages(t):
-    """Pages whose URL and text are both new within the ten minutes that late rows may still come."""
-    out = V.page_dedup(_events(t).withColumnRenamed("job_id", "site"))
-    return V.run_to_files(out.select("site", "event_id", "url", "hash"), _path(t, "new-pages"))
-
-
 @query("stream_progress", _progress_sql)
 def stream_progress(t):
     return _live(t)
@@ -78,7 +80,17 @@ def stream_stale_jobs(t):
     return V.run_to_files(V.silent_jobs(_events(t), 3600), _path(t, "stale"))
 
 
-@query("stream_job_timeouts")
+@query("stream_job_timeouts", """WITH e AS (SELECT job_id, event_id, ts, epoch_us(ts) AS us, control, min(epoch_us(ts)) OVER (PARTITION BY job_id) AS first
+  FROM v_events),
+c AS (SELECT *, coalesce(lag(control) OVER w, 'resume') AS before FROM e WHERE control IS NOT NULL WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id)),
+k AS (SELECT *, lead(us) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS until FROM c WHERE control <> before),
+z AS (SELECT job_id, event_id, sum(until - us) FILTER (control = 'pause') OVER w AS paused, control, us AS since FROM k
+  WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id)),
+j AS (SELECT e.job_id, e.us, e.first, z.control, z.since, coalesce(z.paused, 0) - CASE WHEN z.control = 'pause' THEN coalesce(k.until - k.us, 0) ELSE 0 END AS paused
+  FROM e ASOF LEFT JOIN (SELECT z.*, e2.ts FROM z JOIN e e2 ON e2.job_id = z.job_id AND e2.event_id = z.event_id) z ON e.job_id = z.job_id AND e.ts >= z.ts
+  LEFT JOIN k ON k.job_id = z.job_id AND k.event_id = z.event_id),
+o AS (SELECT job_id, us FROM j WHERE us - first - paused - CASE WHEN control = 'pause' THEN us - since ELSE 0 END > 864000 * 1000000::BIGINT)
+SELECT job_id, min(us) AS us, 'timeout' AS kind FROM o GROUP BY job_id""")
 def stream_job_timeouts(t):
     out = V.run_to_files(V.silent_jobs(_events(t), 10**7, limit=10 * 86400), _path(t, "timeouts"))
     return out.filter("kind = 'timeout'")

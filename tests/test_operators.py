@@ -116,6 +116,29 @@ def test_stream_checkpoints_and_silence_over_several_files(spark, log, tmp_path)
     assert {r["job_id"]: r["us"] for r in over} == {j: first_timeout(j) for j in range(5) if first_timeout(j)}
 
 
+def test_first_ever_over_restarts_and_late_rows(spark, tmp_path):
+    rnd, schema = random.Random(12), "site string, url string, hash string, ts long, event_id long"
+    urls, hashes, want, e = set(), set(), set(), 0
+    for number in range(4):
+        rows = []
+        for _ in range(40):  # times of all batches overlap: most rows are late
+            rows.append((rnd.choice("ab"), rnd.choice(["u1", "u2", "u3", None, f"v{rnd.randrange(60)}"]), f"h{rnd.randrange(25)}", rnd.randrange(100), e))
+            e += 1
+        spark.createDataFrame(rows, schema).repartition(3).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        got = V.first_ever(stream, str(tmp_path / "run"), [["site", "url"], ["site", "hash"]], ["ts", "event_id"])
+        fresh = []
+        for r in sorted(rows, key=lambda r: (r[3], r[4])):
+            if (r[0], r[1]) not in urls:
+                urls.add((r[0], r[1]))
+                fresh.append(r)
+        for r in fresh:
+            if (r[0], r[2]) not in hashes:
+                hashes.add((r[0], r[2]))
+                want.add(r)
+        assert {tuple(r) for r in got.collect()} == want
+
+
 def greedy(items, match):
     """The sequential rule: longest first, join the first cluster whose leader matches."""
     clusters = []
