@@ -73,7 +73,7 @@ def line_fails(line: Column) -> Column:
         symbols = F.length(x) - F.length(F.translate(x, SYMBOLS, ""))
         return (boilerplate | ((marks >= 2) & (marks * 4 >= words)) | (symbols * 10 >= F.length(x))
                 | (short & ~F.rlike(x, F.lit(SENTENCE_END))))
-    return let(F.trim(line), rules)
+    return let(F.btrim(line, F.lit(BLANKS)), rules)
 
 
 def clean_lines(lines: Column) -> Column:

@@ -68,26 +68,21 @@ _BAD_LINE = """(
 OP5 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, unnest(l) AS word, generate_subscripts(l, 1) AS p, len(l) AS n
-  FROM (SELECT r, regexp_extract_all(text, '[^ 	-
-]+') AS l FROM d)),
+  FROM (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS l FROM d)),
 g AS (SELECT r, p, list_value(word, lead(word) OVER o, lead(word, 2) OVER o) AS g, n FROM w WINDOW o AS (PARTITION BY r ORDER BY p)),
 c AS (SELECT r, p, count(*) OVER (PARTITION BY r, g) AS k FROM g WHERE p <= n - 2),
 rep AS (SELECT r, count(DISTINCT q) AS n_repeat_words FROM (SELECT r, unnest([p, p + 1, p + 2]) AS q FROM c WHERE k > 1) GROUP BY r),
 raw AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
-lines AS (SELECT r, line, trim(line, ' ') AS x FROM raw WHERE regexp_matches(line, '[^ 	-
-]')),
+lines AS (SELECT r, line, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS x FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 f AS (SELECT *, lower(x) AS low, length(x) AS n,
     length(x) - length(translate(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS gaps,
     length(x) - length(translate(x, '|»›·•>', '')) AS marks,
     length(x) - length(translate(x, '#*$%&|<>', '')) AS symbols FROM lines),
 s AS (SELECT r, count(*) - count(DISTINCT line) AS dup,
-    coalesce(sum(length(regexp_replace(line, '[ 	-
-]+', '', 'g'))) FILTER (NOT """ + _BAD_LINE + r"""), 0) AS left_chars
+    coalesce(sum(length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))) FILTER (NOT """ + _BAD_LINE + r"""), 0) AS left_chars
   FROM f GROUP BY r),
-m AS (SELECT d.doc_id, len(regexp_extract_all(text, '[^ 	-
-]+')) AS n_words,
-    length(regexp_replace(text, '[ 	-
-]+', '', 'g')) AS word_chars,
+m AS (SELECT d.doc_id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n_words,
+    length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
     length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines,
     coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(left_chars, 0)::BIGINT AS left_chars
   FROM d LEFT JOIN rep USING (r) LEFT JOIN s USING (r)),
