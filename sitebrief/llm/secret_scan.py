@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sitebrief.llm.common import map_texts
 
@@ -112,16 +113,18 @@ class GuessCost:
                     if rank:
                         capital = 0.0 if value[start:end].islower() else 1.0 if value[start + 1:end].islower() else 2.0
                         cost = min(cost, best[start] + math.log2(rank) + 1 + capital + extra)
+            # A run begins at its start, or behind a word that ends in it; words are short.
             for kind, bits in (("same", char), ("step", char + 1), ("walk", char + 2)):
-                size = runs[kind][end - 1]
-                if size >= 3:  # what is cheapest begins at the run's start or needs no more than the run itself
-                    cost = min(cost, best[end - size] + bits + math.log2(size))
+                first = end - runs[kind][end - 1]
+                for start in range(first, min(first + self.longest, end - 3) + 1):
+                    cost = min(cost, best[start] + bits + math.log2(end - start))
             for start, bits in dates.get(end, ()):
                 cost = min(cost, best[start] + bits)
             for size in range(2, min(16, end - 1) + 1):  # a block that comes again and again
                 period[size] = period[size] + 1 if low[end - 1] == low[end - 1 - size] else 0
-                if period[size] >= size:
-                    cost = min(cost, best[end - period[size]] + 1 + math.log2(1 + period[size] / size))
+                first = end - period[size]
+                for start in range(first, min(first + self.longest, end - size) + 1):
+                    cost = min(cost, best[start] + 1 + math.log2(1 + (end - start) / size))
             best[end] = cost
         return best[n]
 
@@ -134,6 +137,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+# Links, paths, references to variables and places to fill in: what stands beside a credential's name in manuals.
+_REFERENCE = re.compile(
+    r"""(?i:[a-z][a-z0-9+.-]*://)|[.~]{0,2}/(?:[\w.-]+/)*[\w.-]*$|(?:[A-Za-z]+(?:[-.'][A-Za-z]+)*/)+[A-Za-z]+(?:[-.'][A-Za-z]+)*$"""
+    r"""|[$%]?[{(]|\$[A-Za-z_]|%[A-Za-z_]+%|<[^<>]*>?|(?:process|os)\.env|(?:\w+\.)*getenv|(?i:your|my|the|some|insert|enter|example)[-_ ]""")
+
+
+def is_reference(value: str) -> bool:
+    """Whether a value only names where a secret is or what to write. A link with a password in it is none."""
+    return _REFERENCE.match(value) is not None and not re.match(r"[^/]*://[^/@:]*:[^/@]+@", value)
+
+
 def _goes_round(text: str, begin: int, start: int, end: int) -> bool:
     """Whether ``start`` lies deep inside a block that comes again and again. The value one block before was no secret,
     and this one costs no more; without this, names that repeat would be costed as often as they come."""
@@ -164,23 +178,34 @@ def guess_spans(text: str, cost: GuessCost, least_bits: float, base: list[tuple[
         value = text[start:end]
         if not (re.search(r"[:=]", m[0]) or re.search(r"[^A-Za-z.,'-]", value)):
             continue
-        bits = cost(value)
+        bits = 0.0 if is_reference(value) else cost(value)
         if bits >= least_bits:
             found.append((start, 3, end, bits))
             at = end
     return found
 
 
+def ranked_words(documents: DataFrame, most: int = 20_000, least_count: int = 20) -> tuple[str, ...]:
+    """The fixed words, then the table's own by their counts over all documents: plain words of 3 to 20 letters that
+    stand ``least_count`` times or more, ``most`` at most (about 200 KB, whatever the table's size)."""
+    words = F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+")).alias("w")
+    plain = F.regexp_extract("w", r"""^[("']*([a-z]{3,20})[.,;:!?)"']*$""", 1).alias("w")
+    counts = documents.select(words).select(plain).filter("w <> ''").groupBy("w").agg(F.count("*").alias("n"))
+    top = counts.filter(F.col("n") >= least_count).orderBy(F.desc("n"), "w").limit(most).collect()
+    return (*WORDS, *(r["w"] for r in top))
+
+
 def listed(spans: Iterable[tuple]) -> str:
     return ",".join(f"{KINDS[s[1]]}:{s[0]}:{s[2]}" for s in sorted(spans))
 
 
-def scan_secrets(documents: DataFrame, least_bits: float = 40.0, words: Iterable[str] = WORDS) -> DataFrame:
+def scan_secrets(documents: DataFrame, least_bits: float = 40.0, words: Iterable[str] | None = None) -> DataFrame:
     """One row per row of ``documents``: counts, digest and spans (code points) of the secrets in its whole text.
 
-    A null or empty text has none. Repeated rows give equal rows; other columns are ignored; no rows, no result.
+    Words are ranked by ``ranked_words`` unless given. A null or empty text has none. Repeated rows give equal rows; other
+    columns are ignored; no rows, no result.
     """
-    words = tuple(words)
+    words = ranked_words(documents) if words is None else tuple(words)
 
     def make():
         cost = GuessCost(words)
@@ -197,11 +222,14 @@ def scan_secrets(documents: DataFrame, least_bits: float = 40.0, words: Iterable
                                       "spans string, n_guess long, max_guess_bits double")
 
 
-def redact(documents: DataFrame, least_bits: float = 40.0, words: Iterable[str] = WORDS, mark: str = "[secret]") -> DataFrame:
-    """The documents with every secret replaced; the columns stay, and so does a null text. ``n_chars`` follows."""
+def redact(documents: DataFrame, least_bits: float = 40.0, words: Iterable[str] | None = None, mark: str = "[secret]") -> DataFrame:
+    """The documents with every secret replaced; the columns stay, and so does a null text. ``n_chars`` follows.
+
+    Repeated rows are replaced alike; an empty table stays empty. Words are ranked by ``ranked_words`` unless given.
+    """
     import pyarrow as pa
 
-    words, schema = tuple(words), documents.schema
+    words, schema = ranked_words(documents) if words is None else tuple(words), documents.schema
 
     def run(batches):
         cost = GuessCost(words)
