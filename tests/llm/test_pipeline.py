@@ -37,5 +37,5 @@ def test_stages(spark, sf_dir, tmp_path):
 def test_registered(spark, sf_dir):
     names = entry.queries()
     assert "pipeline" in names and sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")
-                                          and n[2:3].isdigit()) == list(range(1, 11))
+                                          and n[2:3].isdigit()) == list(range(1, 14))
     assert names["pipeline"](spark, sf_dir).columns == ["doc_id", "n_tokens", "ids"]
