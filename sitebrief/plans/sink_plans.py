@@ -74,18 +74,26 @@ _doc_schema = (
     "company struct<id:string,name:string,websiteUrl:string,industry:string>, analysis struct<versionNumber:bigint,"
     "createdAt:string,executiveSummary:string,sections:map<string,struct<content:string,sources:array<string>,"
     "confidence:double>>>, tokenUsage struct<total:bigint,input:bigint,output:bigint,estimatedCost:double>, "
-    "metadata struct<analysisMode:string>"
+    "metadata struct<analysisMode:string>, entities array<struct<type:string,value:string,confidence:double,sourceUrl:string,"
+    "extraData:struct<role:string,relationship:string>>>, pages array<struct<url:string,pageType:string,crawledAt:string,isExternal:boolean>>"
 )
 
 
-@query("brief_json_sink", f"""WITH {_core_sql}, {sections_sql}, ov AS (SELECT * FROM sections WHERE section = 'companyOverview')
+@query("brief_json_sink", f"""WITH {_core_sql}, {sections_sql}, ov AS (SELECT * FROM sections WHERE section = 'companyOverview'),
+ne AS (SELECT company_id, count(*) AS n, md5(string_agg(entity_type || entity_value || coalesce(role, '') || source_url, ',' ORDER BY entity_id)) AS h
+  FROM v_entities GROUP BY 1),
+pz AS (SELECT company_id, count(*) AS n, md5(string_agg(url || page_type || is_external, ',' ORDER BY page_id)) AS h FROM v_pages GROUP BY 1)
 SELECT core.company_id, company_name, industry, coalesce(version, 0) AS version, strftime(analysed_at, '%Y-%m-%dT%H:%M:%S') AS
   created_at, executive_summary, coalesce(ov.content, '') AS overview, coalesce(ov.sources, '') AS overview_sources,
-  7::BIGINT AS n_sections, i + o AS total_tokens, rcost AS cost, mode FROM core LEFT JOIN ov USING (analysis_id)""")
+  7::BIGINT AS n_sections, i + o AS total_tokens, rcost AS cost, mode, coalesce(ne.n, 0) AS n_entities,
+  coalesce(ne.h, md5('')) AS entities_md5, coalesce(pz.n, 0) AS n_pages, coalesce(pz.h, md5('')) AS pages_md5
+FROM core LEFT JOIN ov USING (analysis_id) LEFT JOIN ne ON ne.company_id = core.company_id LEFT JOIN pz ON pz.company_id = core.company_id""")
 def brief_json_sink(t):
     path = _out(t, "briefs")
-    B.write_json_export(B.brief_json(_core(t), F.lit("2024-03-01 12:00:00").cast("timestamp")), path)
-    df = t.spark.read.schema(_doc_schema).json(f"{path}/briefs")
+    docs = cut_lineage(B.brief_json(_core(t), F.lit("2024-03-01 12:00:00").cast("timestamp")))
+    B.write_json_export(docs, path, t.v_entities, t.v_pages)
+    df = t.spark.read.schema(_doc_schema).json(f"{path}/briefs").filter("company.id IS NOT NULL")
+    digest = lambda c, f: F.md5(F.array_join(F.transform(c, f), ","))
     ov = F.col("analysis.sections")["companyOverview"]
     return df.select(
         F.col("company.id").alias("company_id"), F.col("company.name").alias("company_name"), "company.industry",
@@ -93,7 +101,11 @@ def brief_json_sink(t):
         F.col("analysis.executiveSummary").alias("executive_summary"), ov["content"].alias("overview"),
         F.array_join(ov["sources"], " ").alias("overview_sources"),
         F.size("analysis.sections").cast("bigint").alias("n_sections"), F.col("tokenUsage.total").alias("total_tokens"),
-        F.col("tokenUsage.estimatedCost").alias("cost"), F.col("metadata.analysisMode").alias("mode"))
+        F.col("tokenUsage.estimatedCost").alias("cost"), F.col("metadata.analysisMode").alias("mode"),
+        F.size("entities").cast("bigint").alias("n_entities"), digest("entities", lambda e: F.concat(
+            e["type"], e["value"], F.coalesce(e["extraData"]["role"], F.lit("")), e["sourceUrl"])).alias("entities_md5"),
+        F.size("pages").cast("bigint").alias("n_pages"), digest("pages", lambda p: F.concat(
+            p["url"], p["pageType"], p["isExternal"].cast("string"))).alias("pages_md5"))
 
 
 def _sec(key, default):
