@@ -174,7 +174,7 @@ def version_tokens(t):
 _label = ("entity_value || coalesce(' (' || role || ')', '') || coalesce(' - ' || relationship, '')")
 
 
-@query("context_assembly", f"""WITH st AS (SELECT page_id, company_id, url, text, lower({O.path('url')}) AS p FROM v_site_texts),
+context_sql = f"""WITH st AS (SELECT page_id, company_id, url, text, lower({O.path('url')}) AS p FROM v_site_texts),
 pg AS (SELECT page_id, company_id, {first_type_sql} AS page_type, '[' || url || ']' || chr(10) || substr(text, 1, 5000) ||
   chr(10) AS piece FROM st),
 ty AS (SELECT company_id, page_type, min(page_id) AS f, string_agg(piece, chr(10) ORDER BY page_id) AS j FROM pg GROUP BY 1, 2),
@@ -186,11 +186,14 @@ et AS (SELECT company_id, entity_type, min(entity_id) AS f, substr(string_agg(la
   substr(string_agg('- ' || label, chr(10) ORDER BY entity_id), 1, 5000) AS l FROM el GROUP BY 1, 2),
 en AS (SELECT company_id, substr(string_agg(entity_type || ': ' || j, chr(10) ORDER BY f), 1, 10000) AS e,
   coalesce(max(l) FILTER (WHERE entity_type = 'person'), '') AS pe, coalesce(max(l) FILTER (WHERE entity_type = 'org'), '')
-  AS oe, coalesce(max(l) FILTER (WHERE entity_type = 'tech_stack'), '') AS te FROM et GROUP BY 1)
-SELECT coalesce(co.company_id, en.company_id) AS company_id, coalesce(content, '') AS content, coalesce(tc, '') AS
+  AS oe, coalesce(max(l) FILTER (WHERE entity_type = 'tech_stack'), '') AS te FROM et GROUP BY 1),
+ctx AS (SELECT coalesce(co.company_id, en.company_id) AS company_id, coalesce(content, '') AS content, coalesce(tc, '') AS
   team_content, coalesce(cc, '') AS careers_content, coalesce(e, '') AS entities, coalesce(pe, '') AS people_entities,
   coalesce(oe, '') AS org_entities, coalesce(te, '') AS tech_entities FROM co FULL OUTER JOIN en
-  ON co.company_id = en.company_id""")
+  ON co.company_id = en.company_id)"""
+
+
+@query("context_assembly", f"{context_sql} SELECT * FROM ctx")
 def context_assembly(t):
     return A.context_assembly(*_context(t), page_chars=5_000, content_chars=50_000, part_chars=10_000, list_chars=5_000)
 

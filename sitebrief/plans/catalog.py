@@ -11,6 +11,7 @@ from sitebrief.plans import (  # noqa: F401
     scalar_plans,
     set_plans,
     sink_plans,
+    site_plans,
     stream_plans,
     url_plans,
 )
