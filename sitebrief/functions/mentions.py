@@ -83,10 +83,37 @@ def rule_model(texts: list[str]) -> list[Spans]:
     return out
 
 
-def mention_spans(df: DataFrame, model: Callable[[list[str]], list[Spans]] = rule_model, text: str = "text") -> DataFrame:
-    """Run a model over the texts in Arrow batches; one row per span, other columns kept.
+_LOADED: dict[str, Callable[[list[str]], list[Spans]]] = {}
 
-    A span carries its value and its context, not its text, so that a text with many spans stays small.
+
+def loaded(name: str, load: Callable[[], Callable[[list[str]], list[Spans]]]) -> Callable[[list[str]], list[Spans]]:
+    """A model that each worker loads once, at its first text, and keeps for all later tasks and batches."""
+    def call(texts: list[str]) -> list[Spans]:
+        if name not in _LOADED:
+            _LOADED[name] = load()
+        return _LOADED[name](texts)
+    return call
+
+
+def _calls(texts: list[str], most: int) -> Iterator[list[str]]:
+    """Texts in runs of about ``most`` characters: what a model is given at a time."""
+    part, size = [], 0
+    for x in texts:
+        if part and size + len(x) > most:
+            yield part
+            part, size = [], 0
+        part.append(x)
+        size += len(x)
+    if part:
+        yield part
+
+
+def mention_spans(df: DataFrame, model: Callable[[list[str]], list[Spans]] = rule_model, text: str = "text",
+                  most_chars: int = 1 << 20) -> DataFrame:
+    """Run a model over the texts in Arrow batches; one row per span, other columns kept. Batches and streams alike.
+
+    A span carries its value and its context, not its text, so that a text with many spans stays small. The model gets
+    about ``most_chars`` characters at a time (a longer text alone); see ``loaded`` for one that is costly to build.
     """
     keep = [f for f in df.schema.fields if f.name != text]
     names = [f.name for f in keep]
@@ -96,15 +123,17 @@ def mention_spans(df: DataFrame, model: Callable[[list[str]], list[Spans]] = rul
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch = batch.reset_index(drop=True)
-            texts = [x or "" for x in batch[text]]
-            rows = []
-            for i, (own, found) in enumerate(zip(texts, model(texts))):
-                around = Contexts(own)
-                rows += [(i, s, e, label, own[s:e], around(s, e)) for s, e, label in found]
-            hit = batch.loc[[r[0] for r in rows], names].reset_index(drop=True)
-            for k, name in enumerate(("s", "e", "label", "value", "context"), 1):
-                hit[name] = [r[k] for r in rows]
-            yield hit
+            at = 0
+            for texts in _calls([x or "" for x in batch[text]], most_chars):
+                rows = []
+                for i, (own, found) in enumerate(zip(texts, model(texts)), at):
+                    around = Contexts(own)
+                    rows += [(i, s, e, label, own[s:e], around(s, e)) for s, e, label in found]
+                hit = batch.loc[[r[0] for r in rows], names].reset_index(drop=True)
+                for k, name in enumerate(("s", "e", "label", "value", "context"), 1):
+                    hit[name] = [r[k] for r in rows]
+                yield hit
+                at += len(texts)
 
     return df.select(*names, text).mapInPandas(run, schema)
 

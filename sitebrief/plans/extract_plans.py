@@ -178,6 +178,44 @@ def org_relationship(t):
     return t.v_spans.select("span_id", "context", M.relationship(F.col("context")).alias("relationship"))
 
 
+# The rule model in the check's own patterns: matches are marked in a copy of the text, their places follow from the pieces;
+# a later rule's match stands if no earlier rule's does where it is.
+_RULES_SQL = [
+    (r"\\$\\d[\\d,.]*(?:\\s(?:million|billion))?", "MONEY"), (r"\\d+(?:\\.\\d+)?%", "PERCENT"), (r"\\b(?:19|20)\\d\\d\\b", "DATE"),
+    (r"\\b[A-Z][a-z]+(?:\\s[A-Z][a-z]+)*\\s(?:Inc|LLC|Ltd|Corp|Company)\\b\\.?", "ORG"),
+    (r"\\b[A-Z][a-z]+(?:\\s[A-Z]\\.)?(?:\\s[A-Z][a-z]+){1,2}\\b", "PERSON"),
+]
+
+
+def spans_sql(texts):
+    """CTE rule_spans (page_id, s, e, label, value) over a table with page_id and text."""
+    out = [f"rt AS (SELECT page_id, coalesce(text, '') AS text, {O.ascii_words(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} AS x FROM {texts})"]
+    for k, (p, label) in enumerate(_RULES_SQL):
+        p = p.replace("\\\\", "\\")
+        out.append(f"rp{k} AS (SELECT page_id, text, string_split(regexp_replace(x, '({p})', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS ps FROM rt)")
+        out.append(f"rm{k} AS (SELECT page_id, text, (list_sum(list_transform(ps[:i], lambda q: length(q))) - greatest(i - 1, 0))::INT AS s, "
+                   f"strpos(ps[i + 1], chr(2)) - 1 AS n FROM (SELECT page_id, text, ps, unnest(range(1, len(ps))) AS i FROM rp{k}))")
+        before = " ".join(f"AND NOT EXISTS (SELECT 1 FROM rk{j} o WHERE o.page_id = m.page_id AND o.s < m.s + m.n AND m.s < o.s + o.n)" for j in range(k))
+        out.append(f"rk{k} AS (SELECT page_id, s, n, substr(text, s + 1, n) AS value, '{label}' AS label FROM rm{k} m WHERE true {before})")
+    out.append("rule_spans AS (" + " UNION ALL ".join(f"SELECT page_id, s, (s + n)::INT AS e, label, value FROM rk{k}" for k in range(len(_RULES_SQL))) + ")")
+    return ",\n".join(out)
+
+
+def _mentions_sql(texts):
+    return (f"WITH {spans_sql(texts)} SELECT page_id, s, e, label, {type_sql(P.LABELS)} AS type, value, round({conf_sql}, 6) AS confidence "
+            f"FROM rule_spans WHERE {type_sql(P.LABELS)} IS NOT NULL AND round({conf_sql}, 6) >= 0.5")
+
+
+def mention_columns(df):
+    return df.select("page_id", "s", "e", "label", "type", "value", F.round("confidence", 6).alias("confidence"))
+
+
+@query("mention_spans", _mentions_sql("v_texts"))
+def mention_spans(t):
+    """The rule model's mentions, with their places."""
+    return mention_columns(M.mention_extract(t.v_texts.select("page_id", "text")))
+
+
 @query("mention_extract")
 def mention_extract(t):
     df = M.mention_extract(t.v_texts.select("page_id", "text"))

@@ -4,7 +4,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from sitebrief.plans.extract_plans import _structured
+from sitebrief.functions import mentions as M
+from sitebrief.plans.extract_plans import _mentions_sql, _structured, mention_columns
 from sitebrief.plans.rank_plans import checkpoint_sql
 from sitebrief.plans.registry import query
 from sitebrief.plans.standins import STANDINS
@@ -115,3 +116,12 @@ def stream_extract(t):
     docs = V.read_files(t.spark, t.sf_dir, TABLE_SCHEMAS["documents"], "documents.parquet")
     out = V.extract(docs.select(F.col("doc_id").alias("page_id"), "text"))
     return V.run_to_files(out, _path(t, "extract")).select("page_id", "type", "normalized")
+
+
+@query("stream_mentions", _mentions_sql("(SELECT doc_id AS page_id, text FROM documents)"))
+def stream_mentions(t):
+    """Mentions of an unbounded stream of texts, by a model that each worker loads once."""
+    docs = V.read_files(t.spark, t.sf_dir, TABLE_SCHEMAS["documents"], "documents.parquet")
+    model = M.loaded("rules", lambda: M.rule_model)
+    out = mention_columns(M.mention_extract(docs.select(F.col("doc_id").alias("page_id"), "text"), model))
+    return V.run_to_files(out, _path(t, "mentions"))
