@@ -41,6 +41,20 @@ def page_upsert(t):
     return out.select("company_id", "url", "page_type", "is_external", F.unix_seconds("crawled_at").alias("crawled"))
 
 
+@query("page_table_merge", f"""WITH p AS (SELECT {_ordered} FROM v_pages)
+SELECT company_id, url, arg_max(CASE WHEN page_type = 'news' THEN 'other' ELSE page_type END, (new, page_id)) AS page_type,
+  arg_max(is_external, (new, page_id)) AS is_external, arg_min(crawled, (new, page_id)) AS crawled FROM p GROUP BY 1, 2""")
+def page_table_merge(t):
+    """A stored table of pages: first the own pages of all companies, then the external ones, merged by parts."""
+    df = t.v_pages.withColumn("seq", F.col("is_external").cast("long") * (1 << 60) + F.col("page_id")).withColumn(
+        "page_type", F.when(F.col("page_type") == "news", "bulletin").otherwise(F.col("page_type")))  # a type nobody knows
+    path = _out(t, "page-table")
+    for part in ("NOT is_external", "is_external"):
+        B.merge_pages(t.spark, path, df.filter(part), ["page_type", "is_external"])
+    return t.spark.read.parquet(path).select(
+        "company_id", "url", "page_type", "is_external", F.unix_seconds("crawled_at").alias("crawled"))
+
+
 @query("entity_sink", f"""WITH RECURSIVE {whole_sql}, canon AS (SELECT company_id, type, cluster, first(value ORDER BY o1, pos)
   AS v FROM al GROUP BY 1, 2, 3)
 SELECT company_id, type AS entity_type, best.v AS entity_value, mg.source_url, mentions, CASE WHEN type IN ('email', 'phone')
