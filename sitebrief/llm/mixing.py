@@ -110,7 +110,11 @@ def mix_table(documents: DataFrame, **options) -> DataFrame:
 
 
 def mix(documents: DataFrame, seed: str = "mix", **options) -> DataFrame:
-    """The mixed documents: each row as often as it is taken, columns as they were."""
+    """The mixed documents: each row as often as it is taken, columns as they were, clashing names included.
+
+    Null and empty texts have size 0 and are never taken; a null source is a source of its own; rows with equal keys go by
+    id, and rows that are wholly equal are drawn alike; an empty table gives an empty one.
+    """
     _, cuts = plan_mix(documents, seed=seed, **options)
     rows = documents.select(F.struct(*documents.columns).alias("_row"), "doc_id", "source",
                             sampling_key(F.col("doc_id"), F.col("text"), seed).alias("key"))

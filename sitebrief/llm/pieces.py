@@ -368,7 +368,11 @@ class Decoder:
 
 
 def encode_documents(documents: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, n_tokens, ids: one row per row; a null or empty text has no ids. Other columns are ignored."""
+    """doc_id, n_tokens, ids: one row per row.
+
+    A null or empty text has no ids; repeated rows and ids stay rows of their own and are encoded alike; each text has one
+    encoding, so there are no ties; an empty table gives an empty one; other columns are ignored.
+    """
     vocabulary = Vocabulary(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,7 +405,8 @@ def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 def encoding_table(documents: DataFrame, model: str = MODEL) -> DataFrame:
     """Per row: n_tokens, n_byte_tokens, ids_sha256 (ids as 4 bytes each, low byte first), decoded_sha256, round_trip.
 
-    ``round_trip``: decoding the ids gives the text (with the vocabulary's blank sign read as a blank).
+    ``round_trip``: decoding the ids gives the text (with the vocabulary's blank sign read as a blank). Null, empty and
+    repeated rows, an empty table and other columns are as in ``encode_documents``.
     """
     vocabulary = Vocabulary(model)
 

@@ -116,6 +116,10 @@ def quality_table(documents: DataFrame) -> DataFrame:
 
 
 def keep_good(documents: DataFrame) -> DataFrame:
-    """The documents that pass, with their columns as they were (a filter: texts are not rewritten)."""
+    """The documents that pass, with their columns as they were (a filter: texts are not rewritten).
+
+    Null and empty texts go; repeated rows pass or go together; other columns, whatever their names, stay; an empty table
+    stays empty.
+    """
     names = documents.columns
     return measure(documents.select(F.struct(*names).alias("_row"), F.col("text"))).filter("kept").select("_row.*")
