@@ -133,7 +133,7 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(documents(spark, sf_dir))
 
 
-_GRAMS = ", ".join(f"({t}, '{label}', {n}, {p}, '{' '.join(gram)}')" for t, label, n, p, gram in licenses.template_grams(licenses.TEMPLATES, 3))
+_GRAMS = ", ".join(f"({t}, '{label}', {n}, {p}, '{' '.join(gram)}')" for t, label, n, p, gram in licenses.template_grams(licenses.NOTICES, 3))
 OP10 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -153,9 +153,13 @@ z2 AS (SELECT *, coalesce((diagonal - lag(diagonal) OVER (PARTITION BY r, templa
 z3 AS (SELECT *, sum(fresh) OVER (PARTITION BY r, template ORDER BY diagonal) AS span FROM z2),
 z4 AS (SELECT r, template, any_value(label) AS label, any_value(n) AS n, min(s) AS s, max(e) AS e, flatten(list(tp)) AS tp
   FROM z3 GROUP BY r, template, span),
-z5 AS (SELECT *, len(list_distinct(flatten(list_transform(tp, lambda q: [q, q + 1, q + 2])))) / n AS coverage FROM z4),
-m AS (SELECT r, max(coverage) AS coverage, list(DISTINCT label) AS labels, count(*) AS n_spans
-  FROM z5 WHERE coverage >= 0.75 AND e - s <= n * 1.25 + 2 GROUP BY r)
+z5 AS (SELECT *, len(list_distinct(flatten(list_transform(tp, lambda q: [q, q + 1, q + 2]))))
+    / (n + greatest(0, e - s - (list_max(tp) - list_min(tp) + 3))) AS coverage FROM z4),
+z6 AS (SELECT r, list([{'label': label, 's': s, 'e': e, 'coverage': coverage}] ORDER BY -coverage, n, template, s, e) AS found
+  FROM z5 WHERE coverage >= 0.75 AND e - s <= n * 1.25 + 2 GROUP BY r),
+z7 AS (SELECT r, unnest(list_reduce(found, lambda kept, x: CASE WHEN len(list_filter(kept, lambda y: y.s < x[1].e AND x[1].s < y.e)) = 0
+  THEN list_concat(kept, x) ELSE kept END)) AS k FROM z6),
+m AS (SELECT r, max(k.coverage) AS coverage, list(DISTINCT k.label) AS labels, count(*) AS n_spans FROM z7 GROUP BY r)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(m.labels, [])))), ',') AS labels,
