@@ -162,7 +162,15 @@ def standing_out(sample: DataFrame, prior: float, least_z: float, most_tokens: i
     return [r["token"] for r in rows.collect()]
 
 
-def learn_scores(sample: DataFrame, names: list[str]) -> tuple[dict[str, float], float, list[tuple[float, float]]]:
+def token_shares(counts: dict[str, tuple[int, int]], n_clean: int, n_toxic: int, prior: float) -> dict[str, tuple[float, float]]:
+    """(clean, toxic) share of each token under a Dirichlet prior, the same for both classes: the token's pooled share
+    of ``prior`` words, and half a word for each token and for the rest, so that no share is 0."""
+    mass = prior + 0.5 * (len(counts) + 1)
+    alpha = {t: prior * (c + x) / (n_clean + n_toxic) + 0.5 for t, (c, x) in counts.items()}
+    return {t: ((c + alpha[t]) / (n_clean + mass), (x + alpha[t]) / (n_toxic + mass)) for t, (c, x) in counts.items()}
+
+
+def learn_scores(sample: DataFrame, names: list[str], prior: float) -> tuple[dict[str, float], float, list[tuple[float, float]]]:
     """Scores of the tokens, the score of the rest, and (clean share, score) of each for calibration."""
     known = frozenset(names)
 
@@ -174,7 +182,7 @@ def learn_scores(sample: DataFrame, names: list[str]) -> tuple[dict[str, float],
     n_clean, n_toxic = rows.pop("", (0, 0))
     if not rows or not n_clean or not n_toxic:
         return {}, -1e-3, []
-    shares = {t: ((c + 0.5) / (n_clean + 1), (x + 0.5) / (n_toxic + 1)) for t, (c, x) in rows.items()}
+    shares = token_shares(rows, n_clean, n_toxic, prior)
     scores = {t: math.log(x / c) for t, (c, x) in shares.items()}
     left_clean, left_toxic = (1 - sum(v[k] for v in shares.values()) for k in (0, 1))
     rest = min(-1e-3, math.log(left_toxic / left_clean)) if left_toxic > 0 and left_clean > 0 else -1e-3
@@ -231,10 +239,12 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = 10_000, prio
           most_tokens: int = 20_000) -> ToxicityModel:
     """Fit on a bounded sample of labelled rows (``per_class`` documents a class at most) outside fold 0.
 
+    ``prior`` is the weight of the pooled shares in words, in choosing tokens and in scoring them. Of the tokens that stand
+    out by ``least_z`` deviations the ``most_tokens`` strongest are learnt: with ``per_class`` the model's size bound.
     Without rows of both classes the model gives every text the same low score.
     """
     sample = training_rows(documents, labels, per_class)
-    scores, rest, shares = learn_scores(sample, standing_out(sample, prior, least_z, most_tokens))
+    scores, rest, shares = learn_scores(sample, standing_out(sample, prior, least_z, most_tokens), prior)
     model = ToxicityModel(scores, rest, decay_rate(shares))
     if not scores:
         return model
