@@ -5,6 +5,7 @@ import functools
 import duckdb
 
 import __spark_entry__ as entry
+from sitebrief.functions import markup
 from sitebrief.operators import dedup
 from sitebrief.operators.clusters import greedy_leaders
 from sitebrief.session import TABLE_SCHEMAS
@@ -20,3 +21,8 @@ def test_entities_of_all_types_with_clusters_in_several_steps(spark, sf_dir, mon
         df = entry.queries()[name](spark, sf_dir)
         cur = con.execute(entry.oracle_sql()[name])
         assert rows(df.columns, df.collect()) == rows([d[0] for d in cur.description], cur.fetchall())
+
+
+def test_references_need_their_semicolon():
+    page = '<title>a&amp</title><p>b&lt; &copy c &notit; &#233; &eacute;&amp</p><a href="/x?a=1&copy=2&amp;b=3">d</a>'
+    assert markup.parts(page) == ("a&amp", "a&amp b< &copy c &notit; é é&amp d", ["/x?a=1&copy=2&b=3"])
