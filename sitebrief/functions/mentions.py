@@ -129,11 +129,13 @@ def mention_spans(df: DataFrame, model: Callable[[list[str]], list[Spans]] = rul
                 for i, (own, found) in enumerate(zip(texts, model(texts)), at):
                     around = Contexts(own)
                     rows += [(i, s, e, label, own[s:e], around(s, e)) for s, e, label in found]
+                at += len(texts)
+                if not rows:  # columns without a value have no type
+                    continue
                 hit = batch.loc[[r[0] for r in rows], names].reset_index(drop=True)
                 for k, name in enumerate(("s", "e", "label", "value", "context"), 1):
                     hit[name] = [r[k] for r in rows]
                 yield hit
-                at += len(texts)
 
     return df.select(*names, text).mapInPandas(run, schema)
 
