@@ -3,9 +3,10 @@
 import functools
 
 import duckdb
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from sitebrief.functions import markup
+from sitebrief.functions import markup, scalars
 from sitebrief.operators import dedup
 from sitebrief.operators.clusters import greedy_leaders
 from sitebrief.session import TABLE_SCHEMAS
@@ -26,3 +27,16 @@ def test_entities_of_all_types_with_clusters_in_several_steps(spark, sf_dir, mon
 def test_references_need_their_semicolon():
     page = '<title>a&amp</title><p>b&lt; &copy c &notit; &#233; &eacute;&amp</p><a href="/x?a=1&copy=2&amp;b=3">d</a>'
     assert markup.parts(page) == ("a&amp", "a&amp b< &copy c &notit; é é&amp d", ["/x?a=1&copy=2&b=3"])
+
+
+def test_report_cost_below_a_tie(spark):
+    got = spark.createDataFrame([(1400, 1170), (0, 0), (None, 1)], "i long, o long").select(scalars.report_cost(F.col("i"), F.col("o"))).collect()
+    assert [r[0] for r in got] == [round(1400 * 0.000003 + 1170 * 0.000015, 4), 0.0, None] and got[0][0] == 0.0217
+
+
+def test_streams_read_tables_that_are_folders(spark, sf_dir, tmp_path):
+    for name in ("documents", "events"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("stream_extract", "stream_mentions", "stream_new_pages"):
+        one, many = (entry.queries()[name](spark, d).collect() for d in (sf_dir, str(tmp_path)))
+        assert one and sorted(map(str, one)) == sorted(map(str, many))
