@@ -1,15 +1,19 @@
 """What the smallest tables do not show."""
 
 import functools
+import tracemalloc
 
 import duckdb
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from sitebrief.functions import markup, scalars
+from sitebrief.functions import extract, markup, scalars, text
 from sitebrief.operators import dedup
 from sitebrief.operators.clusters import greedy_leaders
 from sitebrief.session import TABLE_SCHEMAS
+from sitebrief.streaming import live
 from tools.check import rows
 
 
@@ -40,3 +44,57 @@ def test_streams_read_tables_that_are_folders(spark, sf_dir, tmp_path):
     for name in ("stream_extract", "stream_mentions", "stream_new_pages"):
         one, many = (entry.queries()[name](spark, d).collect() for d in (sf_dir, str(tmp_path)))
         assert one and sorted(map(str, one)) == sorted(map(str, many))
+
+
+def test_batches_of_texts_are_read_a_few_at_a_time(spark):
+    pages = pa.array([f"<title>{i}</title><p>{'ab ' * 3000}</p><a href='/{i}'>x</a>" for i in range(3000)] + [None, ""])
+    texts = pa.array(["Python and AWS. " + "ab " * 3000] * 3000 + [None, ""])
+    for run, values in ((text._page_parts.func, pages), (extract.column(lambda t, around: []).func, texts)):
+        tracemalloc.start()
+        out = run(values)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(out) == 3002 and peak < 10_000_000
+    assert text._page_parts.func(pages)[2999].as_py()["links"] == ["/2999"] and len(text._page_parts.func(pa.array([], pa.string()))) == 0
+
+
+class _Handle:
+    """State and timers of one job; no timer is ever listed."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, *_):
+        return self
+
+    def get(self):
+        return self.value
+
+    def exists(self):
+        return self.value is not None
+
+    def clear(self):
+        self.value = None
+
+    def update(self, value):
+        self.value = value
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+def test_silent_jobs_keep_one_timer_without_listing_them():
+    for limit in (None, 10**6):
+        handle, rule, got = _Handle(), live.Silence(3600, limit), []
+        rule.init(handle)
+        batches = [[5, 1, 4000], [9000, 3990, 9001], [9000], [20000]]
+        for n, times in enumerate(batches):
+            half = [pd.DataFrame({"us": [t * 10**6 for t in x], "event_id": range(len(x)), "control": None}) for x in (times[:1], times[1:]) if x]
+            for part in rule.handleInputRows((7,), iter(half), None):
+                got += part[["job_id", "us", "kind"]].values.tolist()
+            assert handle.timers == {max(max(b) for b in batches[:n + 1]) * 1000 + 3_600_001}
+        assert got == [[7, 5 * 10**6, "stale"], [7, 4000 * 10**6, "stale"], [7, 9001 * 10**6, "stale"]]
+        assert [p.values.tolist() for p in rule.handleExpiredTimer((7,), None, None)] == [[[7, 20000 * 10**6, "stale"]]]
