@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitebrief.functions import patterns as P
+from sitebrief.functions.batches import each
 from sitebrief.functions.urls import WS
 
 _WORD = r"\p{L}\p{N}_"
@@ -162,11 +163,10 @@ def column(*scans):
 
     @F.arrow_udf(ENTITY)
     def run(texts: pa.Array) -> pa.Array:
-        rows = []
-        for text in texts.to_pylist():
+        def found(text: str | None) -> list[dict]:
             around = Contexts(text or "")
-            rows.append([dict(zip(names, x)) for scan in scans for x in scan(text or "", around)])
-        return pa.array(rows, _ROW)
+            return [dict(zip(names, x)) for scan in scans for x in scan(text or "", around)]
+        return each(texts, _ROW, found)
 
     return run
 
@@ -178,11 +178,10 @@ def snippets(pattern: str, width: int = 100):
 
     @F.arrow_udf("array<struct<s: bigint, e: bigint, context: string>>")
     def run(texts: pa.Array) -> pa.Array:
-        rows = []
-        for text in texts.to_pylist():
+        def found(text: str | None) -> list[dict]:
             around = Contexts(text or "", width)
-            rows.append([{"s": m.start(), "e": m.end(), "context": around(*m.span())} for m in search.finditer(text or "")])
-        return pa.array(rows, kind)
+            return [{"s": m.start(), "e": m.end(), "context": around(*m.span())} for m in search.finditer(text or "")]
+        return each(texts, kind, found)
 
     return run
 
