@@ -18,7 +18,7 @@ from tools.check import rows
 
 
 def test_entities_of_all_types_with_clusters_in_several_steps(spark, sf_dir, monkeypatch):
-    monkeypatch.setattr(dedup, "greedy_leaders", functools.partial(greedy_leaders, block=4))
+    monkeypatch.setattr(dedup, "greedy_leaders", functools.partial(greedy_leaders, block=8))
     con = duckdb.connect()
     for t in TABLE_SCHEMAS:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
