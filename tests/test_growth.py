@@ -6,6 +6,7 @@ import tracemalloc
 import duckdb
 import pandas as pd
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -28,6 +29,17 @@ def test_entities_of_all_types_with_clusters_in_several_steps(spark, sf_dir, mon
         assert rows(df.columns, df.collect()) == rows([d[0] for d in cur.description], cur.fetchall())
 
 
+@pytest.mark.parametrize("name", ["cluster_contexts"])
+def test_merged_entities_with_clusters_in_several_steps(spark, sf_dir, monkeypatch, name):
+    monkeypatch.setattr(dedup, "greedy_leaders", functools.partial(greedy_leaders, block=32))
+    con = duckdb.connect()
+    for t in TABLE_SCHEMAS:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    df = entry.queries()[name](spark, sf_dir)
+    cur = con.execute(entry.oracle_sql()[name])
+    assert rows(df.columns, df.collect()) == rows([d[0] for d in cur.description], cur.fetchall())
+
+
 def test_references_need_their_semicolon():
     page = '<title>a&amp</title><p>b&lt; &copy c &notit; &#233; &eacute;&amp</p><a href="/x?a=1&copy=2&amp;b=3">d</a>'
     assert markup.parts(page) == ("a&amp", "a&amp b< &copy c &notit; é é&amp d", ["/x?a=1&copy=2&b=3"])
