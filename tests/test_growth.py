@@ -29,7 +29,7 @@ def test_entities_of_all_types_with_clusters_in_several_steps(spark, sf_dir, mon
         assert rows(df.columns, df.collect()) == rows([d[0] for d in cur.description], cur.fetchall())
 
 
-@pytest.mark.parametrize("name", ["cluster_contexts", "cluster_sources", "entity_merge"])
+@pytest.mark.parametrize("name", ["cluster_contexts", "cluster_sources", "entity_merge", "dedup_summary"])
 def test_merged_entities_with_clusters_in_several_steps(spark, sf_dir, monkeypatch, name):
     monkeypatch.setattr(dedup, "greedy_leaders", functools.partial(greedy_leaders, block=32))
     con = duckdb.connect()
