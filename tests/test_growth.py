@@ -1,6 +1,9 @@
 """What the smallest tables do not show."""
 
 import functools
+import hashlib
+import json
+import os
 import tracemalloc
 
 import duckdb
@@ -14,6 +17,7 @@ from sitebrief.functions import extract, markup, scalars, text
 from sitebrief.operators import dedup
 from sitebrief.operators.clusters import greedy_leaders
 from sitebrief.session import TABLE_SCHEMAS
+from sitebrief.sources.briefs import read_json_export, write_json_export
 from sitebrief.streaming import live
 from tools.check import rows
 
@@ -110,3 +114,30 @@ def test_silent_jobs_keep_one_timer_without_listing_them():
             assert handle.timers == {max(max(b) for b in batches[:n + 1]) * 1000 + 3_600_001}
         assert got == [[7, 5 * 10**6, "stale"], [7, 4000 * 10**6, "stale"], [7, 9001 * 10**6, "stale"]]
         assert [p.values.tolist() for p in rule.handleExpiredTimer((7,), None, None)] == [[[7, 20000 * 10**6, "stale"]]]
+
+
+def test_a_long_document_goes_on_in_the_next_file(spark, tmp_path):
+    text = lambda i: f'v{i} ,"\t]}}\n{{"type":'
+    docs = spark.createDataFrame([(c, '{"company":{"id":"%s"}}' % c) for c in "abc"], "company_id string, doc string")
+    own = [("a", i // 2, text(i)) for i in range(3000)] + [("c", None, text(0)), ("c", 5, text(1)), ("c", 5, text(2))]  # ids come twice, or are missing
+    entities = spark.createDataFrame([(c, i, "person", t, 0.5, None, None, None) for c, i, t in own],
+                                     "company_id string, entity_id long, entity_type string, entity_value string, confidence double, source_url string, "
+                                     "role string, relationship string")
+    pages = spark.createDataFrame([("a", i, None if i % 5 == 0 else f"u{i}", "about", True) for i in range(400)],
+                                  "company_id string, page_id long, url string, page_type string, is_external boolean")
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "20000", "spark.sql.files.openCostInBytes": "0"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        write_json_export(docs, str(tmp_path), entities, pages.selectExpr("*", "timestamp'2024-01-02 03:04:05' AS crawled_at"), whole=1000)
+        files = [open(tmp_path / "briefs" / f).read() for f in sorted(os.listdir(tmp_path / "briefs")) if f.startswith("part-")]
+        got = {json.loads(r["doc"])["company"]["id"]: r[1:] for r in read_json_export(spark, str(tmp_path), lambda e: e["value"], lambda p: p["url"]).collect()}
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    whole = {d["company"]["id"]: d for d in map(json.loads, filter(str.strip, "".join(files).split("\n")))}
+    assert sum('"v1' in f for f in files) > 1 and sum('"u1' in f for f in files) >= 1
+    assert [e["value"] for e in whole["a"]["entities"]] == sum((sorted((text(2 * i), text(2 * i + 1))) for i in range(1500)), [])
+    assert [e["value"] for e in whole["c"]["entities"]] == [text(0), text(1), text(2)] and [p["url"] for p in whole["a"]["pages"]][:2] == [None, "u1"]
+    md5 = lambda texts: hashlib.md5(",".join(t for t in texts if t is not None).encode()).hexdigest()
+    assert got == {c: (len(d["entities"]), md5([e["value"] for e in d["entities"]]), len(d["pages"]), md5([p["url"] for p in d["pages"]])) for c, d in whole.items()}
