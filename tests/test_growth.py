@@ -16,6 +16,7 @@ import __spark_entry__ as entry
 from sitebrief.functions import extract, markup, scalars, text
 from sitebrief.operators import dedup
 from sitebrief.operators.clusters import greedy_leaders
+from sitebrief.plans.registry import Tables
 from sitebrief.session import TABLE_SCHEMAS
 from sitebrief.sources.briefs import read_json_export, write_json_export
 from sitebrief.streaming import live
@@ -44,6 +45,13 @@ def test_merged_entities_with_clusters_in_several_steps(spark, sf_dir, monkeypat
     assert rows(df.columns, df.collect()) == rows([d[0] for d in cur.description], cur.fetchall())
 
 
+def test_generated_code_of_organization_names_compiles(spark, sf_dir):
+    orgs = Tables(spark, sf_dir).v_mentions.filter("type = 'org'").withColumn("name", dedup.org_name(F.col("value"))).filter("name IS NOT NULL")
+    plan = orgs._jdf.queryExecution()
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    assert "maxMethodCodeSize:-1" not in plan.explainString(mode)
+
+
 def test_references_need_their_semicolon():
     page = '<title>a&amp</title><p>b&lt; &copy c &notit; &#233; &eacute;&amp</p><a href="/x?a=1&copy=2&amp;b=3">d</a>'
     assert markup.parts(page) == ("a&amp", "a&amp b< &copy c &notit; é é&amp d", ["/x?a=1&copy=2&b=3"])
