@@ -17,7 +17,7 @@ from sitebrief.functions import extract, markup, scalars, text
 from sitebrief.operators import dedup
 from sitebrief.operators.clusters import greedy_leaders
 from sitebrief.plans.registry import Tables
-from sitebrief.session import TABLE_SCHEMAS
+from sitebrief.session import TABLE_SCHEMAS, shared_folder
 from sitebrief.sources.briefs import read_json_export, write_json_export
 from sitebrief.streaming import live
 from tools.check import rows
@@ -149,3 +149,31 @@ def test_a_long_document_goes_on_in_the_next_file(spark, tmp_path):
     assert [e["value"] for e in whole["c"]["entities"]] == [text(0), text(1), text(2)] and [p["url"] for p in whole["a"]["pages"]][:2] == [None, "u1"]
     md5 = lambda texts: hashlib.md5(",".join(t for t in texts if t is not None).encode()).hexdigest()
     assert got == {c: (len(d["entities"]), md5([e["value"] for e in d["entities"]]), len(d["pages"]), md5([p["url"] for p in d["pages"]])) for c, d in whole.items()}
+
+
+def test_documents_take_little_disk(spark, tmp_path):
+    """Neither plain text nor a second copy of it: what is written, shuffled and checkpointed, against the pieces' size."""
+    store, n = spark.sparkContext._jsc.sc().statusStore(), 20_000
+    docs = spark.createDataFrame([(c, '{"company":{"id":"%s"}}' % c) for c in "ab"], "company_id string, doc string")
+    entities = spark.range(n).selectExpr("IF(id % 3 = 0, 'a', 'b') AS company_id", "id AS entity_id", "'person' AS entity_type", "'Entity ' || id AS entity_value",
+                                         "0.5D AS confidence", "'https://p.example.com/' || id % 500 AS source_url", "'Role' AS role", "NULL AS relationship")
+    pages = spark.range(n // 4).selectExpr("IF(id % 3 = 0, 'a', 'b') AS company_id", "id AS page_id", "'https://www.example.com/p/' || id AS url",
+                                           "'about' AS page_type", "timestamp'2024-01-02 03:04:05' AS crawled_at", "true AS is_external")
+
+    def size(folder):
+        return sum(os.path.getsize(f"{d}/{f}") for d, _, names in os.walk(folder) for f in names)
+
+    def shuffled():
+        gateway = spark.sparkContext._gateway
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    folder = shared_folder(spark).removeprefix("file:")
+    before, kept = shuffled(), size(folder)
+    write_json_export(docs, str(tmp_path), entities, pages, compression="gzip")
+    wrote, briefs = shuffled() - before, size(tmp_path / "briefs")
+    got = read_json_export(spark, str(tmp_path), lambda e: e["value"], lambda p: p["url"]).collect()
+    read = shuffled() - before - wrote
+    plain = sum(len(r["doc"]) for r in got) + entities.selectExpr("sum(length(to_json(struct(*))))").first()[0]
+    assert sorted((r["n_entities"], r["n_pages"]) for r in got) == [(6667, 1667), (13333, 3333)]
+    assert briefs < plain / 8 and wrote < plain / 3 and read < plain / 100 and size(folder) - kept < plain / 100, (plain, briefs, wrote, read, size(folder) - kept)
