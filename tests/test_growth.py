@@ -4,6 +4,7 @@ import functools
 import hashlib
 import json
 import os
+import random
 import tracemalloc
 
 import duckdb
@@ -177,3 +178,73 @@ def test_documents_take_little_disk(spark, tmp_path):
     plain = sum(len(r["doc"]) for r in got) + entities.selectExpr("sum(length(to_json(struct(*))))").first()[0]
     assert sorted((r["n_entities"], r["n_pages"]) for r in got) == [(6667, 1667), (13333, 3333)]
     assert briefs < plain / 8 and wrote < plain / 3 and read < plain / 100 and size(folder) - kept < plain / 100, (plain, briefs, wrote, read, size(folder) - kept)
+
+
+class _Now:
+    def __init__(self, us):
+        self.us = us
+
+    def getCurrentWatermarkInMs(self):
+        return self.us // 1000
+
+
+def _runs(events, end, seconds, limit):
+    """One event after the other: silences by their last sign of life, limits by the time they are reached."""
+    out, last, spent, paused, over = [], None, 0, False, False
+    for t, control in [*events, (end, None)]:
+        if last is not None:
+            due = last + limit - spent
+            if not paused and not over and due < min(t, last + seconds):
+                out.append((due, "timeout"))
+                over = True
+            if t > last + seconds:
+                out.append((last, "stale"))
+                last = None
+        spent, paused, over = (0, False, False) if last is None else (spent + (0 if paused else t - last), paused, over)
+        last, paused = t, control == "pause" or paused and control != "resume"
+    return sorted(out)
+
+
+def test_time_limits_run_out_at_their_time_whatever_the_batches():
+    rnd, kinds = random.Random(5), set()
+    for limit in (3600, 9000):
+        for _ in range(60):
+            t, events = 0, []
+            for _ in range(40):
+                t += rnd.choice([1, 600, 1700, 3600, 3601, 9000]) * 10**6 + rnd.randrange(2) * 1000
+                events.append((t, rnd.choice([None, None, "pause", "resume"])))
+            end = t + rnd.choice([0, 2000, 3000, 3700]) * 10**6 + 500_000
+            want = _runs(events, end, 3600 * 10**6, limit * 10**6)
+            for size in (40, 7, 1):
+                handle, rule, got = _Handle(), live.Silence(3600, limit, ahead=True), []
+                rule.init(handle)
+                for at in range(0, 40, size):
+                    part = events[at:at + size]
+                    pdf = pd.DataFrame({"us": [t for t, _ in part], "event_id": range(len(part)), "control": [c for _, c in part]}).sample(frac=1, random_state=1)
+                    got += [r for p in rule.handleInputRows((7,), iter([pdf]), None) for r in p[["us", "kind"]].itertuples(index=False, name=None)]
+                    now = _Now(end if at + size >= 40 else part[-1][0])
+                    while [x for x in handle.timers if x < now.us // 1000]:
+                        handle.timers.remove(min(handle.timers))
+                        got += [r for p in rule.handleExpiredTimer((7,), now, None) for r in p[["us", "kind"]].itertuples(index=False, name=None)]
+                    assert len(handle.timers) == (handle.value is not None)
+                assert sorted(got) == want
+            kinds |= {k for _, k in want}
+    assert kinds == {"stale", "timeout"}
+
+
+def test_stale_jobs_over_several_files_have_their_time_limits(spark, tmp_path):
+    rnd, rows, schema = random.Random(6), [], "job_id long, event_id long, control string, ts timestamp"
+    for job in range(6):
+        t = 1_700_000_000
+        for e in range(80):
+            t += rnd.choice([1, 300, 900, 1700, 4000] if job else [1500])
+            rows.append((job, job * 100 + e, rnd.choice([None, None, "pause", "resume"]), t))
+    df = spark.createDataFrame(rows, "job_id long, event_id long, control string, t long").withColumn("ts", F.timestamp_seconds("t"))
+    cuts = sorted(t for *_, t in rows)[::160] + [2 * 10**9]  # files are read in the order in which they were written
+    for a, b in zip(cuts, cuts[1:]):
+        df.filter(F.col("t").between(a, b - 1)).drop("t").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = live.read_files(spark, str(tmp_path / "in"), schema, "*.parquet", files_per_batch=1)
+    got = live.run_to_files(live.silent_jobs(stream, 3600, limit=3600, ahead=True), str(tmp_path / "out")).collect()
+    end = (max(t for *_, t in rows) - 600) * 10**6
+    want = [(j, *x) for j in range(6) for x in _runs([(t * 10**6, c) for i, _, c, t in sorted(rows) if i == j], end, 3600 * 10**6, 3600 * 10**6)]
+    assert sorted(map(tuple, got)) == sorted(want) and {k for *_, k in want} == {"stale", "timeout"}
